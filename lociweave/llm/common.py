@@ -71,11 +71,9 @@ def record_key(key: str, text: str) -> Column:
     return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts are long: have Arrow send fewer rows at once than Spark's usual 10,000."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > rows:
-        spark.conf.set(name, rows)
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Texts may be long: have Arrow send at most so many bytes, or one row, at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
 def slices(batches, text: int | str, most: int = SLICE_BYTES) -> Iterator:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lociweave.llm import mixing, sharding, simhash, sql
+from lociweave.llm import langid, mixing, sharding, simhash, sql, tokens, toxicity
 from lociweave.llm.common import table
 
 
@@ -14,6 +15,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+#: The tokenizer's file, on every machine, and the id that ends a document.
+VOCABULARY, END = public_tokenizers.path("word_bpe_49k.json"), 2
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.digests(table(spark, sf_dir, "documents"), VOCABULARY, END)
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicates(table(spark, sf_dir, "documents"))
 
@@ -22,6 +31,14 @@ def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assigned(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_simhash_dedup, op4_rendezvous_shards)}
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_simhash_dedup, op4_rendezvous_shards, op5_language, op9_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": sql.OP1, "op4_rendezvous_shards": sql.OP4}
