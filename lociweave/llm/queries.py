@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lociweave.llm import langid, mixing, sharding, simhash, sql, tokens, toxicity
+from lociweave.llm import imatch, langid, mixing, sharding, simhash, sql, tokens, toxicity
 from lociweave.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_simhash_dedup, op4_rendezvous_shards, op5_language, op9_toxicity)}
+def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_simhash_dedup, op4_rendezvous_shards, op5_language, op9_toxicity, op10_imatch)}
 
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": sql.OP1, "op4_rendezvous_shards": sql.OP4}
