@@ -52,3 +52,22 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, shard,
        row_number() OVER (PARTITION BY shard ORDER BY {HASH60.format("CAST(doc_id AS VARCHAR)")}, doc_id) - 1 AS slot, grown_shard
 FROM crcs JOIN best USING (doc_id)
 """
+
+OP7 = r"""
+WITH doc_words AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+item_shingles AS (
+  SELECT DISTINCT item_id, least(5, len(w)) AS n, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM item_words WHERE len(w) > 0)),
+doc_shingles AS (
+  SELECT DISTINCT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS s
+  FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, (SELECT DISTINCT n FROM item_shingles) WHERE len(w) >= n)),
+sizes AS (
+  SELECT item_id, CAST(count(*) AS INTEGER) AS n_shingles FROM item_shingles GROUP BY item_id),
+shared AS (
+  SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS n_shared FROM doc_shingles JOIN item_shingles USING (n, s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
+FROM shared JOIN sizes USING (item_id) WHERE n_shared >= n_shingles * 0.8::DOUBLE
+"""
