@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lociweave.llm import decontam, imatch, langid, mixing, pii, sharding, simhash, sql, tokens, toxicity
+from lociweave.llm import decontam, imatch, langid, linededup, mixing, pii, sharding, simhash, sql, tokens, toxicity
 from lociweave.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +55,6 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_simhash_dedup, op4_rendezvous_shards, op5_language, op7_benchmark_leaks, op8_pseudonyms, op9_toxicity, op10_imatch)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_simhash_dedup, op4_rendezvous_shards, op5_language, op6_line_dedup, op7_benchmark_leaks, op8_pseudonyms, op9_toxicity, op10_imatch)}
 
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": sql.OP1, "op4_rendezvous_shards": sql.OP4, "op7_benchmark_leaks": sql.OP7}
