@@ -22,8 +22,8 @@ from lociweave.llm.common import WORD, hash60, record_key, saved, small
 WEIGHTS = (1, 2, 3)
 #: No document is taken more often.
 MOST = 3
-#: Hash bits that each histogram resolves; four of them resolve all 60.
-BITS = 15
+#: Hash bits that each histogram resolves; five of them resolve all 60.
+BITS = 12
 
 
 def n_words(text: str) -> Column:
