@@ -14,6 +14,9 @@ by their text's checksum; equal rows are all written; an empty table gives an em
 
 from __future__ import annotations
 
+import re
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -32,7 +35,9 @@ STRIDE = 256
 #: Bytes of compressed ids in a part of the key range.
 PART_BYTES = 24 << 20
 #: Distinct words whose ids a worker remembers; beyond, it starts anew.
-WORDS = 500_000
+WORDS = 1_000_000
+#: A word that ends in punctuation after a letter: the tokenizer splits there. Apostrophes are left out, as 's and such are one.
+_ENDED = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
 
 class WordEncoder:
@@ -65,8 +70,19 @@ class WordEncoder:
         self.used += len(ids)
         self.known.update(zip(words, range(n, n + m)))
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encode new words, many at a time with a mark between them, and the few that hold the mark one at a time."""
+    def learn(self, words: set[bytes]) -> None:
+        """Encode new words; of those that end in punctuation, the word and the punctuation."""
+        ended = {w: m.groups() for w in words if (m := _ENDED.fullmatch(w)) and b"<|" not in w}
+        parts = {p for pair in ended.values() for p in pair}
+        self._learn([w for w in (words - ended.keys()) | parts if w not in self.known])
+        if ended:
+            at = np.array([self.known[p] for pair in ended.values() for p in pair])
+            sizes = self.size[at]
+            ends = np.cumsum(sizes)
+            self._add(list(ended), self.flat[np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(ends[-1])], sizes.reshape(-1, 2).sum(1))
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encode many words at a time with a mark between them, and the few that hold the mark one at a time."""
         odd = [w for w in words if b"\x01" in w]
         plain = [w for w in words if b"\x01" not in w] if odd else words
         for at in range(0, len(plain), 4096):
@@ -94,10 +110,10 @@ class WordEncoder:
             words.append(end)
             counts.append(len(own) + 1)
         get = self.known.get
-        at = np.array([get(w, -1) for w in words], np.int64)
+        at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(at < 0)
         if len(new):
-            self.learn(list({words[i] for i in new.tolist()}))
+            self.learn({words[i] for i in new.tolist()})
             at[new] = [self.known[words[i]] for i in new.tolist()]
         sizes = self.size[at]
         ends = np.cumsum(sizes)
