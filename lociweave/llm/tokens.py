@@ -36,6 +36,8 @@ STRIDE = 256
 PART_BYTES = 24 << 20
 #: Distinct words whose ids a worker remembers; beyond, it starts anew.
 WORDS = 1_000_000
+#: A word that normalising and splitting leave as it is.
+_BARE = re.compile(rb"[a-z]+")
 #: A word that ends in punctuation after a letter: the tokenizer splits there. Apostrophes are left out, as 's and such are one.
 _ENDED = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 
@@ -82,7 +84,13 @@ class WordEncoder:
             self._add(list(ended), self.flat[np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(ends[-1])], sizes.reshape(-1, 2).sum(1))
 
     def _learn(self, words: list[bytes]) -> None:
-        """Encode many words at a time with a mark between them, and the few that hold the mark one at a time."""
+        """Plain words go to the tokenizer's model at once, others through all of it, many at a time with a mark between them,
+        and the few that hold the mark one at a time."""
+        bare = [w for w in words if _BARE.fullmatch(w)]
+        if bare:
+            found = [[t.id for t in self.tokenizer.model.tokenize(w.decode())] for w in bare]
+            self._add(bare, np.array([i for ids in found for i in ids], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+            words = [w for w in words if not _BARE.fullmatch(w)]
         odd = [w for w in words if b"\x01" in w]
         plain = [w for w in words if b"\x01" not in w] if odd else words
         for at in range(0, len(plain), 4096):
@@ -131,14 +139,20 @@ def _encoder(path: str, end: int) -> WordEncoder:
     return _encoders[path, end]
 
 
-def _encoded(path: str, end: int, wide: str):
+def _encoded(path: str, end: int, n_ids: int, wide: str):
+    """A row a document, and at the end of a partition one with the counts of its ids (n is -1)."""
+    names = ["key", "digest", "n", "ids"]
+
     def run(batches):
-        encoder, pack = _encoder(path, end), zstandard.ZstdCompressor(level=1).compress
+        encoder, pack, total, kind = _encoder(path, end), zstandard.ZstdCompressor(level=1).compress, np.zeros(n_ids, np.int64), None
         for b in slices(batches, "raw"):
             ids, counts = encoder.encode(b.column("raw").to_pylist())
-            ids, stops = ids.astype(wide), np.cumsum(counts)
+            total += np.bincount(ids, minlength=n_ids)
+            ids, stops, kind = ids.astype(wide), np.cumsum(counts), b.schema.field("key").type
             packed = [pack(ids[z - n : z].tobytes()) for n, z in zip(counts.tolist(), stops.tolist())]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("digest"), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["key", "digest", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("digest"), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], names)
+        if kind is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([0], pa.int64()), pa.array([-1], pa.int64()), pa.array([pack(total.astype("<i8").tobytes())])], names)
 
     return run
 
@@ -148,12 +162,14 @@ def _unpacked(column, wide: str) -> list[np.ndarray]:
     return [np.frombuffer(unpack(x), wide) for x in column.to_pylist()]
 
 
-def _counted(n_ids: int, wide: str):
+def _summed(n_ids: int):
+    """Counts of several partitions, added up in each task."""
+
     def run(batches):
         total = np.zeros(n_ids, np.int64)
         for b in batches:
-            for ids in _unpacked(b.column("ids"), wide):
-                total += np.bincount(ids, minlength=n_ids)
+            for counts in _unpacked(b.column("ids"), "<i8"):
+                total += counts
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found])], ["id", "count"])
 
@@ -215,7 +231,7 @@ def decode_table(lengths: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarra
     """Id and code length for every value of the next ``longest`` bits. Canonical codes fill the table in order."""
     order = np.array(sorted(np.flatnonzero(lengths).tolist(), key=lambda i: (lengths[i], i)), np.int64)
     span = 1 << (longest - lengths[order])
-    ids, sizes = np.zeros(1 << longest, np.uint32), np.ones(1 << longest, np.int64)
+    ids, sizes = np.zeros(1 << longest, np.uint16 if len(lengths) <= 1 << 16 else np.uint32), np.ones(1 << longest, np.uint8)
     ids[: span.sum()], sizes[: span.sum()] = np.repeat(order, span), np.repeat(lengths[order], span)
     return ids, sizes
 
@@ -273,12 +289,13 @@ def write_corpus(docs: DataFrame, vocabulary: str, end: int, key: str = "doc_id"
     wide, kind = "<u2" if n_ids <= 1 << 16 else "<u4", docs.schema[key].dataType.simpleString()
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(key).alias("key"), F.crc32(body).alias("digest"), body.alias("raw"))
-    rows.mapInArrow(_encoded(vocabulary, end, wide), f"key {kind}, digest long, n long, ids binary").write.parquet(f"{path}/tokens")
-    tokens = spark.read.parquet(f"{path}/tokens")
+    rows.mapInArrow(_encoded(vocabulary, end, n_ids, wide), f"key {kind}, digest long, n long, ids binary").write.parquet(f"{path}/tokens")
+    written = spark.read.parquet(f"{path}/tokens")
+    tokens = written.where("n >= 0")
 
     # At most one row an id of the vocabulary comes to the driver.
     counts = np.zeros(n_ids, np.int64)
-    for r in tokens.select("ids").mapInArrow(_counted(n_ids, wide), "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).toLocalIterator():
+    for r in written.where("n < 0").select("ids").mapInArrow(_summed(n_ids), "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).toLocalIterator():
         counts[r["id"]] = r["count"]
     lengths = code_lengths(counts)
     used = np.flatnonzero(lengths)
