@@ -34,9 +34,9 @@ hwe AS (SELECT site_idx, sample_idx, w0 / (w0 + w1 + w2) AS q0, w1 / (w0 + w1 +
 called AS (SELECT site_idx, sample_idx, {r('q0', 3)} AS gp0, {r('q1', 3)} AS gp1, {r('q2', 3)} AS gp2,
   CASE WHEN q0 > q1 AND q0 > q2 THEN '0/0' WHEN q2 > q1 THEN '1/1' ELSE '1/0' END AS gt FROM hwe),
 dosed AS (SELECT *, gp1 + 2::DOUBLE * gp2 AS ds FROM called),
-sums AS (SELECT site_idx, count(*) AS n, sum(ds) AS dosage, sum(gp1 + 4::DOUBLE * gp2 - ds * ds) AS spread FROM dosed GROUP BY site_idx),
-eafs AS (SELECT *, dosage / (2::DOUBLE * n) AS f FROM sums),
-scores AS (SELECT site_idx, n, {r('f')} AS eaf, CASE WHEN {r('f', 2)} <= 0 OR {r('f', 2)} >= 1 THEN 1::DOUBLE
+sums AS (SELECT site_idx, count(*) AS n, CAST(sum(CAST(floor(ds * 1000::DOUBLE + 0.5) AS BIGINT)) AS BIGINT) AS dosage, sum(gp1 + 4::DOUBLE * gp2 - ds * ds) AS spread FROM dosed GROUP BY site_idx),
+eafs AS (SELECT *, dosage / (2000::DOUBLE * n) AS f FROM sums),
+scores AS (SELECT site_idx, n, ((dosage * 1000 + n) // (2 * n)) / 1e6::DOUBLE AS eaf, CASE WHEN {r('f', 2)} <= 0 OR {r('f', 2)} >= 1 THEN 1::DOUBLE
   ELSE {r('greatest(0::DOUBLE, least(1::DOUBLE, 1 - spread / (2::DOUBLE * n * f * (1 - f))))', 3)} END AS info FROM eafs)"""
 
 

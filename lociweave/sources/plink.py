@@ -13,13 +13,13 @@ MISSING = 1
 
 def samples(spark: SparkSession, path: str) -> DataFrame:
     """at, name: the second column of a .fam file, in order of its lines (a file of one line a sample)."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("at", "line"))
+    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).where(F.trim("line") != "")
     return text.select("at", F.element_at(F.split(F.trim("line"), r"\s+"), 2).alias("name"))
 
 
 def markers(spark: SparkSession, path: str) -> DataFrame:
     """at, contig, pos, first and second allele of a .bim file."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("at", "line"))
+    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).where(F.trim("line") != "")
     field = lambda i: F.element_at(F.split(F.trim("line"), r"\s+"), i)
     return text.select("at", field(1).alias("contig"), field(4).cast("long").alias("pos"), field(5).alias("a1"), field(6).alias("a2"))
 
