@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociweave.jobs import admix, convert, impute, joint
+from lociweave.jobs import admix, convert, fixed, impute, joint
 from lociweave.jobs.tiles import tiles
 from lociweave.operators import calls
 from lociweave.operators.sites import chunked
@@ -31,6 +31,8 @@ def parser() -> argparse.ArgumentParser:
         if name == "impute":
             s.add_argument("--grid", type=int, default=1)
             s.add_argument("--refill", type=int, default=2, choices=range(4))
+            s.add_argument("--pfile", help="start point: a row of cluster allele frequencies a site")
+            s.add_argument("--text", action="store_true", help="also write rates, shares and frequencies as text")
         else:
             s.add_argument("--ancestries", type=int, default=3)
             s.add_argument("--accelerate", action="store_true")
@@ -88,9 +90,17 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     _, sites, held, names = inputs(spark, args.input, args.chunk)
     if args.command == "impute":
         options = impute.Options(clusters=args.clusters, passes=args.passes, grid=args.grid, seed=args.seed, refill=args.refill, fixed=frozenset(args.fixed))
-        used, after, _ = impute.fit(held, sites, options)
+        start = None
+        if args.pfile:
+            start = fixed.with_given(impute.start(sites, options), sites, matrix.read(spark, args.pfile), "p")
+        used, after, _ = impute.fit(held, sites, options, start)
         write_vcf(impute.posteriors(held, used, args.clusters), sites, names, f"{args.out}/vcf")
         model.saved(f"{args.out}/model", sites, after, held, args.clusters, grid=args.grid)
+        if args.text:
+            grids = settled(fixed.by_grid(after, args.clusters), "grids")
+            matrix.written(grids, ["chunk_id", "grid_id"], "rates", f"{args.out}/recomb")
+            matrix.written(grids, ["chunk_id", "grid_id"], "pi", f"{args.out}/pi")
+            matrix.written(fixed.by_site(after, args.clusters), ["chunk_id", "chunk_pos"], "p", f"{args.out}/p")
     else:
         options = joint.Options(clusters=args.clusters, ancestries=args.ancestries, passes=args.passes, seed=args.seed, accelerate=args.accelerate)
         parameters, state, _ = joint.fit(held, sites, options)

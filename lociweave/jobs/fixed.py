@@ -67,3 +67,30 @@ def priors(model: DataFrame, clusters: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pi), b.column("chunk_id")[i].as_py(), np.int32)), pa.array(np.arange(len(pi), dtype=np.int32)), pa.array(list(pair.reshape(len(pi), -1)), pa.list_(pa.float64()))], ["chunk_id", "chunk_pos", "prior"])
 
     return model.mapInArrow(run, "chunk_id int, chunk_pos int, prior array<double>")
+
+
+def by_grid(model: DataFrame, clusters: int) -> DataFrame:
+    """A row a grid: chunk_id, grid_id, its first site, the three transition rates and the clusters' shares."""
+    at = F.arrays_zip(F.col("starts"), F.col("er"), pieces("pi", "starts", clusters).alias("pi"))
+    each = model.select("chunk_id", F.posexplode(at).alias("grid_id", "x"))
+    er = F.col("x.er")
+    return each.select("chunk_id", "grid_id", F.col("x.starts").alias("start"), F.array(er * er, er * (1.0 - er), (1.0 - er) * (1.0 - er)).alias("rates"), F.col("x.pi").alias("pi"))
+
+
+def by_site(model: DataFrame, clusters: int) -> DataFrame:
+    """A row a site: chunk_id, chunk_pos and the clusters' allele frequencies."""
+    places = F.sequence(F.lit(0), F.col("sites") - 1)
+    return model.withColumn("_at", places).select("chunk_id", F.posexplode(pieces("p", "_at", clusters)).alias("chunk_pos", "p"))
+
+
+def pieces(values: str, counted: str, size: int):
+    """``values`` cut to arrays of ``size``, one for each element of ``counted``."""
+    return F.transform(F.sequence(F.lit(0), F.size(counted) - 1), lambda i: F.slice(values, i * size + 1, size))
+
+
+def with_given(model: DataFrame, chunks: DataFrame, given: DataFrame, column: str) -> DataFrame:
+    """``model`` with the array ``column`` taken from rows of a matrix (row, values), one a site in the order of all sites."""
+    order = chunks.select("chunk_id", "chunk_pos", F.col("site_idx").alias("row"))
+    rows = order.join(given, "row").groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("chunk_pos", "values"))).alias("all"))
+    new = rows.select("chunk_id", F.flatten(F.transform("all", lambda x: x["values"])).alias("_given"))
+    return model.join(new, "chunk_id", "left").withColumn(column, F.coalesce("_given", column)).drop("_given")

@@ -129,6 +129,12 @@ def pair_prior(rates: np.ndarray, pi: np.ndarray) -> np.ndarray:
     return out
 
 
+def used_prior(hap: np.ndarray) -> np.ndarray:
+    """(G, C, C): pair probabilities from how much clusters are used (G, C), as if haplotypes were independent."""
+    share = hap / hap.sum(1, keepdims=True)
+    return share[:, :, None] * share[:, None, :]
+
+
 def cluster_likelihoods(gamma: np.ndarray, prior: np.ndarray) -> np.ndarray:
     """Likelihood of each pair of clusters given the data, scaled to sum 1 at each grid."""
     raw = gamma / prior

@@ -25,7 +25,14 @@ def run(spark, *words):
 def test_files_through_all_jobs(spark, tmp_path):
     codes = plink_files(tmp_path)
     run(spark, "convert", "--input", tmp_path / "x", "--out", tmp_path / "gl")
-    run(spark, "impute", "--input", tmp_path / "gl", "--out", tmp_path / "imp", "--clusters", 3, "--passes", 2, "--chunk", 8)
+    run(spark, "impute", "--input", tmp_path / "gl", "--out", tmp_path / "imp", "--clusters", 3, "--passes", 2, "--chunk", 8, "--text")
+    text = lambda name: [list(map(float, r["value"].split())) for r in spark.read.text(str(tmp_path / "imp" / name)).collect()]
+    assert len(text("recomb")) == len(text("pi")) == len(text("p")) == 30
+    assert all(abs(r[0] + 2 * r[1] + r[2] - 1) < 1e-5 for r in text("recomb")) and all(abs(sum(x) - 1) < 1e-5 for x in text("pi"))
+    (tmp_path / "p").write_text("\n".join(" ".join(map(str, x)) for x in text("p")))
+    run(spark, "impute", "--input", tmp_path / "gl", "--out", tmp_path / "again", "--clusters", 3, "--passes", 0, "--chunk", 8, "--fixed", "p", "--pfile", tmp_path / "p", "--text")
+    again = [list(map(float, r["value"].split())) for r in spark.read.text(str(tmp_path / "again/p")).collect()]
+    assert again == text("p")
     rows = vcf.read(spark, str(tmp_path / "imp/vcf")).orderBy("contig", "pos").collect()
     assert len(rows) == 30 and rows[0]["contig"] == "chr_1" and len(rows[0]["samples"]) == 6
     gt = {0: "0/0", 2: "1/0", 3: "1/1"}

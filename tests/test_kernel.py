@@ -104,3 +104,9 @@ def test_joint_ancestries_sum_to_one_and_one_ancestry_is_the_plain_model():
     np.testing.assert_allclose(one.gamma, kernel.passes(e, rates, pi).gamma)
     _, zy = kernel.ancestry_step(one, e, rates, np.tile(pi, (3, 1, 1)), np.ones((3, 1)), pi[None])
     np.testing.assert_allclose(zy.sum((0, 2)), kernel.jumps(kernel.passes(e, rates, pi), e, rates, pi))
+
+
+def test_prior_of_used_clusters_sums_to_one():
+    found = kernel.used_prior(np.random.default_rng(1).uniform(0.1, 3, (5, 4)))
+    np.testing.assert_allclose(found.sum((1, 2)), 1)
+    np.testing.assert_allclose(found, found.transpose(0, 2, 1))
