@@ -64,7 +64,7 @@ def inputs(spark: SparkSession, path: str, chunk: int) -> tuple[DataFrame, DataF
     known = cells.where(~((F.abs(F.col("gl0") - F.col("gl1")) < 1e-6) & (F.abs(F.col("gl1") - F.col("gl2")) < 1e-6)))
     sites = settled(chunked(markers, chunk), "sites")
     longest = sites.groupBy("chunk_id").count().agg(F.max("count")).first()[0] or 1
-    return known, sites, settled(tiles(known, sites, longest), "tiles"), beagle.header(spark, path)
+    return known, sites, settled(tiles(known, sites, longest), "tiles", large_rows=True), beagle.header(spark, path)
 
 
 def write_vcf(posteriors: DataFrame, sites: DataFrame, names: list[str], path: str) -> None:
@@ -81,7 +81,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         saved = model.loaded(spark, args.model)
         clusters = saved["meta"].first()["clusters"]
         options = admix.Options(clusters=clusters, ancestries=args.ancestries, passes=args.passes, seed=args.seed, enough=args.enough, accelerate=not args.plain, least_prior=args.least_prior)
-        likely = settled(admix.likelihoods(saved["tiles"], saved["parameters"], clusters, args.least_prior), "likely")
+        likely = settled(admix.likelihoods(saved["tiles"], saved["parameters"], clusters, args.least_prior), "likely", large_rows=True)
         state, _ = admix.fit(likely, options)
         matrix.written(admix.shares(state, args.ancestries), ["sample_idx"], "q", f"{args.out}/Q", 10)
         if args.write_f:

@@ -23,8 +23,11 @@ def tiles(cells: DataFrame, sites: DataFrame, chunk: int, cells_a_tile: int = TI
     """chunk_id, block, and the cells (sample_idx, chunk_pos, gl0, gl1, gl2) of each."""
     n = cells.select("sample_idx").distinct().count()
     blocks = max(1, -(-n * chunk // cells_a_tile))
+    # Tiles are small and slow: they are dealt by their number, not by their bytes.
+    count = blocks * max(1, sites.agg(F.count_distinct("chunk_id")).first()[0])
+    tasks = min(count, max(2 * cells.sparkSession.sparkContext.defaultParallelism, count // 64))
     placed = cells.join(sites.select("site_idx", "chunk_id", "chunk_pos"), "site_idx").withColumn("block", block_of(blocks))
-    return placed.groupBy("chunk_id", "block").agg(F.collect_list(F.struct("sample_idx", "chunk_pos", "gl0", "gl1", "gl2")).alias("cells"))
+    return placed.repartition(tasks, "chunk_id", "block").groupBy("chunk_id", "block").agg(F.collect_list(F.struct("sample_idx", "chunk_pos", "gl0", "gl1", "gl2")).alias("cells"))
 
 
 def unpacked(row_cells: pa.StructArray, sites: int) -> tuple[np.ndarray, np.ndarray]:

@@ -63,7 +63,7 @@ _FULL = f"{_BASE}, {_BACKWARD}"
 def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Settled tiles, sites and parameters by rule."""
     sites = settled(fixtures.sites(spark, sf_dir), "sites")
-    held = settled(tiles(fixtures.cells(spark, sf_dir), sites, fixtures.CHUNK), "tiles")
+    held = settled(tiles(fixtures.cells(spark, sf_dir), sites, fixtures.CHUNK), "tiles", large_rows=True)
     return held, sites, settled(fixed.parameters(sites, C), "parameters")
 
 
@@ -163,7 +163,7 @@ totals AS (SELECT sample_idx, chunk_id, pl, sum(w) AS total FROM four GROUP BY A
 def admix_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, admix.State, admix.Options]:
     """Likelihoods with two clusters, and two ancestries' shares and frequencies by rule."""
     held, _, model = inputs(spark, sf_dir)
-    likely = settled(admix.likelihoods(held, model, C), "likely")
+    likely = settled(admix.likelihoods(held, model, C), "likely", large_rows=True)
     members = likely.select("block", F.explode("samples").alias("s")).distinct().groupBy("block").agg(F.sort_array(F.collect_list("s")).alias("samples"))
     share = lambda s: (s % 7 + 1).cast("double") / 9.0
     q = members.withColumn("q", F.flatten(F.transform("samples", lambda s: F.array(share(s), 1.0 - share(s)))))
@@ -210,7 +210,7 @@ def admix_squarem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ancestry shares of every sample by accelerated EM, from cluster likelihoods of a fitted model."""
     held, sites, _ = inputs(spark, sf_dir)
     _, model, _ = impute.fit(held, sites, impute.Options(clusters=4, passes=2, grid=fixtures.GRID))
-    likely = settled(admix.likelihoods(held, model, 4), "likely")
+    likely = settled(admix.likelihoods(held, model, 4), "likely", large_rows=True)
     state, _ = admix.fit(likely, admix.Options(clusters=4, ancestries=3, passes=3))
     return admix.shares(state, 3)
 

@@ -29,10 +29,14 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def settled(df: DataFrame, what: str) -> DataFrame:
+#: For rows that may be megabytes: the writer looks at sizes after every few rows, and row groups are what a reader holds at once.
+_LARGE_ROWS = {"parquet.page.size.row.check.min": 4, "parquet.page.size.row.check.max": 64, "parquet.block.size": 8 << 20}
+
+
+def settled(df: DataFrame, what: str, large_rows: bool = False) -> DataFrame:
     """``df`` written as Parquet and read back."""
     path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**(_LARGE_ROWS if large_rows else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

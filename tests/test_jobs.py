@@ -38,7 +38,7 @@ def data(spark):
         rows.append((int(s), int(i), *[float(x / sum(gl)) for x in gl]))
     cells = spark.createDataFrame(rows, "site_idx long, sample_idx long, gl0 double, gl1 double, gl2 double")
     sites = settled(chunked(spark.createDataFrame([("1", s, 1000 * (s + 1)) for s in range(M)], "contig string, site_idx long, pos long"), 60), "sites")
-    return settled(tiles(cells, sites, 60, 600), "tiles"), sites, truth
+    return settled(tiles(cells, sites, 60, 600), "tiles", large_rows=True), sites, truth
 
 
 def dosages(gp):
@@ -85,7 +85,7 @@ def separation(q):
 def test_admixture(data):
     held, sites, _ = data
     _, model, _ = impute.fit(held, sites, impute.Options(clusters=C, passes=6, seed=3))
-    likely = settled(admix.likelihoods(held, model, C), "likely")
+    likely = settled(admix.likelihoods(held, model, C), "likely", large_rows=True)
     slow, history = admix.fit(likely, admix.Options(clusters=C, ancestries=2, passes=8, accelerate=False))
     assert all(b > a - 1e-6 for a, b in zip(history, history[1:]))
     fast, quick = admix.fit(likely, admix.Options(clusters=C, ancestries=2, passes=12))
