@@ -35,7 +35,7 @@ STRIDE = 256
 #: Bytes of compressed ids in a part of the key range.
 PART_BYTES = 24 << 20
 #: Distinct words whose ids a worker remembers; beyond, it starts anew.
-WORDS = 750_000
+WORDS = 400_000
 #: A word that normalising and splitting leave as it is.
 _BARE = re.compile(rb"[a-z]+")
 #: A word that ends in punctuation after a letter: the tokenizer splits there. Apostrophes are left out, as 's and such are one.
