@@ -19,6 +19,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -34,33 +35,28 @@ BLOCK = 1 << 18
 STRIDE = 256
 #: Bytes of compressed ids in a part of the key range.
 PART_BYTES = 24 << 20
-#: Distinct words whose ids a worker remembers; beyond, it starts anew.
-WORDS = 400_000
-#: A word that normalising and splitting leave as it is.
-_BARE = re.compile(rb"[a-z]+")
-#: A word that ends in punctuation after a letter: the tokenizer splits there. Apostrophes are left out, as 's and such are one.
-_ENDED = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
-
-
-class WordEncoder:
-    """Encodes texts by their words, whose ids it remembers."""
-
-    def __init__(self, path: str, end: int) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.end = Tokenizer.from_file(path), end
-        self.mark = self._ids("\x01")[0]
-        self.clear()
-
-    def clear(self) -> None:
+#: Words after which a worker starts a new generation; it remembers those of the generation before too, and what is met again
+#: there moves to the new one, so that frequent words stay and rare ones go.
+WORDS = 300_000
+#: Bytes of text that are split to words together, besides a single longer text.
+TEXT_BYTES = 2 << 20
+#: A word that normalising and splitting leave as it is: lower-case letters of ASCII and Latin-1, as UTF-8.
+_BARE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Punctuation that the tokenizer splits off a word that ends in a letter. Apostrophes are left out, as 's and such are one.
+_ENDS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != ord("'"))
+#: Bytes as the characters that the tokenizer's model has for them: those without a printable one follow from 256.
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
+class Generation:
+    """Words and their ids, in flat arrays."""
+
+    def __init__(self) -> None:
         self.known: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.first, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, m = len(self.known), len(words)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -72,61 +68,102 @@ class WordEncoder:
         self.used += len(ids)
         self.known.update(zip(words, range(n, n + m)))
 
-    def learn(self, words: set[bytes]) -> None:
-        """Encode new words; of those that end in punctuation, the word and the punctuation."""
-        ended = {w: m.groups() for w in words if (m := _ENDED.fullmatch(w)) and b"<|" not in w}
-        parts = {p for pair in ended.values() for p in pair}
-        self._learn([w for w in (words - ended.keys()) | parts if w not in self.known])
+    def ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words numbered ``at``, and where each word's end."""
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        return self.flat[np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+class WordEncoder:
+    """Encodes texts by their words, whose ids it remembers."""
+
+    def __init__(self, path: str, end: int) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.end = Tokenizer.from_file(path), end
+        self.mark = self._ids("\x01")[0]
+        self.young, self.old = Generation(), Generation()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _kept(self, words: list[bytes]) -> list[bytes]:
+        """Move words of the generation before to the new one; returns the others."""
+        get = self.old.known.get
+        at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        had = np.flatnonzero(at >= 0)
+        if len(had):
+            ids, _ = self.old.ids(at[had])
+            self.young.add([words[i] for i in had.tolist()], ids, self.old.size[at[had]])
+        return [words[i] for i in np.flatnonzero(at < 0).tolist()]
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encode distinct words that this generation doesn't know; of those that end in punctuation, the word and the punctuation."""
+        ended = {}
+        plain = set()
+        for w in self._kept(words):
+            stem = w.rstrip(_ENDS)
+            if len(stem) < len(w) and stem and 97 <= stem[-1] <= 122 and b"<|" not in w:
+                ended[w] = (stem, w[len(stem) :])
+                plain.update(ended[w])
+            else:
+                plain.add(w)
+        known = self.young.known
+        self._learn(self._kept([w for w in plain if w not in known]))
         if ended:
-            at = np.array([self.known[p] for pair in ended.values() for p in pair])
-            sizes = self.size[at]
-            ends = np.cumsum(sizes)
-            self._add(list(ended), self.flat[np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(ends[-1])], sizes.reshape(-1, 2).sum(1))
+            at = np.array([known[p] for pair in ended.values() for p in pair])
+            ids, _ = self.young.ids(at)
+            self.young.add(list(ended), ids, self.young.size[at].reshape(-1, 2).sum(1))
 
     def _learn(self, words: list[bytes]) -> None:
-        """Plain words go to the tokenizer's model at once, others through all of it, many at a time with a mark between them,
+        """Bare words go to the tokenizer's model at once, others through all of it, many at a time with a mark between them,
         and the few that hold the mark one at a time."""
         bare = [w for w in words if _BARE.fullmatch(w)]
         if bare:
-            found = [[t.id for t in self.tokenizer.model.tokenize(w.decode())] for w in bare]
-            self._add(bare, np.array([i for ids in found for i in ids], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
-            words = [w for w in words if not _BARE.fullmatch(w)]
+            tokenize = self.tokenizer.model.tokenize
+            found = [[t.id for t in tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(_SHOWN))] for w in bare]
+            self.young.add(bare, np.array([i for ids in found for i in ids], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+            words = list(set(words).difference(bare))
         odd = [w for w in words if b"\x01" in w]
         plain = [w for w in words if b"\x01" not in w] if odd else words
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
             ids = np.array(self._ids(" \x01 ".join([w.decode("utf-8", "replace") for w in some]) + " \x01"), np.uint32)
             ends = np.flatnonzero(ids == self.mark)
-            self._add(some, np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
+            self.young.add(some, np.delete(ids, ends), np.diff(ends, prepend=-1) - 1)
         for w in odd:
             ids = np.array(self._ids(w.decode("utf-8", "replace")), np.uint32)
-            self._add([w], ids, np.array([len(ids)]))
+            self.young.add([w], ids, np.array([len(ids)]))
 
-    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in turn, each text's followed by the end id, and how many each text has."""
-        if len(self.known) > WORDS:
-            self.clear()
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an array of bytes in turn, each text's followed by the end id, and how many each text has."""
+        if len(self.young.known) > WORDS:
+            self.young, self.old = Generation(), self.young
         end = b"\x01 end"  # no word: words hold no blanks
-        if end not in self.known:
-            self._add([end], np.array([self.end], np.uint32), np.array([1]))
-        words: list[bytes] = []
-        counts = []
-        for raw in texts:
-            raw = raw or b""
-            own = raw.split() if b"<|" in raw else raw.lower().split()  # special tokens are told by case
-            words += own
-            words.append(end)
-            counts.append(len(own) + 1)
-        get = self.known.get
-        at = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-        new = np.flatnonzero(at < 0)
+        if end not in self.young.known:
+            self.young.add([end], np.array([self.end], np.uint32), np.array([1]))
+        # Each distinct word is looked up once. Special tokens are told by case.
+        raw = pc.fill_null(texts.cast(pa.binary()), b"").view(pa.string())
+        special = pc.match_substring(raw, "<|")
+        lower = pc.ascii_lower(raw)
+        split = pc.ascii_split_whitespace(pc.if_else(special, raw, lower) if pc.any(special).as_py() else lower)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        get = self.young.known.get
+        number = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(number < 0)
         if len(new):
-            self.learn({words[i] for i in new.tolist()})
-            at[new] = [self.known[words[i]] for i in new.tolist()]
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.diff(ends[np.cumsum(counts) - 1], prepend=0) if counts else np.zeros(0, np.int64)
+            fresh = [words[i] for i in new.tolist()]
+            self.learn(fresh)
+            number[new] = np.fromiter(map(get, fresh), np.int64, len(fresh))
+        stops = split.offsets.to_numpy().astype(np.int64)
+        counts = np.diff(stops)
+        at = np.insert(number[coded.indices.to_numpy()], stops[1:] - stops[0], self.young.known[end])
+        if not len(at):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids, ends = self.young.ids(at)
+        return ids, np.diff(ends[np.cumsum(counts + 1) - 1], prepend=0)
 
 
 _encoders: dict[tuple, WordEncoder] = {}
@@ -145,8 +182,8 @@ def _encoded(path: str, end: int, n_ids: int, wide: str):
 
     def run(batches):
         encoder, pack, total, kind = _encoder(path, end), zstandard.ZstdCompressor(level=1).compress, np.zeros(n_ids, np.int64), None
-        for b in slices(batches, "raw"):
-            ids, counts = encoder.encode(b.column("raw").to_pylist())
+        for b in slices(batches, "raw", TEXT_BYTES):
+            ids, counts = encoder.encode(b.column("raw"))
             total += np.bincount(ids, minlength=n_ids)
             ids, stops, kind = ids.astype(wide), np.cumsum(counts), b.schema.field("key").type
             packed = [pack(ids[z - n : z].tobytes()) for n, z in zip(counts.tolist(), stops.tolist())]

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,18 +32,25 @@ ODD = [
 def test_words_give_the_tokenizers_ids(tokenizer):
     own = tokens.WordEncoder(PATH, 2)
     for text in [*ODD, *ODD]:  # the second time, words are known
-        assert own.encode([text.encode()])[0].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        assert own.encode(pa.array([text.encode()]))[0].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("abcDEé'.,!<|>1 \n\x01́ßσΣ中"), max_size=30), max_size=4))
 def test_any_text(texts):
     own, tk = tokens._encoder(PATH, 2), Tokenizer.from_file(PATH)
-    ids, counts = own.encode([t.encode() for t in texts])
+    ids, counts = own.encode(pa.array([t.encode() for t in texts], pa.binary()))
     want = [[*tk.encode(t, add_special_tokens=False).ids, 2] for t in texts]
     assert ids.tolist() == [i for w in want for i in w] and counts.tolist() == list(map(len, want))
 
 
+def test_words_of_the_generation_before_are_kept(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS", 3)
+    own = tokens.WordEncoder(PATH, 2)
+    for text in [*ODD, "one two one.", "two, three", "one. two three four", *ODD]:
+        assert own.encode(pa.array([text.encode()]))[0].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 10**6), min_size=2, max_size=200), st.integers(9, 20))
 def test_code_lengths_are_a_prefix_code_and_optimal(counts, longest):
