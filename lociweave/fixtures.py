@@ -25,6 +25,11 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunked(markers(spark, sf_dir), CHUNK)
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sample_idx of every sample, with or without reads; they are dense from 0."""
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample_idx"))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """site_idx, sample_idx, depth n, alternate reads a, and the three genotype likelihoods, which sum to 1."""
     reads = read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("site_idx"), F.col("l_suppkey").alias("sample_idx")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("a"))

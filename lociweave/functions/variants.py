@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,11 +22,24 @@ def tag(info: Column, name: str) -> Column:
     return F.try_element_at(tags(info), F.lit(name))
 
 
+def _info(pairs: Column) -> Column:
+    """A map of tags as INFO, in order of name; a flag is its name alone."""
+    text = F.array_join(F.transform(F.array_sort(F.map_entries(pairs)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return F.when(text == "", ".").otherwise(text)
+
+
 def with_tag(info: Column, name: str, value: Column) -> Column:
-    """INFO with one tag set."""
-    rest = F.map_filter(tags(info), lambda k, _: k != name)
-    every = F.map_concat(rest, F.create_map(F.lit(name), value))
-    return F.array_join(F.transform(F.array_sort(F.map_entries(every)), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), ";")
+    """INFO with one tag set; a null value sets a flag."""
+    return _info(F.map_concat(F.map_filter(tags(info), lambda k, _: ~k.isin(name, ".")), F.create_map(F.lit(name), value)))
+
+
+def without_tag(info: Column, name: str) -> Column:
+    return _info(F.map_filter(tags(info), lambda k, _: ~k.isin(name, ".")))
+
+
+def numbers(value: Column) -> Column:
+    """A tag's value as an array of numbers; "." is null."""
+    return F.transform(F.split(value, ","), lambda x: x.try_cast("double"))
 
 
 def is_sv(info: Column) -> Column:
@@ -62,7 +79,104 @@ def none_missing(gts: Column) -> Column:
     return F.forall(gts, lambda g: g.isNotNull() & ~F.contains(g, F.lit(".")))
 
 
+def alleles(gt: Column) -> Column:
+    """A genotype's allele numbers, null where missing."""
+    return F.transform(F.split(gt, r"[/|]"), lambda a: a.try_cast("int"))
+
+
+def ploidy(gt: Column) -> Column:
+    return F.size(F.split(gt, r"[/|]"))
+
+
+def phased(gt: Column) -> Column:
+    """Whether no alleles are joined by a slash."""
+    return ~F.contains(gt, F.lit("/"))
+
+
+def genotype(numbers: Column, is_phased: Column) -> Column:
+    """Allele numbers (null: missing) as a genotype."""
+    text = F.transform(numbers, lambda a: F.coalesce(a.cast("string"), F.lit(".")))
+    return F.when(is_phased, F.array_join(text, "|")).otherwise(F.array_join(text, "/"))
+
+
 def dosage(gt: Column) -> Column:
     """Alternate alleles in a genotype, null if one is missing."""
-    alleles = F.split(gt, r"[/|]")
-    return F.when(~F.array_contains(alleles, "."), F.size(F.filter(alleles, lambda a: a != "0")))
+    found = alleles(gt)
+    return F.when(F.forall(found, lambda a: a.isNotNull()), F.size(F.filter(found, lambda a: a > 0)))
+
+
+def with_format(samples: Column, name: str, values: Column) -> Column:
+    """Samples' maps of FORMAT tags with one tag set, from an array of a value each."""
+    return F.zip_with(samples, values, lambda s, v: F.map_concat(F.map_filter(s, lambda k, _: k != name), F.create_map(F.lit(name), v)))
+
+
+def without_format(samples: Column, name: str) -> Column:
+    return F.transform(samples, lambda s: F.map_filter(s, lambda k, _: k != name))
+
+
+def format_values(samples: Column, name: str) -> Column:
+    """One FORMAT tag of every sample, null where a sample has none."""
+    return F.transform(samples, lambda s: F.try_element_at(s, F.lit(name)))
+
+
+def start(pos: Column) -> Column:
+    """The first position, from 0."""
+    return pos - 1
+
+
+def end(pos: Column, ref: Column, info: Column) -> Column:
+    """The last position, from 1: INFO's END if it has one, else that of REF."""
+    return F.coalesce(tag(info, "END").try_cast("long"), pos + F.length(ref) - 1)
+
+
+def allele_counts(gts: Column, alts: Column) -> Column:
+    """How often the genotypes have each allele, REF first."""
+    every = F.flatten(F.transform(gts, alleles))
+    return F.transform(F.sequence(F.lit(0), F.size(alts)), lambda i: F.size(F.filter(every, lambda a: a == i)))
+
+
+def trimmed(gts: Column, alts: Column) -> tuple[Column, Column]:
+    """(alts, gts) without the alternate alleles that no genotype has, the others numbered anew."""
+    counts = allele_counts(gts, alts)
+    used = F.filter(F.sequence(F.lit(1), F.size(alts)), lambda i: F.element_at(counts, i + 1) > 0)
+    renumbered = lambda a: F.when(a > 0, F.array_position(used, a).cast("int")).otherwise(a)
+    return F.transform(used, lambda i: F.element_at(alts, i)), F.transform(gts, lambda g: genotype(F.transform(alleles(g), renumbered), phased(g)))
+
+
+def swapped(ref: Column, alts: Column) -> tuple[Column, Column]:
+    """(ref, alts) of a record of two alleles the other way round; others stay."""
+    two = F.size(alts) == 1
+    return F.when(two, F.element_at(alts, 1)).otherwise(ref), F.when(two, F.array(ref)).otherwise(alts)
+
+
+#: Operators of filter expressions and what SQL calls them, longest first.
+_WORDS = {"&&": " AND ", "||": " OR ", "==": " = ", "!=": " <> ", "=~": " RLIKE ", "!~": " NOT RLIKE "}
+_OPERATOR = re.compile(r"""("[^"]*"|'[^']*')|(&&|\|\||==|!=|=~|!~|!)""")
+
+
+def condition(text: str) -> Column:
+    """A filter expression such as ``DP >= 20 && (FILTER == "PASS" || !DB)`` over columns named after tags, as a predicate.
+
+    Operators become SQL's; names, numbers, quoted strings and functions (exp, log, sqrt, pow, min, max, length, ...) stay. As in
+    SQL, what is computed from a missing tag is null, and a null doesn't pass.
+    """
+    return F.expr(_OPERATOR.sub(lambda m: "'" + m[1][1:-1].replace("'", "\\'") + "'" if m[1] else _WORDS.get(m[2], " NOT "), text))
+
+
+def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Two-sided p of Fisher's exact test of counts a, b over c, d: tables with the same margins that are no likelier."""
+
+    @F.pandas_udf("double")
+    def p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        def one(a: int, b: int, c: int, d: int) -> float:
+            low, high = max(0, a - d), min(a + b, a + c)
+            x = np.arange(low, high + 1)
+            most = a + b + c + d + 1
+            log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most)))])  # of factorials
+            weights = -(log[x] + log[a + b - x] + log[a + c - x] + log[d - a + x])
+            weights = np.exp(weights - weights.max())
+            return float(min(1.0, weights[weights <= weights[a - low] * (1 + 1e-9)].sum() / weights.sum()))
+
+        return pd.Series([one(*map(int, row)) for row in zip(a, b, c, d)], dtype="float64")
+
+    return p(a, b, c, d)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociweave.functions.numbers import frequency, stay
@@ -28,14 +29,15 @@ def parameters(sites: DataFrame, clusters: int) -> DataFrame:
 
 
 def states(tiles: DataFrame, model: DataFrame, clusters: int) -> DataFrame:
-    """sample_idx, chunk_id, chunk_pos and the probability of each ordered pair of clusters, row by row."""
+    """sample_idx, chunk_id, chunk_pos (of a grid, in grids) and the probability of each ordered pair of clusters, row by row."""
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                _, rates, pi, p = model_of(b, i, clusters)
-                samples, gl = unpacked(b.column("cells")[i].values, len(p))
-                gamma = kernel.passes(kernel.emission(gl, p), rates, pi).gamma
+                starts, rates, pi, p = model_of(b, i, clusters)
+                samples, gl = unpacked(b, i, len(p))
+                gamma = kernel.passes(kernel.emission(gl, p, starts), rates, pi).gamma
+                gamma = kernel.pairs_of(clusters).whole(gamma).swapaxes(0, 1)
                 n, s = gamma.shape[:2]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(samples, s)), pa.array(np.full(n * s, b.column("chunk_id")[i].as_py(), np.int32)), pa.array(np.tile(np.arange(s, dtype=np.int32), n)), pa.array(list(gamma.reshape(n * s, -1)), pa.list_(pa.float64()))], ["sample_idx", "chunk_id", "chunk_pos", "gamma"])
 
@@ -48,10 +50,10 @@ def logliks(tiles: DataFrame, model: DataFrame, clusters: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                _, rates, pi, p = model_of(b, i, clusters)
-                samples, gl = unpacked(b.column("cells")[i].values, len(p))
-                found = kernel.passes(kernel.emission(gl, p), rates, pi)
-                yield pa.RecordBatch.from_arrays([pa.array(samples), pa.array(np.full(len(samples), b.column("chunk_id")[i].as_py(), np.int32)), pa.array(found.loglik)], ["sample_idx", "chunk_id", "loglik"])
+                starts, rates, pi, p = model_of(b, i, clusters)
+                samples, gl = unpacked(b, i, len(p))
+                _, scale = kernel.forward(kernel.emission(gl, p, starts), rates, pi)
+                yield pa.RecordBatch.from_arrays([pa.array(samples), pa.array(np.full(len(samples), b.column("chunk_id")[i].as_py(), np.int32)), pa.array(-np.log(scale).sum(0))], ["sample_idx", "chunk_id", "loglik"])
 
     return tiles.join(small(model), "chunk_id").mapInArrow(run, "sample_idx long, chunk_id int, loglik double")
 
@@ -63,7 +65,7 @@ def priors(model: DataFrame, clusters: int) -> DataFrame:
         for b in batches:
             for i in range(b.num_rows):
                 _, rates, pi, _ = model_of(b, i, clusters)
-                pair = kernel.pair_prior(rates, pi)
+                pair = kernel.pairs_of(clusters).whole(kernel.pair_prior(rates, pi))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pi), b.column("chunk_id")[i].as_py(), np.int32)), pa.array(np.arange(len(pi), dtype=np.int32)), pa.array(list(pair.reshape(len(pi), -1)), pa.list_(pa.float64()))], ["chunk_id", "chunk_pos", "prior"])
 
     return model.mapInArrow(run, "chunk_id int, chunk_pos int, prior array<double>")
@@ -94,3 +96,25 @@ def with_given(model: DataFrame, chunks: DataFrame, given: DataFrame, column: st
     rows = order.join(given, "row").groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("chunk_pos", "values"))).alias("all"))
     new = rows.select("chunk_id", F.flatten(F.transform("all", lambda x: x["values"])).alias("_given"))
     return model.join(new, "chunk_id", "left").withColumn(column, F.coalesce("_given", column)).drop("_given")
+
+
+def with_given_rates(model: DataFrame, given: DataFrame) -> DataFrame:
+    """``model``, a settled table, with no-jump probabilities from rows of a matrix of the three rates, one a grid in the order of all
+    grids."""
+    sizes = model.select("chunk_id", F.size("starts").alias("n"))
+    starts = sizes.select("chunk_id", (F.sum("n").over(W.orderBy("chunk_id")) - F.col("n")).alias("before"))  # a row a chunk
+    rows = model.select("chunk_id", F.posexplode("starts").alias("grid_id", "_")).join(starts, "chunk_id").select("chunk_id", "grid_id", (F.col("before") + F.col("grid_id")).alias("row"))
+    new = rows.join(given, "row").groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("grid_id", F.sqrt(F.element_at("values", 1)).alias("er")))).alias("all"))
+    return model.join(new, "chunk_id", "left").withColumn("er", F.coalesce(F.transform("all", lambda x: x["er"]), "er")).drop("all")
+
+
+def shares_of(hap: DataFrame, clusters: int) -> DataFrame:
+    """A row a grid: chunk_id, grid_id, hapfreq, how much each cluster is used; sums to 1."""
+    grids = F.transform(F.sequence(F.lit(0), (F.size("hap") / clusters).cast("int") - 1), lambda i: F.slice("hap", i * clusters + 1, clusters))
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    return hap.select("chunk_id", F.posexplode(grids).alias("grid_id", "x")).withColumn("hapfreq", F.transform("x", lambda v: v / total)).drop("x")
+
+
+def products(values: str):
+    """All products of two elements of an array, row by row."""
+    return F.flatten(F.transform(values, lambda a: F.transform(values, lambda b: a * b)))

@@ -1,7 +1,8 @@
 """Imputation: EM over the haplotype-cluster model, one Spark job a pass.
 
-Each pass joins tiles with their chunk's parameters (one row a chunk), runs the kernel, sums the statistics by chunk and makes
-the next parameters, which are written before the next pass reads them. Only the log-likelihood comes to the driver.
+Each pass joins tiles with their chunk's parameters (one row a chunk), runs the kernel, and adds the statistics up by chunk in each
+task, so that what is written is at most a row a chunk and task; the rows of a chunk are then added up to make the next parameters,
+which are written before the next pass reads them, while what the pass read is deleted. Only the log-likelihood comes to the driver.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from lociweave.functions.numbers import LEAST_JUMP, LEAST_RATE, MEGABASE, MOST_RATE, POPULATION
 from lociweave.jobs import kernel
-from lociweave.jobs.tiles import arrays_of, summed, unpacked
-from lociweave.session import settled, small
+from lociweave.jobs.tiles import arrays_of, by_chunk, flat, summed, unpacked
+from lociweave.session import forget, settled, small
 
 PARAMETERS = "chunk_id int, sites int, starts array<int>, distance array<double>, er array<double>, pi array<double>, p array<double>"
 STATISTICS = "chunk_id int, loglik double, samples double, ref array<double>, alt array<double>, jump array<double>, hap array<double>"
@@ -33,10 +34,6 @@ class Options:
     refill: int = 0  # 0: never; 1: to the least frequency; 2: from the most used other cluster; 3: from a random one
 
 
-def flat(column: pa.Array, i: int) -> np.ndarray:
-    return column[i].values.to_numpy(zero_copy_only=False)
-
-
 def start(sites: DataFrame, options: Options) -> DataFrame:
     """A row of parameters a chunk: uniform cluster shares, jumps by distance, random allele frequencies from seed and chunk."""
     kept = sites.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("chunk_pos", "pos"))).alias("all")).select("chunk_id", F.transform("all", lambda x: x["pos"]).alias("pos"))
@@ -68,21 +65,15 @@ def model_of(b: pa.RecordBatch, i: int, clusters: int):
 
 
 def expected(tiles: DataFrame, parameters: DataFrame, clusters: int) -> DataFrame:
-    """A row of statistics a tile."""
+    """Statistics, a row a chunk and task."""
 
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                starts, rates, pi, p = model_of(b, i, clusters)
-                samples, gl = unpacked(b.column("cells")[i].values, len(p))
-                e = kernel.emission(gl, p, starts)
-                found = kernel.passes(e, rates, pi)
-                gamma = found.gamma
-                ref, alt = kernel.allele_counts(gl, p, gamma, starts)
-                sums = {"ref": [ref], "alt": [alt], "jump": [kernel.jumps(found, e, rates, pi)], "hap": [gamma.sum((0, 3))]}
-                yield pa.RecordBatch.from_arrays([pa.array([b.column("chunk_id")[i].as_py()], pa.int32()), pa.array([found.loglik.sum()]), pa.array([float(len(samples))]), *arrays_of(sums)], ["chunk_id", "loglik", "samples", *sums])
+    def counted(b: pa.RecordBatch, i: int) -> dict[str, np.ndarray]:
+        starts, rates, pi, p = model_of(b, i, clusters)
+        samples, gl = unpacked(b, i, len(p))
+        loglik, sums = kernel.impute_counts(gl, p, starts, rates, pi)
+        return {"loglik": loglik.sum(), "samples": float(len(samples))} | sums
 
-    return tiles.join(small(parameters), "chunk_id").mapInArrow(run, STATISTICS)
+    return tiles.join(small(parameters), "chunk_id").mapInArrow(lambda batches: by_chunk(batches, counted), STATISTICS)
 
 
 def refilled(p: np.ndarray, hap: np.ndarray, starts: np.ndarray, how: int, tol: float, seed: list) -> np.ndarray:
@@ -114,7 +105,7 @@ def simplex(x: np.ndarray, tol: float) -> np.ndarray:
 
 def maximised(parameters: DataFrame, statistics: DataFrame, options: Options, turn: int) -> DataFrame:
     """The next parameters of every chunk that has statistics; others stay."""
-    sums = summed(statistics, "chunk_id", ["ref", "alt", "jump", "hap"]).join(statistics.groupBy("chunk_id").agg(F.sum("samples").alias("samples")), "chunk_id")
+    sums = summed(statistics, "chunk_id", ["ref", "alt", "jump", "hap", "samples"])
     fills = options.refill if turn > 4 and turn < options.passes / 4 and turn % 4 == 1 else 0
 
     def run(batches):
@@ -142,13 +133,13 @@ def maximised(parameters: DataFrame, statistics: DataFrame, options: Options, tu
 
 
 def posteriors(tiles: DataFrame, parameters: DataFrame, clusters: int) -> DataFrame:
-    """sample_idx, chunk_id, chunk_pos, gp0, gp1, gp2 of every sample of a tile and every site of its chunk."""
+    """sample_idx, chunk_id, chunk_pos, gp0, gp1, gp2 of every sample and site, with or without reads."""
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
                 starts, rates, pi, p = model_of(b, i, clusters)
-                samples, gl = unpacked(b.column("cells")[i].values, len(p))
+                samples, gl = unpacked(b, i, len(p))
                 gamma = kernel.passes(kernel.emission(gl, p, starts), rates, pi).gamma
                 gp = kernel.posteriors(gl, p, gamma, starts)
                 n, s, _ = gp.shape
@@ -160,12 +151,20 @@ def posteriors(tiles: DataFrame, parameters: DataFrame, clusters: int) -> DataFr
     return tiles.join(small(parameters), "chunk_id").mapInArrow(run, "sample_idx long, chunk_id int, chunk_pos int, gp0 double, gp1 double, gp2 double")
 
 
+def used_haplotypes(tiles: DataFrame, parameters: DataFrame, clusters: int) -> DataFrame:
+    """(chunk_id, hap): expected haplotypes in each cluster at each grid, over samples."""
+    found = settled(expected(tiles, parameters, clusters), "impute-statistics", large_rows=True)
+    return summed(found, "chunk_id", ["hap"])
+
+
 def fit(tiles: DataFrame, sites: DataFrame, options: Options, parameters: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[float]]:
     """(parameters that the last pass used, parameters after it, log-likelihood of each pass). ``tiles`` is a settled table."""
     now, history = settled(parameters if parameters is not None else start(sites, options), "impute-parameters"), []
-    used = now
+    used = None
     for turn in range(options.passes + 1):
-        found = settled(expected(tiles, now, options.clusters), "impute-statistics")
+        found = settled(expected(tiles, now, options.clusters), "impute-statistics", large_rows=True)
         history.append(found.agg(F.sum("loglik")).first()[0])
+        forget(used)
         used, now = now, settled(maximised(now, found, options, turn), "impute-parameters")
+        forget(found)
     return used, now, history

@@ -1,52 +1,138 @@
 """Tiles: the likelihoods of a block of samples at a chunk's sites, the unit that one call of the kernel handles.
 
-A tile holds only cells with reads; a cell without is as likely under each genotype. Tiles have a bounded number of cells, so
-a chunk of any number of samples is spread over many tasks, and parameters reach a tile as one row of its chunk.
+A tile names all samples of its block but holds only cells with reads; a cell without is as likely under each genotype. Tiles have
+a bounded number of samples and cells, so a chunk of any number of samples is spread over many tasks, and parameters reach a
+tile as one row of its chunk. Tiles of a chunk are neighbours, so that a task adds up what it finds before it hands anything on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Samples x sites in a tile, about.
-TILE_CELLS = 20_000
+from lociweave.session import settled, small
+
+#: Samples x sites in a tile, about, and samples.
+TILE_CELLS, TILE_SAMPLES = 1 << 17, 256
+#: Values that a task adds up by block before it hands them on.
+HELD_VALUES = 1 << 22
 
 
 def block_of(blocks: int):
     return F.pmod(F.xxhash64("sample_idx"), F.lit(blocks)).cast("int")
 
 
-def tiles(cells: DataFrame, sites: DataFrame, chunk: int, cells_a_tile: int = TILE_CELLS) -> DataFrame:
-    """chunk_id, block, and the cells (sample_idx, chunk_pos, gl0, gl1, gl2) of each."""
-    n = cells.select("sample_idx").distinct().count()
-    blocks = max(1, -(-n * chunk // cells_a_tile))
-    # Tiles are small and slow: they are dealt by their number, not by their bytes.
-    count = blocks * max(1, sites.agg(F.count_distinct("chunk_id")).first()[0])
+def tiles(cells: DataFrame, sites: DataFrame, chunk: int, cells_a_tile: int = TILE_CELLS, samples: DataFrame | None = None) -> DataFrame:
+    """chunk_id, block, the block's samples in ascending order, and the cells (sample_idx, chunk_pos, gl0, gl1, gl2) of each.
+
+    ``samples`` (sample_idx) names all samples; without it, they are those that have a cell. Every pair of a chunk and a block
+    is a tile, with or without cells.
+    """
+    samples = (cells.select("sample_idx") if samples is None else samples.select("sample_idx")).distinct()
+    samples = settled(samples, "samples")
+    blocks = max(1, -(-samples.count() // max(1, min(TILE_SAMPLES, cells_a_tile // chunk))))
+    members = settled(samples.groupBy(block_of(blocks).alias("block")).agg(F.sort_array(F.collect_list("sample_idx")).alias("samples")), "blocks")
+    chunks = sites.select("chunk_id").distinct()
+    count = blocks * max(1, chunks.count())
     tasks = min(count, max(2 * cells.sparkSession.sparkContext.defaultParallelism, count // 64))
-    placed = cells.join(sites.select("site_idx", "chunk_id", "chunk_pos"), "site_idx").withColumn("block", block_of(blocks))
-    return placed.repartition(tasks, "chunk_id", "block").groupBy("chunk_id", "block").agg(F.collect_list(F.struct("sample_idx", "chunk_pos", "gl0", "gl1", "gl2")).alias("cells"))
+    placed = cells.join(sites.select("site_idx", "chunk_id", "chunk_pos"), "site_idx")
+    cell = F.struct("sample_idx", "chunk_pos", "gl0", "gl1", "gl2")
+    rows = placed.select("chunk_id", block_of(blocks).alias("block"), cell.alias("cell"))
+    rows = rows.union(chunks.select("chunk_id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.lit(None).cast(rows.schema["cell"].dataType)))
+    found = rows.repartitionByRange(tasks, "chunk_id", "block").groupBy("chunk_id", "block").agg(F.collect_list("cell").alias("cells"))
+    return found.join(small(members), "block").select("chunk_id", "block", "samples", "cells").sortWithinPartitions("chunk_id", "block")
 
 
-def unpacked(row_cells: pa.StructArray, sites: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sample numbers, ascending, and their likelihoods (n, S, 3)."""
-    column = {f.name: row_cells.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(row_cells.type)}
-    samples, at = np.unique(column["sample_idx"], return_inverse=True)
+def flat(column: pa.Array, i: int) -> np.ndarray:
+    return column[i].values.to_numpy(zero_copy_only=False)
+
+
+def unpacked(b: pa.RecordBatch, i: int, sites: int) -> tuple[np.ndarray, np.ndarray]:
+    """A tile's sample numbers, ascending, and their likelihoods (n, S, 3)."""
+    samples, cells = flat(b.column("samples"), i), b.column("cells")[i].values
+    column = {f.name: cells.field(k).to_numpy(zero_copy_only=False) for k, f in enumerate(cells.type)}
     gl = np.full((len(samples), sites, 3), 1 / 3)
-    gl[at, column["chunk_pos"]] = np.stack([column[f"gl{g}"] for g in range(3)], 1)
+    gl[np.searchsorted(samples, column["sample_idx"]), column["chunk_pos"]] = np.stack([column[f"gl{g}"] for g in range(3)], 1)
     return samples, gl
 
 
+def arrays_of(columns: dict[str, list[np.ndarray]]) -> list[pa.Array]:
+    return [pa.array([x.ravel() for x in v], pa.list_(pa.float64())) for v in columns.values()]
+
+
+def added(into: dict[str, np.ndarray], found: dict[str, np.ndarray]) -> None:
+    for name, x in found.items():
+        into[name] += x
+
+
+def by_chunk(batches, counted: Callable[[pa.RecordBatch, int], dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Sums of what ``counted`` gives for each row, a row for each run of rows of one chunk: chunk_id and the names given."""
+
+    def row(chunk: int, sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+        plain = {c: x for c, x in sums.items() if np.ndim(x) == 0}
+        whole = arrays_of({c: [x] for c, x in sums.items() if c not in plain})
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), *(pa.array([float(x)]) for x in plain.values()), *whole], ["chunk_id", *plain, *(c for c in sums if c not in plain)])
+
+    now, sums = None, {}
+    for b in batches:
+        for i, chunk in enumerate(b.column("chunk_id").to_pylist()):
+            found = counted(b, i)
+            if chunk == now:
+                added(sums, found)
+                continue
+            if now is not None:
+                yield row(now, sums)
+            now, sums = chunk, found
+    if now is not None:
+        yield row(now, sums)
+
+
+class Shares:
+    """Sums by block, of arrays of one size a block; what is held is bounded."""
+
+    def __init__(self) -> None:
+        self.sums: dict[int, np.ndarray] = {}
+        self.held = 0
+
+    def add(self, block: int, values: np.ndarray) -> None:
+        if block in self.sums:
+            self.sums[block] += values
+        else:
+            self.sums[block] = values.copy()
+            self.held += values.size
+
+    def full(self) -> bool:
+        return self.held > HELD_VALUES
+
+    def taken(self) -> dict[int, np.ndarray]:
+        out, self.sums, self.held = self.sums, {}, 0
+        return out
+
+
 def summed(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """One row a key: array columns summed place by place, with partial sums before the shuffle."""
-    each = rows.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("values")) for c in columns])).alias("x"))
-    placed = each.select(key, "x.kind", F.posexplode("x.values").alias("place", "value")).groupBy(key, "kind", "place").agg(F.sum("value").alias("value"))
-    arrays = placed.groupBy(key, "kind").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("all"))
-    arrays = arrays.withColumn("all", F.transform("all", lambda x: x["value"]))
-    return arrays.groupBy(key).agg(*[F.first(F.when(F.col("kind") == c, F.col("all")), ignorenulls=True).alias(c) for c in columns])
+    """One row a key: numbers and arrays of numbers added up. ``rows`` has few rows a key."""
+    chosen = rows.select(key, *columns)
 
+    def run(batches):
+        def row(k, values):
+            return pa.RecordBatch.from_arrays([pa.array([k], kind), *(pa.array([x if np.ndim(x) else float(x)], t) for x, t in zip(values, kinds))], [key, *columns])
 
-def arrays_of(columns: dict[str, list[np.ndarray]]) -> list[pa.Array]:
-    return [pa.array([x.ravel() for x in v], pa.list_(pa.float64())) for v in columns.values()]
+        now, sums, kind, kinds = None, [], None, []
+        for b in batches:
+            kind, kinds = b.schema.field(key).type, [b.schema.field(c).type for c in columns]
+            for i, k in enumerate(b.column(key).to_pylist()):
+                found = [flat(b.column(c), i) if pa.types.is_list(t) else b.column(c)[i].as_py() for c, t in zip(columns, kinds)]
+                if k == now:
+                    sums = [x + y for x, y in zip(sums, found)]
+                    continue
+                if now is not None:
+                    yield row(now, sums)
+                now, sums = k, found
+        if now is not None:
+            yield row(now, sums)
+
+    return chosen.repartition(key).sortWithinPartitions(key).mapInArrow(run, chosen.schema)

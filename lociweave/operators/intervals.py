@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lociweave.functions.variants import allele_kind
+
 #: Base pairs in a bin of an interval join.
 BIN = 16_384
 
@@ -19,15 +21,48 @@ def overlaps(points: DataFrame, regions: DataFrame, width: int = BIN) -> DataFra
     return points.withColumn("_bin", F.floor(F.col("pos") / width)).join(binned, ["contig", "_bin"]).where(F.col("pos").between(F.col("beg"), F.col("end"))).drop("_bin")
 
 
-def merged(regions: DataFrame) -> DataFrame:
-    """Regions (contig, beg, end) joined where they overlap or touch: contig, beg, end, n."""
-    order = W.partitionBy("contig").orderBy("beg", "end")
-    furthest = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    begins = F.when(F.col("beg") <= furthest + 1, 0).otherwise(1)
-    grouped = regions.withColumn("_new", begins).withColumn("_group", F.sum("_new").over(order))
+def merged(regions: DataFrame, span: int = 1 << 20) -> DataFrame:
+    """Regions (contig, beg, end) joined where they overlap or touch: contig, beg, end, n.
+
+    Regions are swept within spans of their first position; each span gets the furthest end and the number of groups of all
+    spans before it, which are few rows.
+    """
+    placed = regions.withColumn("_span", F.floor(F.col("beg") / span))
+    spans, inside = W.partitionBy("contig").orderBy("_span"), W.partitionBy("contig", "_span").orderBy("beg", "end")
+    ends = placed.groupBy("contig", "_span").agg(F.max("end").alias("_end"))
+    reached = ends.select("contig", "_span", F.max("_end").over(spans.rowsBetween(W.unboundedPreceding, -1)).alias("_reached"))
+    furthest = F.greatest(F.max("end").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.col("_reached"))
+    begun = placed.join(reached, ["contig", "_span"]).withColumn("_new", F.when(F.col("beg") <= furthest + 1, 0).otherwise(1)).drop("_reached")
+    counts = begun.groupBy("contig", "_span").agg(F.sum("_new").alias("_n"))
+    before = counts.select("contig", "_span", (F.sum("_n").over(spans) - F.col("_n")).alias("_before"))
+    grouped = begun.withColumn("_within", F.sum("_new").over(inside)).join(before, ["contig", "_span"]).withColumn("_group", F.col("_before") + F.col("_within"))
     return grouped.groupBy("contig", "_group").agg(F.min("beg").alias("beg"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("_group")
 
 
 def synced(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two files' records (contig, pos, value) side by side at each position that either has."""
     return a.withColumnRenamed("value", "a").join(b.withColumnRenamed("value", "b"), ["contig", "pos"], "full_outer")
+
+
+#: When two records at one position are of the same variant.
+RULES = ("exact", "some", "snps", "indels", "any")
+
+
+def paired(a: DataFrame, b: DataFrame, rule: str = "exact") -> DataFrame:
+    """Records (contig, pos, ref, alts, ...) of two files side by side where they are of the same variant, and alone elsewhere;
+    columns of ``b`` but contig and pos end in _b.
+
+    exact: same REF and set of ALTs; some: same REF and an ALT in common; snps, indels: both have such an allele; any: same position.
+    """
+    if rule not in RULES:
+        raise ValueError(f"rule must be one of {RULES}")
+    other = b.select("contig", "pos", *[F.col(c).alias(f"{c}_b") for c in b.columns if c not in ("contig", "pos")])
+    both = a.withColumnsRenamed({"contig": "_contig", "pos": "_pos"})
+    same = (F.col("_contig") == F.col("contig")) & (F.col("_pos") == F.col("pos"))
+    kind = lambda *kinds: F.exists("alts", lambda x: allele_kind(F.col("ref"), x).isin(*kinds)) & F.exists("alts_b", lambda x: allele_kind(F.col("ref_b"), x).isin(*kinds))
+    match = {
+        "exact": (F.col("ref") == F.col("ref_b")) & (F.array_sort("alts") == F.array_sort("alts_b")), "some": (F.col("ref") == F.col("ref_b")) & F.arrays_overlap("alts", "alts_b"),
+        "snps": kind("SNP"), "indels": kind("INS", "DEL"), "any": F.lit(True),
+    }
+    found = both.join(other, same & match[rule], "full_outer")
+    return found.withColumns({"contig": F.coalesce("contig", "_contig"), "pos": F.coalesce("pos", "_pos")}).drop("_contig", "_pos")

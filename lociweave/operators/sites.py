@@ -1,4 +1,4 @@
-"""The ordered dimension: chunks, distances and grids of sites, as windows that never span more than one contig."""
+"""The ordered dimension: chunks, distances and grids of sites, as windows over spans of a contig or over chunks."""
 
 from __future__ import annotations
 
@@ -7,26 +7,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Values of an order key that are put in order together.
+SPAN = 1 << 20
+
+
+def ranked(rows: DataFrame, group: str, by: str, ties: tuple[str, ...] = (), span: int = SPAN) -> DataFrame:
+    """``rows`` with ``rank``, from 0 within the group in order of the whole number ``by``, then of ``ties``.
+
+    Rows are put in order within spans of ``by``, and the counts of the spans before are added, so that no group, however large,
+    is one task.
+    """
+    placed = rows.withColumn("_span", F.floor(F.col(by) / span))
+    counts = placed.groupBy(group, "_span").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(group, "_span", (F.sum("_n").over(W.partitionBy(group).orderBy("_span")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(W.partitionBy(group, "_span").orderBy(by, *ties)) - 1
+    return placed.withColumn("_within", within).join(before, [group, "_span"]).withColumn("rank", F.col("_before") + F.col("_within")).drop("_span", "_before", "_within")
+
+
 def chunked(markers: DataFrame, size: int) -> DataFrame:
     """``markers`` (contig, site_idx, ...) with chunk_id and chunk_pos: a new chunk at each contig and after every ``size`` sites.
 
     Chunks are numbered through all contigs, in the order of their first sites; only one row a contig meets in one task.
     """
-    within = F.row_number().over(W.partitionBy("contig").orderBy("site_idx")) - 1
     contigs = markers.groupBy("contig").agg(F.min("site_idx").alias("first"), F.ceil(F.count(F.lit(1)) / size).alias("chunks"))
     starts = contigs.select("contig", (F.sum("chunks").over(W.orderBy("first")) - F.col("chunks")).alias("start"))
-    return (
-        markers.withColumn("rank", within)
-        .join(starts, "contig")
-        .withColumns({"chunk_id": (F.col("start") + F.floor(F.col("rank") / size)).cast("int"), "chunk_pos": (F.col("rank") % size).cast("int")})
-        .drop("rank", "start")
-    )
+    found = ranked(markers, "contig", "site_idx").join(starts, "contig")
+    return found.withColumns({"chunk_id": (F.col("start") + F.floor(F.col("rank") / size)).cast("int"), "chunk_pos": (F.col("rank") % size).cast("int")}).drop("rank", "start")
 
 
 def rebalanced(chunks: DataFrame, size: int) -> DataFrame:
     """Chunks of one contig filled up to ``size`` from those after them."""
-    rank = F.row_number().over(W.partitionBy("contig").orderBy("site_idx")) - 1
-    return chunks.withColumns({"chunk_in_contig": F.floor(rank / size).cast("int"), "chunk_pos": (rank % size).cast("int")})
+    rank = F.col("rank")
+    return ranked(chunks, "contig", "site_idx").withColumns({"chunk_in_contig": F.floor(rank / size).cast("int"), "chunk_pos": (rank % size).cast("int")}).drop("rank")
 
 
 def thinned(chunks: DataFrame, step: int) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from lociweave import fixtures
 from lociweave.functions.numbers import clamped, frequency, rounded
 from lociweave.operators import calls, labels, likelihoods
-from lociweave.queries.registry import CELLS, SITES, freq, query, r
-from lociweave.session import read, settled, small
+from lociweave.queries.registry import CELLS, SITES, freq, query, r, text
+from lociweave.session import read, settled
 from lociweave.sources import beagle, plink, vcf
 
 
@@ -20,71 +20,84 @@ def gl_from_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({f"gl{g}": rounded(F.col(f"gl{g}"), 9) for g in range(3)})
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Site scores under random mating, with the frequency of alternate reads."""
+def frequencies(cells: DataFrame) -> DataFrame:
+    """(site_idx, af): the frequency of alternate reads, within 0.01 and 0.99, of sites with reads."""
+    return cells.groupBy("site_idx").agg(clamped(F.sum("a") / F.sum("n"), 0.01).alias("af"))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """Posteriors under random mating of the cells with reads, those of a sample without, and how many samples there are."""
     cells = fixtures.cells(spark, sf_dir)
-    af = cells.groupBy("site_idx").agg(clamped(F.sum("a") / F.sum("n"), 0.01).alias("af"))
-    return calls.called(calls.hardy_weinberg(cells.join(af, "site_idx"), F.col("af")))
+    af = settled(frequencies(cells), "af")
+    return calls.hardy_weinberg(cells.join(af, "site_idx"), F.col("af")), calls.without_reads(af), fixtures.samples(spark, sf_dir).count()
 
 
-_CALLS = f"""{CELLS},
+_HWE = f"""{CELLS},
 afs AS (SELECT site_idx, least(greatest(sum(a)::DOUBLE / sum(n)::DOUBLE, 0.01::DOUBLE), 0.99::DOUBLE) AS af FROM cells GROUP BY site_idx),
-weights AS (SELECT *, gl0 * (1 - af) * (1 - af) AS w0, gl1 * 2::DOUBLE * af * (1 - af) AS w1, gl2 * af * af AS w2 FROM cells JOIN afs USING (site_idx)),
-hwe AS (SELECT site_idx, sample_idx, w0 / (w0 + w1 + w2) AS q0, w1 / (w0 + w1 + w2) AS q1, w2 / (w0 + w1 + w2) AS q2 FROM weights),
-called AS (SELECT site_idx, sample_idx, {r('q0', 3)} AS gp0, {r('q1', 3)} AS gp1, {r('q2', 3)} AS gp2,
-  CASE WHEN q0 > q1 AND q0 > q2 THEN '0/0' WHEN q2 > q1 THEN '1/1' ELSE '1/0' END AS gt FROM hwe),
-dosed AS (SELECT *, gp1 + 2::DOUBLE * gp2 AS ds FROM called),
-sums AS (SELECT site_idx, count(*) AS n, CAST(sum(CAST(floor(ds * 1000::DOUBLE + 0.5) AS BIGINT)) AS BIGINT) AS dosage, sum(gp1 + 4::DOUBLE * gp2 - ds * ds) AS spread FROM dosed GROUP BY site_idx),
-eafs AS (SELECT *, dosage / (2000::DOUBLE * n) AS f FROM sums),
-scores AS (SELECT site_idx, n, ((dosage * 1000 + n) // (2 * n)) / 1e6::DOUBLE AS eaf, CASE WHEN {r('f', 2)} <= 0 OR {r('f', 2)} >= 1 THEN 1::DOUBLE
+every AS (SELECT f.site_idx, s_suppkey AS sample_idx, af, coalesce(gl0, 1::DOUBLE) AS g0, coalesce(gl1, 1::DOUBLE) AS g1, coalesce(gl2, 1::DOUBLE) AS g2, c.n IS NOT NULL AS covered
+  FROM afs f CROSS JOIN supplier LEFT JOIN cells c ON c.site_idx = f.site_idx AND c.sample_idx = s_suppkey),
+weights AS (SELECT *, g0 * (1 - af) * (1 - af) AS w0, g1 * 2::DOUBLE * af * (1 - af) AS w1, g2 * af * af AS w2 FROM every),
+hwe AS (SELECT site_idx, sample_idx, covered, w0 / (w0 + w1 + w2) AS gp0, w1 / (w0 + w1 + w2) AS gp1, w2 / (w0 + w1 + w2) AS gp2 FROM weights),
+called AS (SELECT site_idx, sample_idx, covered, {r('gp0', 3)} AS gp0, {r('gp1', 3)} AS gp1, {r('gp2', 3)} AS gp2 FROM hwe),
+dosed AS (SELECT *, gp1 + 2::DOUBLE * gp2 AS ds, CASE WHEN gp0 > gp1 AND gp0 > gp2 THEN '0/0' WHEN gp2 > gp1 THEN '1/1' ELSE '1/0' END AS gt FROM called)"""
+
+
+def _scores(source: str) -> str:
+    return f"""moments AS (SELECT site_idx, gp1 + 2::DOUBLE * gp2 AS dose, gp1 + 4::DOUBLE * gp2 - (gp1 + 2::DOUBLE * gp2) * (gp1 + 2::DOUBLE * gp2) AS spread FROM {source}),
+eafs AS (SELECT site_idx, count(*) AS n, sum(dose) / (2::DOUBLE * count(*)) AS f, sum(spread) AS spread FROM moments GROUP BY site_idx),
+scores AS (SELECT site_idx, n, {r('f')} AS eaf, CASE WHEN {r('f', 2)} <= 0 OR {r('f', 2)} >= 1 THEN 1::DOUBLE
   ELSE {r('greatest(0::DOUBLE, least(1::DOUBLE, 1 - spread / (2::DOUBLE * n * f * (1 - f))))', 3)} END AS info FROM eafs)"""
 
 
-@query(f"WITH {_CALLS} SELECT site_idx, sample_idx, gp0, gp1, gp2, {r('ds', 3)} AS ds, gt FROM dosed")
+@query(f"WITH {_HWE} SELECT site_idx, sample_idx, gp0, gp1, gp2, {r('ds', 3)} AS ds, gt FROM dosed WHERE covered")
 def hwe_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("site_idx", "sample_idx", "gp0", "gp1", "gp2", rounded(F.col("ds"), 3).alias("ds"), "gt")
+    return calls.called(scored(spark, sf_dir)[0]).select("site_idx", "sample_idx", "gp0", "gp1", "gp2", rounded(F.col("ds"), 3).alias("ds"), "gt")
 
 
-@query(f"WITH {_CALLS} SELECT site_idx, n, eaf, info FROM scores")
+@query(f"WITH {_HWE}, {_scores('hwe')} SELECT site_idx, n, eaf, info FROM scores")
 def site_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: likelihoods from reads, calls, and each site's alternate frequency and INFO."""
-    return calls.site_scores(scored(spark, sf_dir))
+    """The flagship: likelihoods from reads, posteriors, and each site's alternate frequency and INFO over all samples."""
+    posteriors, absent, n = scored(spark, sf_dir)
+    return calls.site_scores(posteriors, n, absent)
 
 
-@query(f"WITH {_CALLS} SELECT site_idx, n, eaf, info FROM scores WHERE info < 0.4::DOUBLE OR info = 1")
+@query(f"WITH {_HWE}, {_scores('called')} SELECT site_idx, n, info FROM scores WHERE info < 0.4::DOUBLE OR info = 1")
 def info_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calls.uninformative(site_scores(spark, sf_dir), 0.4)
+    """Sites to leave out, by INFO from posteriors as they are written."""
+    posteriors, absent, n = scored(spark, sf_dir)
+    return calls.uninformative(calls.site_scores(calls.called(posteriors), n, calls.called(absent)), 0.4).select("site_idx", "n", "info")
 
 
-@query(f"""WITH {_CALLS}, counts AS (SELECT site_idx, count(*) AS n, sum(gp1) AS ones, sum(gp2) AS twos FROM called GROUP BY site_idx HAVING sum(gp1 + gp2) > 0),
+@query(f"""WITH {_HWE}, counts AS (SELECT site_idx, count(*) AS n, sum(gp1) AS ones, sum(gp2) AS twos FROM hwe GROUP BY site_idx),
 terms AS (SELECT *, ones + twos * 2::DOUBLE AS c, ones + twos * 4::DOUBLE AS s FROM counts WHERE ones + twos * 2 < n * 2)
 SELECT site_idx, {r('greatest(0::DOUBLE, least(1::DOUBLE, 1 - (s - c * c) / (c * (1 - c / (2::DOUBLE * n)))))', 5)} AS info FROM terms""")
 def cluster_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = scored(spark, sf_dir).groupBy("site_idx").agg(F.count(F.lit(1)).alias("n"), F.sum("gp1").alias("ones"), F.sum("gp2").alias("twos"), F.sum(F.col("gp1") + F.col("gp2")).alias("any"))
-    kept = sums.where((F.col("any") > 0) & (F.col("ones") + F.col("twos") * 2 < F.col("n") * 2))
-    return kept.select("site_idx", rounded(calls.cluster_info(F.col("n"), F.col("ones"), F.col("twos")), 5).alias("info"))
+    posteriors, absent, n = scored(spark, sf_dir)
+    sums = posteriors.groupBy("site_idx").agg(F.count(F.lit(1)).alias("rows"), F.sum("gp1").alias("s1"), F.sum("gp2").alias("s2"))
+    every = absent.join(sums, "site_idx", "left").select("site_idx", *[(F.coalesce(f"s{g}", F.lit(0.0)) + (n - F.coalesce("rows", F.lit(0))) * F.col(f"gp{g}")).alias(c) for g, c in ((1, "ones"), (2, "twos"))])
+    return every.where(F.col("ones") + F.col("twos") * 2 < n * 2).select("site_idx", rounded(calls.cluster_info(F.lit(n), F.col("ones"), F.col("twos")), 5).alias("info"))
 
 
 def _af_rounds(n: int) -> str:
-    steps = ["af0 AS (SELECT DISTINCT site_idx, 0.25::DOUBLE AS af FROM cells)"]
+    steps = ["whole AS (SELECT count(*) AS m FROM supplier)", "af0 AS (SELECT DISTINCT site_idx, 0.25::DOUBLE AS af FROM cells)"]
     for i in range(n):
-        steps.append(f"""af{i + 1} AS (SELECT site_idx, avg((gl1 * 2 * af * (1 - af) + 2 * gl2 * af * af) / (2 * (gl0 * (1 - af) * (1 - af) + gl1 * 2 * af * (1 - af) + gl2 * af * af))) AS af
-  FROM cells JOIN af{i} USING (site_idx) GROUP BY site_idx)""")
+        steps.append(f"""af{i + 1} AS (SELECT site_idx, (sum((gl1 * 2 * af * (1 - af) + 2 * gl2 * af * af) / (2 * (gl0 * (1 - af) * (1 - af) + gl1 * 2 * af * (1 - af) + gl2 * af * af))) + (max(m) - count(*)) * max(af)) / max(m) AS af
+  FROM cells JOIN af{i} USING (site_idx) CROSS JOIN whole GROUP BY site_idx)""")
     return ",\n".join(steps)
 
 
 @query(f"WITH {CELLS}, {_af_rounds(5)} SELECT site_idx, {r('af')} AS af FROM af5")
 def af_em(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = settled(fixtures.cells(spark, sf_dir), "cells")
-    return likelihoods.allele_frequencies(cells, 5).select("site_idx", rounded(F.col("af"), 6).alias("af"))
+    return likelihoods.allele_frequencies(cells, 5, fixtures.samples(spark, sf_dir).count()).select("site_idx", rounded(F.col("af"), 6).alias("af"))
 
 
 @query(f"""WITH {CELLS}, {_af_rounds(2)}, moves AS (SELECT af1.af - af0.af AS r, af2.af - 2 * af1.af + af0.af AS v FROM af0 JOIN af1 USING (site_idx) JOIN af2 USING (site_idx))
 SELECT count(*) AS n_sites, {r('sum(r * r)', 5)} AS first, {r('sum(v * v)', 5)} AS second, {r('greatest(1::DOUBLE, sqrt(sum(r * r) / sum(v * v)))', 5)} AS length FROM moves""")
 def squarem_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Step length of squared extrapolation for the allele-frequency EM."""
-    cells = settled(fixtures.cells(spark, sf_dir), "cells")
-    a, b, c = (likelihoods.allele_frequencies(cells, n).withColumnRenamed("af", f"af{n}") for n in range(3))
+    cells, m = settled(fixtures.cells(spark, sf_dir), "cells"), fixtures.samples(spark, sf_dir).count()
+    a, b, c = (likelihoods.allele_frequencies(cells, n, m).withColumnRenamed("af", f"af{n}") for n in range(3))
     moved = a.join(b, "site_idx").join(c, "site_idx").select((F.col("af1") - F.col("af0")).alias("r"), (F.col("af2") - 2 * F.col("af1") + F.col("af0")).alias("v"))
     first, second = F.sum(F.col("r") * F.col("r")), F.sum(F.col("v") * F.col("v"))
     return moved.agg(F.count(F.lit(1)).alias("n_sites"), rounded(first, 5).alias("first"), rounded(second, 5).alias("second"), rounded(F.greatest(F.lit(1.0), F.sqrt(first / second)), 5).alias("length"))
@@ -96,9 +109,8 @@ _PAIRS = f"""pairs AS (SELECT c.*, z1, z2, gl0 * (1 - p1) * (1 - p2) + gl1 * (p1
 
 @query(f"WITH {CELLS}, {_PAIRS} SELECT site_idx, CAST(z1 AS INTEGER) AS z1, CAST(z2 AS INTEGER) AS z2, count(*) AS n, {r('avg(greatest(e, 1e-10::DOUBLE))')} AS mean_e, {r('-sum(ln(greatest(e, 1e-10::DOUBLE)))', 5)} AS cost FROM pairs GROUP BY site_idx, z1, z2")
 def emission_site(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.greatest(F.col("e"), F.lit(likelihoods.FLOOR))
-    states = likelihoods.with_pairs(fixtures.cells(spark, sf_dir), 4, frequency)
-    return states.groupBy("site_idx", "z1", "z2").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(e), 6).alias("mean_e"), rounded(-F.sum(F.ln(e)), 5).alias("cost"))
+    found = likelihoods.site_emissions(fixtures.cells(spark, sf_dir), 4, frequency)
+    return found.select("site_idx", "z1", "z2", "n", rounded(F.col("mean_e"), 6).alias("mean_e"), rounded(F.col("cost"), 5).alias("cost"))
 
 
 @query(f"""WITH {SITES}, {CELLS}, {_PAIRS}, products AS (SELECT sample_idx, chunk_id, CAST(chunk_pos // 4 AS INTEGER) AS grid_id, z1, z2, exp(sum(ln(e))) AS e, count(*) AS n_cells FROM pairs JOIN sites USING (site_idx) GROUP BY ALL)
@@ -107,8 +119,8 @@ FROM (SELECT *, sum(e) OVER (PARTITION BY sample_idx, chunk_id, grid_id) AS tota
 def emission_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = fixtures.cells(spark, sf_dir).join(fixtures.sites(spark, sf_dir).select("site_idx", "chunk_id", F.floor(F.col("chunk_pos") / fixtures.GRID).cast("int").alias("grid_id")), "site_idx")
     keys = ["sample_idx", "chunk_id", "grid_id"]
-    found = likelihoods.grid_emissions(likelihoods.with_pairs(placed, 4, frequency), keys)
-    return found.groupBy(*keys, "n_cells").agg(rounded(F.max("e"), 6).alias("most"), rounded(F.min("e"), 6).alias("least"))
+    found = likelihoods.grid_emissions(placed, keys, 4, frequency)
+    return found.select(*keys, "n_cells", rounded(F.array_max("e"), 6).alias("most"), rounded(F.array_min("e"), 6).alias("least"))
 
 
 _SHARES = "shares AS (SELECT s_suppkey AS sample_idx, CAST(k AS INTEGER) AS k, ((s_suppkey * 7 + k * 3) % 5 + 1)::DOUBLE / ((s_suppkey * 7 % 5) + (s_suppkey * 7 + 3) % 5 + (s_suppkey * 7 + 6) % 5 + 3)::DOUBLE AS q FROM supplier, range(3) r(k))"
@@ -187,26 +199,32 @@ def sample_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.cells(spark, sf_dir).join(left_out, "sample_idx", "left_anti").groupBy("sample_idx").agg(F.count(F.lit(1)).alias("n_sites"), F.sum("n").alias("depth"))
 
 
-@query(f"""WITH {_CALLS}, codes AS (SELECT site_idx, sample_idx // 4 AS block, sample_idx % 4 AS slot, CASE gt WHEN '0/0' THEN 0 WHEN '1/1' THEN 3 ELSE 2 END AS code FROM called),
-bytes AS (SELECT site_idx, block, CAST(85 + sum((code - 1) << (2 * slot)) AS BIGINT) AS byte FROM (SELECT *, code::BIGINT AS c FROM codes) GROUP BY site_idx, block),
+@query(f"""WITH {_HWE}, codes AS (SELECT site_idx, sample_idx // 4 AS block, sample_idx % 4 AS slot, CASE gt WHEN '0/0' THEN 0 WHEN '1/1' THEN 3 ELSE 2 END AS code FROM dosed WHERE covered),
+bytes AS (SELECT site_idx, block, CAST(85 + sum((code - 1) * pow(4, slot)) AS BIGINT) AS byte FROM codes GROUP BY site_idx, block),
 slots AS (SELECT site_idx, block * 4 + k AS sample_idx, CAST((byte >> (2 * k)::INT) & 3 AS INTEGER) AS code FROM bytes, range(4) r(k))
-SELECT site_idx, sample_idx, code, CASE code WHEN 0 THEN 1.0::DOUBLE ELSE 0 END AS gl0, CASE code WHEN 2 THEN 1.0::DOUBLE ELSE 0 END AS gl1, CASE code WHEN 3 THEN 1.0::DOUBLE ELSE 0 END AS gl2 FROM slots""".replace("sum((code - 1) << (2 * slot))", "sum((code - 1) * pow(4, slot))"))
+SELECT site_idx, sample_idx, code, CASE code WHEN 0 THEN 1.0::DOUBLE ELSE 0 END AS gl0, CASE code WHEN 2 THEN 1.0::DOUBLE ELSE 0 END AS gl1, CASE code WHEN 3 THEN 1.0::DOUBLE ELSE 0 END AS gl2 FROM slots""")
 def bed_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls packed four to a byte, then unpacked to one-hot likelihoods; samples of a byte without reads are missing."""
-    packed = plink.packed(scored(spark, sf_dir).select("site_idx", "sample_idx", "gt"))
+    packed = plink.packed(calls.called(scored(spark, sf_dir)[0]).select("site_idx", "sample_idx", "gt"))
     return plink.one_hot(plink.unpacked(packed))
 
 
-@query(f"""WITH {CELLS}, {SITES}, fields AS (SELECT site_idx, string_agg(sample_idx || ':' || lpad(CAST(CAST(floor(gl0 * 1e6 + 0.5) AS BIGINT) AS VARCHAR), 7, '0') || ',' || lpad(CAST(CAST(floor(gl1 * 1e6 + 0.5) AS BIGINT) AS VARCHAR), 7, '0') || ',' || lpad(CAST(CAST(floor(gl2 * 1e6 + 0.5) AS BIGINT) AS VARCHAR), 7, '0'), chr(9) ORDER BY sample_idx) AS cells FROM cells GROUP BY site_idx)
-SELECT site_idx, contig || '_' || pos || chr(9) || cells AS line FROM fields JOIN sites USING (site_idx)""")
+@query(f"""WITH {CELLS}, {SITES}, every AS (SELECT site_idx, s_suppkey AS sample_idx, coalesce(gl0, 1 / 3::DOUBLE) AS g0, coalesce(gl1, 1 / 3::DOUBLE) AS g1, coalesce(gl2, 1 / 3::DOUBLE) AS g2
+  FROM (SELECT DISTINCT site_idx FROM cells) x CROSS JOIN supplier LEFT JOIN (SELECT site_idx AS c_site, sample_idx AS c_sample, gl0, gl1, gl2 FROM cells) c ON c_site = site_idx AND c_sample = s_suppkey)
+SELECT any_value(contig) || '_' || any_value(pos) || chr(9) || '0' || chr(9) || '1' || chr(9) || string_agg({text('g0', 6)} || chr(9) || {text('g1', 6)} || chr(9) || {text('g2', 6)}, chr(9) ORDER BY sample_idx) AS line
+FROM every JOIN sites USING (site_idx) GROUP BY site_idx""")
 def beagle_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One text line a site: marker, then the cells with reads."""
-    return beagle.sparse_lines(fixtures.cells(spark, sf_dir), fixtures.markers(spark, sf_dir))
+    """Genotype-likelihood text of all samples, as the writer has it."""
+    cells = fixtures.cells(spark, sf_dir).join(fixtures.markers(spark, sf_dir), "site_idx").select("site_idx", "contig", "pos", "sample_idx", "gl0", "gl1", "gl2")
+    return beagle.dense_lines(cells, fixtures.samples(spark, sf_dir).count()).select(F.col("value").alias("line"))
 
 
-@query(f"""WITH {_CALLS}, {SITES}, fields AS (SELECT site_idx, string_agg(sample_idx || '=' || gt, ';' ORDER BY sample_idx) AS calls FROM called GROUP BY site_idx)
-SELECT contig, pos, 'INFO=' || CAST(CAST(floor(info * 1e3 + 0.5) AS BIGINT) AS VARCHAR) || 'e-3;EAF=' || CAST(CAST(floor(eaf * 1e6 + 0.5) AS BIGINT) AS VARCHAR) || 'e-6' AS info, calls
+@query(f"""WITH {_HWE}, {_scores('hwe')}, {SITES}, fields AS (SELECT site_idx, string_agg(gt || ':' || {text('gp0', 3)} || ',' || {text('gp1', 3)} || ',' || {text('gp2', 3)} || ':' || {text('ds', 3)}, chr(9) ORDER BY sample_idx) AS calls FROM dosed GROUP BY site_idx)
+SELECT site_idx, concat_ws(chr(9), contig, CAST(pos AS VARCHAR), '.', '.', '.', '.', '.', 'INFO=' || {text('info', 3)} || ';EAF=' || {text('eaf', 6)}, 'GT:GP:DS', calls) AS line
 FROM fields JOIN scores USING (site_idx) JOIN sites USING (site_idx)""")
 def vcf_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = settled(scored(spark, sf_dir), "called")
-    return vcf.records(found, calls.site_scores(found), fixtures.markers(spark, sf_dir))
+    """VCF records of all samples, as the writer has them."""
+    posteriors, absent, n = scored(spark, sf_dir)
+    posteriors = settled(posteriors, "posteriors")
+    found = vcf.lines(calls.called(posteriors), calls.site_scores(posteriors, n, absent), fixtures.markers(spark, sf_dir), n, calls.called(absent))
+    return found.withColumnRenamed("value", "line")

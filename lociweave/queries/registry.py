@@ -21,6 +21,12 @@ def r(x: str, places: int = 6) -> str:
     return f"(floor(({x}) * 1e{places}::DOUBLE + 0.5::DOUBLE) / 1e{places}::DOUBLE)"
 
 
+def text(x: str, places: int) -> str:
+    """The same decimals as sources.text.decimal."""
+    whole = f"CAST(floor(({x}) * 1e{places}::DOUBLE + 0.5::DOUBLE) AS BIGINT)"
+    return f"({whole} // {10**places} || '.' || lpad(CAST({whole} % {10**places} AS VARCHAR), {places}, '0'))"
+
+
 MARKERS = """
 markers AS (
   SELECT 'c' || CAST(p_partkey // 500 AS VARCHAR) AS contig, p_partkey AS site_idx, CAST(1000 * (p_partkey + 1) + 7 * p_size AS BIGINT) AS pos FROM part)"""

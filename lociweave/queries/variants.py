@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociweave import fixtures
 from lociweave.functions import variants as v
-from lociweave.queries.registry import query
+from lociweave.functions.numbers import rounded
+from lociweave.operators import intervals
+from lociweave.queries.registry import CELLS, MARKERS, query, r
 from lociweave.session import read
+from lociweave.sources import vcf
 
 #: Records by rule, so that each kind occurs: (ref, alts, INFO suffix) by key modulo 8.
 KINDS = [("A", ["C"], ""), ("A", ["AT"], ""), ("ACG", ["A"], ""), ("A", ["C", "G"], ""), ("G", ["."], ""), ("AC", ["GT"], ""), ("T", ["<DEL>"], ";SVTYPE=DEL"), ("A", ["C", "AT"], "")]
@@ -58,5 +62,107 @@ def variant_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def record_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records by an expression over their tags."""
     info = F.col("info")
-    kept = (v.tag(info, "DP").cast("int") >= 20) & (v.tag(info, "AF").cast("double") < 0.5) & (F.size("alts") == 1)
-    return records(spark, sf_dir).where(kept).select("site_idx", "ref", F.element_at("alts", 1).alias("alt"))
+    typed = records(spark, sf_dir).withColumns({"DP": v.tag(info, "DP").cast("int"), "AF": v.tag(info, "AF").cast("double"), "N_ALT": F.size("alts")})
+    return typed.where(v.condition("DP >= 20 && AF < 0.5 && N_ALT == 1")).select("site_idx", "ref", F.element_at("alts", 1).alias("alt"))
+
+
+@query(f"WITH {_RECORDS} SELECT site_idx, sqrt(p_size::DOUBLE) > 4 AND NOT contains(info, 'SVTYPE') OR ref LIKE 'AC%' AS kept FROM records")
+def filter_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions, regular expressions and missing tags in an expression."""
+    info = F.col("info")
+    typed = records(spark, sf_dir).withColumns({"DP": v.tag(info, "DP").cast("int"), "SVTYPE": F.coalesce(v.tag(info, "SVTYPE"), F.lit("")), "REF": F.col("ref")})
+    return typed.select("site_idx", v.condition('sqrt(DP) > 4 && !(SVTYPE != "") || REF =~ "^AC"').alias("kept"))
+
+
+@query(f"""WITH {_RECORDS}, firsts AS (SELECT site_idx, alts, gts, gts[1] AS g, list_transform(string_split_regex(gts[1], '[/|]'), lambda x: TRY_CAST(x AS INTEGER)) AS a FROM records)
+SELECT site_idx, coalesce(a[1], -9) AS first, coalesce(a[2], -9) AS second, len(a)::INTEGER AS ploidy, NOT contains(g, '/') AS phased,
+coalesce(CAST(a[2] AS VARCHAR), '.') || '|' || coalesce(CAST(a[1] AS VARCHAR), '.') AS swapped FROM firsts""")
+def genotype_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allele numbers, ploidy and phase of the first sample, and its genotype written anew, phased and with its alleles exchanged."""
+    g = F.element_at("gts", 1)
+    a = v.alleles(g)
+    at = lambda i: F.element_at(a, i)
+    return records(spark, sf_dir).select("site_idx", F.coalesce(at(1), F.lit(-9)).alias("first"), F.coalesce(at(2), F.lit(-9)).alias("second"), v.ploidy(g).alias("ploidy"), v.phased(g).alias("phased"), v.genotype(F.reverse(a), F.lit(True)).alias("swapped"))
+
+
+@query(f"""WITH {_RECORDS} SELECT site_idx, gts[1] || ':' || p_size AS one, gts[2] || ':' || (p_size + 1) AS two, gts[1] AS gt, CAST(p_size AS DOUBLE) AS depth, gts[2] AS bare FROM records""")
+def format_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FORMAT tags of samples set, read and removed."""
+    rows = records(spark, sf_dir)
+    samples = F.transform("gts", lambda g: F.create_map(F.lit("GT"), g))
+    depths = F.array(v.tag(F.col("info"), "DP"), (v.tag(F.col("info"), "DP").cast("int") + 1).cast("string"))
+    rows = rows.withColumn("samples", v.with_format(samples, "DP", depths))
+    text = lambda i: F.concat_ws(":", F.element_at(F.element_at("samples", i), "GT"), F.element_at(F.element_at("samples", i), "DP"))
+    depth = F.element_at(v.numbers(F.element_at(v.format_values(F.col("samples"), "DP"), 1)), 1)
+    bare = F.array_join(F.map_values(F.element_at(v.without_format(F.col("samples"), "DP"), 2)), ":")
+    return rows.select("site_idx", text(1).alias("one"), text(2).alias("two"), F.element_at(v.format_values(F.col("samples"), "GT"), 1).alias("gt"), depth.alias("depth"), bare.alias("bare"))
+
+
+@query(f"""WITH {_RECORDS}, {MARKERS} SELECT site_idx, contig, pos - 1 AS start, pos + len(ref) - 1 AS "end", CASE WHEN len(alts) = 1 THEN alts[1] ELSE ref END AS new_ref, CASE WHEN len(alts) = 1 THEN ref ELSE array_to_string(alts, ',') END AS new_alts,
+'DP=' || p_size || CASE WHEN contains(info, 'SVTYPE') THEN ';SVTYPE=DEL' ELSE '' END AS info, 'AF=0.' || site_idx % 10 || ';DB;DP=' || p_size || CASE WHEN contains(info, 'SVTYPE') THEN ';SVTYPE=DEL' ELSE '' END AS flagged FROM records JOIN markers USING (site_idx)""")
+def record_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record's extent, its two alleles exchanged, an INFO tag removed and a flag set."""
+    rows = records(spark, sf_dir).join(fixtures.markers(spark, sf_dir), "site_idx")
+    ref, alts = v.swapped(F.col("ref"), F.col("alts"))
+    return rows.select(
+        "site_idx", "contig", v.start(F.col("pos")).alias("start"), v.end(F.col("pos"), F.col("ref"), F.col("info")).alias("end"), ref.alias("new_ref"), F.array_join(alts, ",").alias("new_alts"),
+        v.without_tag(F.col("info"), "AF").alias("info"), v.with_tag(F.col("info"), "DB", F.lit(None).cast("string")).alias("flagged"),
+    )
+
+
+@query(f"""WITH {_RECORDS}, counted AS (SELECT *, string_split_regex(array_to_string(gts, '/'), '[/|]') AS every FROM records),
+counts AS (SELECT *, list_transform(range(0, len(alts) + 1), lambda i: len(list_filter(every, lambda x: x = CAST(i AS VARCHAR)))) AS n FROM counted)
+SELECT site_idx, CAST(n[1] AS INTEGER) AS ref_count, CAST(list_sum(n) - n[1] AS INTEGER) AS alt_count, array_to_string(list_filter(alts, lambda a, i: n[i + 1] > 0), ',') AS used, gts[1] AS first FROM counts""")
+def allele_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allele counts over the samples, and the alternate alleles that are left without those that no sample has."""
+    rows = records(spark, sf_dir)
+    n = v.allele_counts(F.col("gts"), F.col("alts"))
+    alts, gts = v.trimmed(F.col("gts"), F.col("alts"))
+    return rows.select("site_idx", F.element_at(n, 1).alias("ref_count"), F.aggregate(F.slice(n, 2, F.size("alts")), F.lit(0), lambda a, x: a + x).alias("alt_count"), F.array_join(alts, ",").alias("used"), F.element_at(gts, 1).alias("first"))
+
+
+_TWO = f"""{_RECORDS}, {MARKERS}, a AS (SELECT contig, pos, ref, alts FROM records JOIN markers USING (site_idx) WHERE p_size % 3 > 0),
+b AS (SELECT contig, pos, ref, CASE WHEN site_idx % 5 = 0 THEN ['T'] ELSE alts END AS alts FROM records JOIN markers USING (site_idx) WHERE p_size % 4 > 0)"""
+
+
+@query(f"""WITH {_TWO}, exact AS (SELECT coalesce(a.pos, b.pos) AS pos, coalesce(a.contig, b.contig) AS contig, a.ref IS NOT NULL AS in_a, b.ref IS NOT NULL AS in_b FROM a FULL OUTER JOIN b ON a.contig = b.contig AND a.pos = b.pos AND a.ref = b.ref AND list_sort(a.alts) = list_sort(b.alts)),
+shared AS (SELECT coalesce(a.pos, b.pos) AS pos, coalesce(a.contig, b.contig) AS contig, a.ref IS NOT NULL AS in_a, b.ref IS NOT NULL AS in_b FROM a FULL OUTER JOIN b ON a.contig = b.contig AND a.pos = b.pos AND a.ref = b.ref AND list_has_any(a.alts, b.alts))
+SELECT 'exact' AS rule, contig, pos, in_a, in_b FROM exact UNION ALL SELECT 'some', contig, pos, in_a, in_b FROM shared""")
+def allele_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files' records paired by their alleles under two rules."""
+    rows = records(spark, sf_dir).join(fixtures.markers(spark, sf_dir), "site_idx").withColumn("size", v.tag(F.col("info"), "DP").cast("int"))
+    a = rows.where("size % 3 > 0").select("contig", "pos", "ref", "alts")
+    b = rows.where("size % 4 > 0").select("contig", "pos", "ref", F.when(F.col("site_idx") % 5 == 0, F.array(F.lit("T"))).otherwise(F.col("alts")).alias("alts"))
+    one = lambda rule: intervals.paired(a, b, rule).select(F.lit(rule).alias("rule"), "contig", "pos", F.col("ref").isNotNull().alias("in_a"), F.col("ref_b").isNotNull().alias("in_b"))
+    return one("exact").union(one("some"))
+
+
+@query(f"""WITH {CELLS}, sides AS (SELECT site_idx, sum(CASE WHEN s_nationkey < 12 THEN a ELSE 0 END)::BIGINT AS a, sum(CASE WHEN s_nationkey < 12 THEN n - a ELSE 0 END)::BIGINT AS b, sum(CASE WHEN s_nationkey < 12 THEN 0 ELSE a END)::BIGINT AS c, sum(CASE WHEN s_nationkey < 12 THEN 0 ELSE n - a END)::BIGINT AS d
+  FROM cells JOIN supplier ON s_suppkey = sample_idx GROUP BY site_idx),
+tables AS (SELECT site_idx, a, x, -(lgamma(x + 1) + lgamma(a + b - x + 1) + lgamma(a + c - x + 1) + lgamma(d - a + x + 1)) AS w FROM sides, LATERAL (SELECT unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS x)),
+scaled AS (SELECT *, exp(w - max(w) OVER (PARTITION BY site_idx)) AS p FROM tables), owns AS (SELECT site_idx, max(p) AS own FROM scaled WHERE x = a GROUP BY site_idx)
+SELECT site_idx, {r('least(1::DOUBLE, sum(CASE WHEN p <= own * (1 + 1e-9::DOUBLE) THEN p ELSE 0 END) / sum(p))', 5)} AS p FROM scaled JOIN owns USING (site_idx) GROUP BY site_idx""")
+def fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether two groups of samples differ in alternate reads, at each site."""
+    nations = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample_idx"), (F.col("s_nationkey") < 12).alias("first"))
+    cells = fixtures.cells(spark, sf_dir).join(nations, "sample_idx")
+    total = lambda own, x: F.sum(F.when(F.col("first") if own else ~F.col("first"), x).otherwise(0))
+    sums = cells.groupBy("site_idx").agg(*[total(own, x).alias(c) for c, own, x in (("a", True, F.col("a")), ("b", True, F.col("n") - F.col("a")), ("c", False, F.col("a")), ("d", False, F.col("n") - F.col("a")))])
+    return sums.select("site_idx", rounded(v.fisher(*[F.col(c) for c in "abcd"]), 5).alias("p"))
+
+
+@query(f"""WITH {MARKERS}, lengths AS (SELECT contig, max(pos) AS length FROM markers GROUP BY contig)
+SELECT '##contig=<ID=' || contig || ',length=' || length || '>' AS line, 'contig' AS kind, contig AS id, length::BIGINT AS length, NULL::VARCHAR AS type, NULL::VARCHAR AS description FROM lengths WHERE contig <> 'c0'
+UNION ALL SELECT '##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth, all reads">', 'INFO', 'DP', NULL, 'Integer', 'Depth, all reads' UNION ALL SELECT '##fileformat=VCFv4.2', 'fileformat', 'VCFv4.2', NULL, NULL, NULL""")
+def vcf_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header from the markers' contigs, with lines added and removed, as text and as parsed from it."""
+    contigs = fixtures.markers(spark, sf_dir).groupBy("contig").agg(F.max("pos").alias("n"))
+    rows = contigs.select(F.lit("contig").alias("kind"), F.col("contig").alias("id"), F.create_map(F.lit("length"), F.col("n").cast("string")).alias("fields"))
+    rows = vcf.with_line(vcf.with_line(rows, "INFO", "DP", {"Number": "1", "Type": "Integer", "Description": "Depth, all reads"}), "fileformat", "VCFv4.2")
+    lines = vcf.header_lines(vcf.without_line(rows, "contig", "c0"))
+    field = lambda k: F.try_element_at("fields", F.lit(k))
+    parsed = vcf.parsed_header(lines)
+    again = vcf.header_lines(parsed.withColumn("_k", F.lit(0)))
+    both = parsed.withColumn("line", F.concat(F.lit("##"), F.col("kind"), F.lit("="), F.when(F.size("fields") > 0, F.concat(F.lit("<ID="), F.col("id"))).otherwise(F.col("id"))))
+    whole = again.withColumn("start", F.regexp_extract("value", "^(##[^=]+=(?:<ID=[^,>]*|.*))", 1))
+    return both.join(whole, F.col("line") == F.col("start")).select(F.col("value").alias("line"), "kind", "id", field("length").cast("long").alias("length"), field("Type").alias("type"), field("Description").alias("description"))

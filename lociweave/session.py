@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a table may have to be broadcast; beyond, Spark joins by shuffle.
-BROADCAST_ROWS = 100_000
+#: Bytes that a table may have by Spark's own estimate to be broadcast; beyond, Spark joins by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of an Arrow batch: rows may be megabytes.
+BATCH_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,16 +32,31 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 #: For rows that may be megabytes: the writer looks at sizes after every few rows, and row groups are what a reader holds at once.
-_LARGE_ROWS = {"parquet.page.size.row.check.min": 4, "parquet.page.size.row.check.max": 64, "parquet.block.size": 8 << 20}
+LARGE_ROWS = {"parquet.page.size.row.check.min": 4, "parquet.page.size.row.check.max": 64, "parquet.block.size": 8 << 20}
 
 
 def settled(df: DataFrame, what: str, large_rows: bool = False) -> DataFrame:
     """``df`` written as Parquet and read back."""
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.options(**(_LARGE_ROWS if large_rows else {})).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A settled table, marked for broadcast if it has few rows; else unmarked."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    if large_rows:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    df.write.options(**(LARGE_ROWS if large_rows else {})).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete the files of settled tables that no later step reads."""
+    for df in tables:
+        if path := getattr(df, "_settled_at", None):
+            sc = df.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, marked for broadcast if Spark's estimate of its size is within ``most`` bytes (a file's size, for what was read from
+    files); else unmarked."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most else df

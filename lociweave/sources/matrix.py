@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociweave.sources.text import decimal, numbered
+
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """row, values: the lines of one file in order. The file is a start point, a row a sample or site; it is read whole."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("row", "line")).where(F.trim("line") != "")
-    return lines.select("row", F.transform(F.split(F.trim("line"), " +"), lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0))).alias("values"))
+    """row, values: the lines in order; what is no number is 0."""
+    return numbered(spark, path).select("row", F.transform(F.split(F.trim("value"), " +"), lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0))).alias("values"))
+
+
+def labels(spark: SparkSession, path: str) -> DataFrame:
+    """row, population: the first word of each line, in order."""
+    return numbered(spark, path).select("row", F.element_at(F.split(F.trim("value"), r"\s+"), 1).alias("population"))
 
 
 def lines(rows: DataFrame, order: list[str], values: str, places: int = 6) -> DataFrame:
     """Text lines of an array column, in order."""
-    text = F.array_join(F.transform(values, lambda x: F.regexp_replace(F.format_number(x, places), ",", "")), " ")
+    text = F.array_join(F.transform(values, lambda x: decimal(x, places)), " ")
     return rows.orderBy(*order).select(text.alias("value"))
 
 

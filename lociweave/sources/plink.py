@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociweave.sources.text import numbered
+
 #: Fixed values of the format: its first bytes, and the two-bit codes of calls; 1 is missing.
 MAGIC = bytes((0x6C, 0x1B, 0x01))
 CODES = {"0/0": 0, "1/0": 2, "1/1": 3}
@@ -13,19 +15,18 @@ MISSING = 1
 
 def samples(spark: SparkSession, path: str) -> DataFrame:
     """at, name: the second column of a .fam file, in order of its lines (a file of one line a sample)."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).where(F.trim("line") != "")
-    return text.select("at", F.element_at(F.split(F.trim("line"), r"\s+"), 2).alias("name"))
+    return numbered(spark, path).select(F.col("row").alias("at"), F.element_at(F.split(F.trim("value"), r"\s+"), 2).alias("name"))
 
 
 def markers(spark: SparkSession, path: str) -> DataFrame:
     """at, contig, pos, first and second allele of a .bim file."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line")).where(F.trim("line") != "")
-    field = lambda i: F.element_at(F.split(F.trim("line"), r"\s+"), i)
-    return text.select("at", field(1).alias("contig"), field(4).cast("long").alias("pos"), field(5).alias("a1"), field(6).alias("a2"))
+    field = lambda i: F.element_at(F.split(F.trim("value"), r"\s+"), i)
+    return numbered(spark, path).select(F.col("row").alias("at"), field(1).alias("contig"), field(4).cast("long").alias("pos"), field(5).alias("a1"), field(6).alias("a2"))
 
 
 def bed(spark: SparkSession, path: str, n_samples: int) -> DataFrame:
-    """site (its number), block of four samples, byte. Each site is cut from the file's content by its place."""
+    """site (its number), block of four samples, byte. Each site is cut from the file's content by its place, so a file is one
+    task and at most 2 GB, as Spark's binary source has it: larger sets come as a file a contig."""
     width = -(-n_samples // 4)
     content = spark.read.format("binaryFile").load(path).select(F.col("content"), F.substring("content", 1, 3).alias("magic"))
     bad = F.assert_true(F.col("magic") == F.lit(MAGIC), F.lit("not a PLINK 1 .bed file"))

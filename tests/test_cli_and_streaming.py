@@ -41,12 +41,33 @@ def test_files_through_all_jobs(spark, tmp_path):
     saved = model.loaded(spark, str(tmp_path / "imp/model"))
     about = model.described(saved)
     assert (about["clusters"], about["sites"], about["samples"], about["chunks"]) == (3, 30, 6, 5)
+    assert len(rows[0]["samples"]) == 6 and all(s["GP"] for r in rows for s in r["samples"])
     gamma = model.cluster_posteriors(saved, 2).collect()
     assert gamma and all(abs(sum(r["gamma"]) - 1) < 1e-9 and r["chunk_id"] == 2 for r in gamma)
-    run(spark, "admix", "--model", tmp_path / "imp/model", "--out", tmp_path / "adm", "--ancestries", 2, "--passes", 2, "--plain", "--write-f")
+    run(spark, "admix", "--model", tmp_path / "imp/model", "--out", tmp_path / "adm", "--ancestries", 2, "--passes", 2, "--plain", "--write-f", "--constrain")
     q = [list(map(float, r["value"].split())) for r in spark.read.text(str(tmp_path / "adm/Q")).collect()]
     assert len(q) == 6 and all(abs(sum(x) - 1) < 1e-6 for x in q)
+    (tmp_path / "p2").write_text("0.25 0.25\n" * 30)
+    (tmp_path / "pops").write_text("east\nwest\n" * 3)
     run(spark, "joint", "--input", tmp_path / "gl", "--out", tmp_path / "joint", "--clusters", 2, "--ancestries", 2, "--passes", 2, "--chunk", 20, "--vcf")
+    assert all(abs(sum(x) - 2) < 1e-4 for x in [list(map(float, r["value"].split())) for r in spark.read.text(str(tmp_path / "adm/F")).collect()])
+    (tmp_path / "q0").write_text("".join(f"{0.1 * (i + 1)} {1 - 0.1 * (i + 1)}\n" for i in range(6)))
+    run(spark, "joint", "--input", tmp_path / "gl", "--out", tmp_path / "kept", "--clusters", 2, "--ancestries", 2, "--passes", 1, "--chunk", 0, "--qfile", tmp_path / "q0", "--pfile", tmp_path / "p2", "--fixed", "q", "p", "er", "f", "--write-f")
+    kept = [list(map(float, r["value"].split())) for r in spark.read.text(str(tmp_path / "kept/Q")).collect()]
+    assert np.allclose(kept, [[0.1 * (i + 1), 1 - 0.1 * (i + 1)] for i in range(6)], atol=1e-6)
+    assert np.allclose([list(map(float, r["value"].split())) for r in spark.read.text(str(tmp_path / "kept/P")).collect()], 0.25)
+    run(spark, "align", "--q", tmp_path / "q0", tmp_path / "kept/Q", "--populations", tmp_path / "pops", "--out", tmp_path / "aligned")
+    assert spark.read.parquet(str(tmp_path / "aligned/order")).count() == 6
+    run(spark, "impute", "--input", tmp_path / "gl", "--out", tmp_path / "hap", "--clusters", 2, "--passes", 1, "--chunk", 20, "--grid", 3, "--write-hapsum", "--text")
+    ae = [list(map(float, r["value"].split())) for r in spark.read.text(str(tmp_path / "hap/ae")).collect()]
+    assert len(ae) == 11 and all(abs(sum(x) - 1) < 1e-5 for x in ae)
+    run(spark, "impute", "--input", tmp_path / "gl", "--out", tmp_path / "rates", "--clusters", 2, "--passes", 0, "--chunk", 20, "--grid", 3, "--fixed", "er", "--rfile", tmp_path / "hap/recomb", "--text")
+    same = [[r["value"] for r in spark.read.text(str(tmp_path / x / "recomb")).collect()] for x in ("hap", "rates")]
+    assert np.allclose([list(map(float, x.split())) for x in same[0]], [list(map(float, x.split())) for x in same[1]], atol=1e-5)
+    run(spark, "admix", "--model", tmp_path / "hap/model", "--out", tmp_path / "adm2", "--ancestries", 2, "--passes", 3, "--qfile", tmp_path / "q0", "--fixed", "q")
+    assert np.allclose([list(map(float, r["value"].split())) for r in spark.read.text(str(tmp_path / "adm2/Q")).collect()], kept, atol=1e-6)
+    states = model.joint_states(model.loaded(spark, str(tmp_path / "joint/model"), True), 0).collect()
+    assert states and all(abs(sum(r["gamma"]) - 1) < 1e-9 and len(r["jumps"]) == 4 and sum(r["jumps"]) < 1 + 1e-9 for r in states)
     both = model.loaded(spark, str(tmp_path / "joint/model"), True)
     found = model.joint_posteriors(both, 0).collect()
     assert found and all(abs(sum(r["ancestry"]) - 1) < 1e-6 for r in found)

@@ -73,7 +73,7 @@ def test_vcf_round_trip(spark, tmp_path):
     called = calls.called(spark.createDataFrame([(0, 0, 0.9, 0.1, 0.0), (0, 1, 0.0, 0.2, 0.8), (1, 1, 0.5, 0.5, 0.0)], "site_idx long, sample_idx long, gp0 double, gp1 double, gp2 double"))
     markers = spark.createDataFrame([(0, "c1", 7, "A", "C"), (1, "c1", 9, "G", "T")], "site_idx long, contig string, pos long, ref string, alt string")
     path = str(tmp_path / "v")
-    vcf.written(vcf.lines(called, calls.site_scores(called), markers, [0, 1]), ["c1"], ["s0", "s1"], path)
+    vcf.written(vcf.lines(called, calls.site_scores(called, 2), markers, 2), ["c1"], ["s0", "s1"], path)
     rows = vcf.read(spark, path).orderBy("pos").collect()
     assert [(r["contig"], r["pos"], r["ref"], r["alts"]) for r in rows] == [("c1", 7, "A", ["C"]), ("c1", 9, "G", ["T"])]
     assert [s["GT"] for s in rows[0]["samples"]] == ["0/0", "1/1"] and [s["GT"] for s in rows[1]["samples"]] == ["./.", "1/0"]
@@ -87,7 +87,7 @@ def test_phred(spark):
 
 def test_site_scores(spark):
     same = calls.called(spark.createDataFrame([(0, i, 1.0, 0.0, 0.0) for i in range(4)], "site_idx long, sample_idx long, gp0 double, gp1 double, gp2 double"))
-    r = calls.site_scores(same).first()
+    r = calls.site_scores(same, 4).first()
     assert (r["eaf"], r["info"]) == (0.0, 1.0)
 
 
@@ -102,10 +102,89 @@ def test_allele_frequency_em_finds_the_truth(spark):
             gl[g] = 0.96
             rows.append((s, i, *map(float, gl)))
     cells = spark.createDataFrame(rows, "site_idx long, sample_idx long, gl0 double, gl1 double, gl2 double")
-    found = {r["site_idx"]: r["af"] for r in likelihoods.allele_frequencies(cells, 50, enough=1e-5).collect()}
+    found = {r["site_idx"]: r["af"] for r in likelihoods.allele_frequencies(cells, 50, 600, enough=1e-5).collect()}
     assert all(abs(found[s] - af) < 0.04 for s, af in enumerate((0.1, 0.5, 0.8)))
 
 
+def test_samples_without_rows_count_in_site_scores(spark):
+    """Cells of a sample without reads, written out, give what ``absent`` gives."""
+    af = spark.createDataFrame([(0, 0.3), (1, 0.6)], "site_idx long, af double")
+    some = spark.createDataFrame([(0, 0, 0.9, 0.1, 0.0), (0, 1, 0.0, 0.2, 0.8)], "site_idx long, sample_idx long, gp0 double, gp1 double, gp2 double")
+    absent = calls.without_reads(af)
+    rest = absent.crossJoin(spark.range(5).withColumnRenamed("id", "sample_idx")).join(some.select("site_idx", "sample_idx"), ["site_idx", "sample_idx"], "left_anti")
+    whole = some.union(rest.select(*some.columns))
+    got, want = (sorted(map(tuple, x.collect())) for x in (calls.site_scores(some, 5, absent), calls.site_scores(whole, 5)))
+    assert got == want and [r[1] for r in got] == [5, 5]
+
+
+def test_duplicate_positions_are_sites_of_their_own(spark, tmp_path):
+    from lociweave import cli
+
+    (tmp_path / "gl").write_text("marker a b x x x y y y\nc_5 A G 1 0 0 0.2 0.6 0.2\nc_5 A T 0 0 1 0.333333 0.333333 0.333333\nc_9 A T 0 1 0 0 0 1\n")
+    found, held, names = cli.inputs(spark, str(tmp_path / "gl"), 2)
+    assert [(r["pos"], r["alt"], r["chunk_id"], r["chunk_pos"]) for r in found.orderBy("site_idx").collect()] == [(5, "G", 0, 0), (5, "T", 0, 1), (9, "T", 1, 0)]
+    tiles = held.orderBy("chunk_id").collect()
+    assert names == ["x", "y"] and [r["samples"] for r in tiles] == [[0, 1], [0, 1]] and [len(r["cells"]) for r in tiles] == [3, 2]
+
+
+@pytest.mark.parametrize("span", [1 << 20, 7])
+def test_ranks_and_merges_over_spans(spark, span):
+    rows = [("A" if i % 3 else "B", (i * 37) % 200, i) for i in range(150)]
+    got = sites.ranked(spark.createDataFrame(rows, "g string, x long, i long"), "g", "x", ("i",), span).collect()
+    for g in "AB":
+        assert [(r["x"], r["i"]) for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["rank"])] == sorted((x, i) for h, x, i in rows if h == g)
+        assert sorted(r["rank"] for r in got if r["g"] == g) == list(range(sum(h == g for h, *_ in rows)))
+    regions = [("c" + str(i % 2), (i * 53) % 900, (i * 53) % 900 + i % 9) for i in range(120)]
+    want = []
+    for contig in ("c0", "c1"):
+        for _, beg, end in sorted(x for x in regions if x[0] == contig):
+            if want and want[-1][0] == contig and beg <= want[-1][2] + 1:
+                want[-1][2:] = [max(end, want[-1][2]), want[-1][3] + 1]
+            else:
+                want.append([contig, beg, end, 1])
+    found = intervals.merged(spark.createDataFrame(regions, "contig string, beg long, end long"), span).collect()
+    assert sorted((r["contig"], r["beg"], r["end"], r["n"]) for r in found) == sorted(map(tuple, want))
+
+
+def test_numbered_lines(spark, tmp_path):
+    from lociweave.sources import text
+
+    for i in range(3):
+        (tmp_path / f"part-{i}").write_text("".join(f"{i}.{j}\n\n" for j in range(50)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 64)
+    try:
+        got = [r["value"] for r in text.numbered(spark, str(tmp_path)).orderBy("row").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [f"{i}.{j}" for i in range(3) for j in range(50)]
+
+
+def test_header_of_a_file(spark, tmp_path):
+    vcf.written(spark.createDataFrame([("c1\t1",)], "value string"), ["c1"], ["s0", "s 1"], str(tmp_path / "v"))
+    found = {(r["kind"], r["id"]): r["fields"] for r in vcf.header(spark, str(tmp_path / "v")).collect()}
+    assert found[("FORMAT", "GP")] == {"Number": "3", "Type": "Float", "Description": "Genotype posteriors"} and found[("contig", "c1")] == {} and ("fileformat", "VCFv4.1") in found
+    assert vcf.samples(spark, str(tmp_path / "v")) == ["s0", "s 1"]
+
+
+def test_expressions(spark):
+    rows = spark.createDataFrame([(1, "PASS", None), (25, "q10", "x"), (30, "PASS", "it's")], "DP int, FILTER string, ANN string")
+    keep = lambda text: [r["DP"] for r in rows.where(variants.condition(text)).orderBy("DP").collect()]
+    assert keep('DP >= 20 && (FILTER == "PASS" || ANN == "x")') == [25, 30]
+    assert keep('!(FILTER != "PASS")') == [1, 30] and keep("""ANN == "it's" """) == [30] and keep('ANN !~ "^x"') == [30] and keep('FILTER == "a && b"') == []
+
+
+def test_haplike(spark, tmp_path):
+    import numpy as np
+
+    from lociweave.sources import haplike
+
+    values = np.random.default_rng(1).random((2, 3, 4))
+    (tmp_path / "x.bin").write_bytes(np.array([2, 2, 3], "<i4").tobytes() + values.astype("<f8").tobytes())
+    got = haplike.read(spark, str(tmp_path / "x.bin")).orderBy("sample_idx", "site").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert np.array([r["likely"] for r in got]).tolist() == values.reshape(6, 4).tolist()
+
+
 def test_intervals(spark):
     regions = spark.createDataFrame([("c", 1, 40_000, "a"), ("c", 40_001, 50_000, "b"), ("c", 60_000, 60_000, "d"), ("e", 5, 6, "x")], "contig string, beg long, end long, name string")
     points = spark.createDataFrame([("c", p) for p in (1, 40_000, 40_001, 59_999, 60_000)] + [("e", 7)], "contig string, pos long")
