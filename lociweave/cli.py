@@ -138,12 +138,12 @@ def run_admix(spark: SparkSession, args: argparse.Namespace) -> None:
     clusters = saved["meta"].first()["clusters"]
     keep = {f"keep_{x}": True for x in args.fixed}
     options = admix.Options(clusters=clusters, ancestries=args.ancestries, passes=args.passes, seed=args.seed, enough=args.enough, accelerate=not args.plain, least_prior=args.least_prior, constrain=args.constrain, **keep)
-    likely = settled(admix.likelihoods(saved["tiles"], saved["parameters"], clusters, args.least_prior, saved.get("hap")), "likely", large_rows=True)
-    state = admix.start(likely, options)
+    evidence = admix.Evidence(saved["tiles"], saved["parameters"], clusters, saved.get("hap"))
+    state = admix.start(evidence.blocks(), options)
     if args.qfile:
-        state.q = admix.given_shares(likely, matrix.read(spark, args.qfile), options)
+        state.q = admix.given_shares(saved["tiles"], matrix.read(spark, args.qfile), options)
     floor = admix.floors(saved["parameters"], clusters, args.ancestries) if args.constrain else None
-    state, _ = admix.fit(likely, options, state, floor)
+    state, _ = admix.fit(evidence, options, state, floor)
     matrix.written(admix.shares(state, args.ancestries), ["sample_idx"], "q", f"{args.out}/Q", 10)
     if args.write_f:
         matrix.written(admix.by_grid(state, args.ancestries, clusters), ["chunk_id", "grid_id"], "f", f"{args.out}/F")

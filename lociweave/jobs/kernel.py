@@ -248,6 +248,29 @@ def admixture_step(likely: np.ndarray, q: np.ndarray, f: np.ndarray) -> tuple[np
     return np.log(total).sum(1), 2 * f * (q.T @ share).reshape(f.shape), 2 * q * (share @ f.reshape(k, -1).T)
 
 
+def admixture_counts(gl: np.ndarray, p: np.ndarray, starts: np.ndarray, rates: np.ndarray, pi: np.ndarray, prior: np.ndarray, q: np.ndarray, f: np.ndarray, least_prior: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``admixture_step``, from genotype likelihoods: each grid's cluster likelihoods are used as the recursion comes by."""
+    k = pairs_of(p.shape[1])
+    e = emission(gl, p, starts)
+    alpha, scale = forward(e, rates, pi)
+    loglik, counts, own = np.zeros(len(q)), np.empty(f.shape), np.zeros_like(q)
+    for s, beta, _ in backward(e, rates, pi, scale):
+        likely = alpha[s] * beta
+        likely /= prior[s]
+        likely /= (likely @ k.weight)[:, None]
+        if least_prior:
+            likely[:, prior[s] < least_prior] = 0
+        fs = f[:, s]
+        h = q @ fs
+        share = k.times(likely, h)
+        total = (h * share).sum(1)
+        share /= total[:, None]
+        loglik += np.log(total)
+        counts[:, s] = fs * (q.T @ share)
+        own += share @ fs.T
+    return loglik, 2 * counts, 2 * q * own
+
+
 @dataclass
 class Joint:
     loglik: np.ndarray  # (n)

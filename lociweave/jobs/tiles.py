@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lociweave.session import settled, small
 
 #: Samples x sites in a tile, about, and samples.
-TILE_CELLS, TILE_SAMPLES = 1 << 17, 256
+TILE_CELLS, TILE_SAMPLES = 1 << 17, 64
 #: Values that a task adds up by block before it hands them on.
 HELD_VALUES = 1 << 22
 

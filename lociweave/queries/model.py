@@ -171,11 +171,19 @@ def state_by_rule(rows: DataFrame) -> admix.State:
     return admix.State(settled(q, "q"), settled(f, "f"))
 
 
-def admix_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, admix.State, admix.Options]:
-    """Likelihoods with two clusters, and a state by rule."""
+def admix_inputs(spark: SparkSession, sf_dir: str) -> tuple[admix.Evidence, admix.State, admix.Options]:
+    """Evidence of two clusters, and a state by rule."""
     held, _, model = inputs(spark, sf_dir)
-    likely = settled(admix.likelihoods(held, model, C), "likely", large_rows=True)
-    return likely, state_by_rule(likely), admix.Options(clusters=C, ancestries=2)
+    evidence = admix.Evidence(held, model, C)
+    return evidence, state_by_rule(evidence.blocks()), admix.Options(clusters=C, ancestries=2)
+
+
+@query(f"""{_FULL}, {_PRIOR}, raw_likely AS (SELECT g.sample_idx, g.chunk_id, g.pl, gaa / p.aa AS xaa, gab / p.ab AS xab, gbb / p.bb AS xbb FROM gam g JOIN prior p ON p.chunk_id = g.chunk_id AND p.pl = g.pl)
+SELECT sample_idx, chunk_id, pl AS grid_id, {r('xaa / (xaa + 2 * xab + xbb)')} AS aa, {r('xab / (xaa + 2 * xab + xbb)')} AS ab, {r('xbb / (xaa + 2 * xab + xbb)')} AS bb FROM raw_likely""")
+def cluster_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidence, _, _ = admix_inputs(spark, sf_dir)
+    x = lambda i: rounded(F.element_at("likely", i), 6)
+    return admix.likelihoods(evidence).select("sample_idx", "chunk_id", "grid_id", x(1).alias("aa"), x(2).alias("ab"), x(4).alias("bb"))
 
 
 @query(f"""{_ADMIX}, lls AS (SELECT sample_idx, sum(ln(total)) AS ll, count(*) AS g FROM totals GROUP BY sample_idx),
@@ -183,8 +191,8 @@ owns AS (SELECT sample_idx, sum((CASE k1 WHEN 0 THEN w ELSE 0 END + CASE k2 WHEN
 SELECT sample_idx, {r('own / (2 * g)')} AS q0, {r('1 - own / (2 * g)')} AS q1 FROM lls JOIN owns USING (sample_idx)""")
 def admix_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ancestry shares after one pass; the SQL is the four-way form, the query the factorised one."""
-    likely, state, options = admix_inputs(spark, sf_dir)
-    new, _ = admix.step(likely, state, options)
+    evidence, state, options = admix_inputs(spark, sf_dir)
+    new, _ = admix.step(evidence, state, options)
     return admix.shares(new, 2).select("sample_idx", *[rounded(F.element_at("q", k + 1), 6).alias(f"q{k}") for k in range(2)])
 
 
@@ -193,8 +201,8 @@ sums AS (SELECT chunk_id, pl, k, z, sum(w) AS w FROM parts GROUP BY ALL), ratios
 SELECT chunk_id, pl AS chunk_pos, CAST(k AS INTEGER) AS k, {r('f')} AS f0 FROM ratios WHERE z = 0""")
 def admix_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster frequencies of ancestries after one pass."""
-    likely, state, options = admix_inputs(spark, sf_dir)
-    new, _ = admix.step(likely, state, options)
+    evidence, state, options = admix_inputs(spark, sf_dir)
+    new, _ = admix.step(evidence, state, options)
     each = new.f.select("chunk_id", "grids", F.posexplode("f").alias("i", "f"))
     place = F.floor(F.col("i") / C)
     return each.where(F.col("i") % C == 0).select("chunk_id", (place % F.col("grids")).cast("int").alias("chunk_pos"), F.floor(place / F.col("grids")).cast("int").alias("k"), rounded(F.col("f"), 6).alias("f0"))
@@ -356,9 +364,9 @@ f7 AS MATERIALIZED (SELECT a.chunk_id, a.pl, {_far('f0')} AS f0, {_far('f1')} AS
 SELECT sample_idx, {r('q', 5)} AS q0, {r('1 - q', 5)} AS q1 FROM chosen""")
 def admix_squarem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ancestry shares of every sample after a cycle of accelerated EM from a state by rule."""
-    likely, state, options = admix_inputs(spark, sf_dir)
+    evidence, state, options = admix_inputs(spark, sf_dir)
     options.passes = 3
-    state, _ = admix.fit(likely, options, state)
+    state, _ = admix.fit(evidence, options, state)
     return admix.shares(state, 2).select("sample_idx", *[rounded(F.element_at("q", k + 1), 5).alias(f"q{k}") for k in range(2)])
 
 
@@ -369,13 +377,13 @@ costs AS (SELECT sum(x * ln(x / y) + (1 - x) * ln((1 - x) / (1 - y))) AS same, s
 SELECT sample_idx, {r('x')} AS first, {r('CASE WHEN other < same THEN 1 - y ELSE y END')} AS second FROM pairs CROSS JOIN costs""")
 def aligned_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ancestry's share in two runs whose starts have the ancestries the other way round, aligned."""
-    likely, state, options = admix_inputs(spark, sf_dir)
+    evidence, state, options = admix_inputs(spark, sf_dir)
     options.passes, options.accelerate = 1, False
     half = F.floor(F.size("f") / 2).cast("int")
     held = F.transform(F.slice("f", F.lit(1), half), lambda x: F.least(F.greatest(x, F.lit(0.1)), F.lit(0.9)))
     back = lambda x: F.transform(x, lambda v, i: F.element_at(x, (i + F.when(i % 2 == 0, 2).otherwise(0)).cast("int")))
     other = admix.State(state.q.withColumn("q", back(F.col("q"))), state.f.withColumn("f", F.concat(F.slice("f", half + 1, half), held)))
-    runs = [settled(admix.shares(admix.fit(likely, options, s)[0], 2), "run") for s in (state, other)]
+    runs = [settled(admix.shares(admix.fit(evidence, options, s)[0], 2), "run") for s in (state, other)]
     a, b = labels.aligned(runs)
     first = lambda q, name: q.select("sample_idx", rounded(F.element_at("q", 1), 6).alias(name))
     return first(a, "first").join(first(b, "second"), "sample_idx")
@@ -396,8 +404,7 @@ def admix_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ancestry shares of every sample by accelerated EM from a random start, from cluster likelihoods of a fitted model."""
     held, sites, _ = inputs(spark, sf_dir)
     _, model, _ = impute.fit(held, sites, impute.Options(clusters=4, passes=2, grid=fixtures.GRID))
-    likely = settled(admix.likelihoods(held, model, 4), "likely", large_rows=True)
-    state, _ = admix.fit(likely, admix.Options(clusters=4, ancestries=3, passes=3))
+    state, _ = admix.fit(admix.Evidence(held, model, 4), admix.Options(clusters=4, ancestries=3, passes=3))
     return admix.shares(state, 3)
 
 

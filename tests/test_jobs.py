@@ -36,6 +36,7 @@ def data(spark):
     for i, s in zip(*np.nonzero(depth)):
         gl = [pa ** alt[i, s] * (1 - pa) ** (depth[i, s] - alt[i, s]) for pa in (0.01, 0.5, 0.99)]
         rows.append((int(s), int(i), *[float(x / sum(gl)) for x in gl]))
+    rows = [r for r in rows if r[:2] != (7, 3) and not (r[1] == 5 and r[0] < 60)]  # sample 5 has no reads in the first chunk
     cells = spark.createDataFrame(rows, "site_idx long, sample_idx long, gl0 double, gl1 double, gl2 double")
     sites = settled(chunked(spark.createDataFrame([("1", s, 1000 * (s + 1)) for s in range(M)], "contig string, site_idx long, pos long"), 60), "sites")
     return settled(tiles(cells, sites, 60, 600), "tiles", large_rows=True), sites, truth
@@ -54,7 +55,9 @@ def test_imputation(data, grid):
     options = impute.Options(clusters=C, passes=10, grid=grid, seed=3)
     used, _, history = impute.fit(held, sites, options)
     assert all(b > a - 1e-6 * abs(a) for a, b in zip(history, history[1:]))
-    dose = dosages(impute.posteriors(held, used, C))
+    found = impute.posteriors(held, used, C)
+    assert found.select("sample_idx", "chunk_id", "chunk_pos").distinct().count() == found.count() == N * M
+    dose = dosages(found)
     assert np.corrcoef(dose.ravel(), truth.ravel())[0, 1] ** 2 > (0.6 if grid == 1 else 0.4)
 
 
@@ -85,10 +88,10 @@ def separation(q):
 def test_admixture(data):
     held, sites, _ = data
     _, model, _ = impute.fit(held, sites, impute.Options(clusters=C, passes=6, seed=3))
-    likely = settled(admix.likelihoods(held, model, C), "likely", large_rows=True)
-    slow, history = admix.fit(likely, admix.Options(clusters=C, ancestries=2, passes=8, accelerate=False))
+    evidence = admix.Evidence(held, model, C)
+    slow, history = admix.fit(evidence, admix.Options(clusters=C, ancestries=2, passes=8, accelerate=False))
     assert all(b > a - 1e-6 for a, b in zip(history, history[1:]))
-    fast, quick = admix.fit(likely, admix.Options(clusters=C, ancestries=2, passes=12))
+    fast, quick = admix.fit(evidence, admix.Options(clusters=C, ancestries=2, passes=12))
     assert all(b > a - 1e-6 for a, b in zip(quick, quick[1:]))
     assert quick[-1] >= history[2]
     for state in (slow, fast):

@@ -108,6 +108,8 @@ def test_factorised_admixture_step_is_the_four_way_one(seed):
     np.testing.assert_allclose(counts, (w.sum((2, 5)) + w.sum((1, 4))).sum(0))
     np.testing.assert_allclose(own, (w.sum((2, 3, 4, 5)) + w.sum((1, 3, 4, 5))))
     np.testing.assert_allclose(own.sum(1), 2 * 7)
+    for x, y in zip(kernel.admixture_counts(gl, p, np.arange(7), rates, pi, kernel.pair_prior(rates, pi), q, f), (loglik, counts, own)):
+        np.testing.assert_allclose(x, y)
 
 
 def test_joint_ancestries_sum_to_one_and_one_ancestry_is_the_plain_model():
