@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 #: White space that separates words: blank and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows that a table may have to be broadcast; beyond, Spark joins by shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows, and bytes of its files, that a table may have to be broadcast; beyond, Spark joins by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 #: Bytes of text that a Python task handles at once, besides a single longer text.
 SLICE_BYTES = 1 << 20
@@ -56,9 +56,10 @@ def forget(spark: SparkSession, df: DataFrame) -> None:
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A saved table, marked for broadcast if it has few rows; else unmarked, so that Spark joins by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A saved table, marked for broadcast if it has few rows and its files few bytes; else unmarked, so that Spark joins by shuffle."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= most and df.limit(rows + 1).count() <= rows else df
 
 
 def hash60(text: Column) -> Column:

@@ -1,8 +1,12 @@
 """Language identification by nearest centroid: TF-IDF vectors of hashed character n-grams, normalised to length 1, are
-compared by cosine with several centroids a language, which spherical k-means finds in labelled texts. A text whose cosine
-with its nearest centroid lies below ``LEAST`` is rejected: it shares next to no n-grams with what was learned.
+compared by cosine with several centroids a language, which spherical k-means finds in labelled texts.
 
-The classifier is fitted on at most about ``SAMPLE`` labelled rows a language, chosen by a hash of their keys.
+A text is rejected if it is too far from its nearest centroid for its length, as cosines grow with length: the limit of each
+doubling of the number of n-grams is ``SLACK`` times the cosine that all but one in a hundred of the sample's texts of that
+length reach, at least ``LEAST``; lengths with few texts in the sample have the limit of the next shorter ones that don't.
+
+The classifier is fitted on at most about ``SAMPLE`` labelled rows a language, chosen by a hash of their keys; what goes to a task
+are their n-gram counts, of one size whatever the texts' lengths.
 
 Defined results: a null text and a text without letters are ``und`` with score 0 and rejected; rows without a label aren't
 learned from; equal texts get equal results; with nothing to learn from, every text is ``und``; an empty table gives no rows;
@@ -28,8 +32,12 @@ SAMPLE = 1500
 CENTROIDS = 4
 #: Hash buckets of n-grams.
 BUCKETS = 8192
-#: Cosine below which a text is rejected. Of clean texts, even single words reach 0.05; other scripts stay under 0.02.
+#: Cosine below which any text is rejected. Of clean texts, even single words reach 0.05; other scripts stay under 0.02.
 LEAST = 0.03
+#: Share of a usual text's least cosine below which a text is rejected, and texts of a length that tell what is usual.
+SLACK, ENOUGH = 0.7, 40
+#: Doublings of length that are told apart.
+LENGTHS = 32
 UNDETERMINED = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -72,6 +80,20 @@ def clustered(v: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.n
     return centres[kept], np.argmax(v @ centres[kept].T, axis=1)
 
 
+def doubling(found: np.ndarray) -> np.ndarray:
+    """Which doubling of the number of n-grams each row of counts is in."""
+    return np.minimum(np.log2(np.maximum(found.sum(1), 1)).astype(np.int64), LENGTHS - 1)
+
+
+def limits(at: np.ndarray, cosines: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """The cosine below which texts of each doubling of length are rejected."""
+    out = np.full(LENGTHS, least)
+    for k in range(LENGTHS):
+        own = cosines[at == k]
+        out[k] = max(least, SLACK * float(np.quantile(own, 0.01))) if len(own) >= ENOUGH else out[max(0, k - 1)]
+    return out
+
+
 @dataclass
 class Model:
     """What goes to the executors; its size is languages x centroids x buckets."""
@@ -79,17 +101,18 @@ class Model:
     langs: list[str]
     centroids: np.ndarray
     idf: np.ndarray
-    least: float = LEAST
+    least: np.ndarray  # by doubling of length
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine (0 to 1) and whether it is rejected, for each text."""
         if not self.langs:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        near = vectors(counts(texts, len(self.idf)), self.idf) @ self.centroids.T
+        found = counts(texts, len(self.idf))
+        near = vectors(found, self.idf) @ self.centroids.T
         best = np.argmax(near, axis=1)
         score = np.clip(near[np.arange(len(texts)), best], 0, 1).astype(np.float64)
         none = np.array([not text or not _LETTER.search(text) for text in texts], bool)
-        far = score < self.least
+        far = score < self.least[doubling(found)]
         return [UNDETERMINED if x else self.langs[j] for x, j in zip(none.tolist(), best.tolist())], np.where(none, 0, score), none | far
 
 
@@ -108,20 +131,35 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     small_batches(docs.sparkSession)
     rows = sampled(docs, key, text, lang, learn, sample)
 
+    def counted(batches):
+        for b in slices(batches, "text"):
+            found = counts(b.column("text").to_pylist(), buckets).astype("<f4")
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([x.tobytes() for x in found], pa.binary())], ["lang", "counts"])
+
+    rows = saved(rows.mapInArrow(counted, "lang string, counts binary"), "lang-counts")
+
+    def whole(pdf: pd.DataFrame) -> np.ndarray:
+        return np.array([np.frombuffer(x, "<f4") for x in sorted(pdf["counts"])])
+
     def present(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"n": [len(pdf)], "df": [sum((counts([t], buckets)[0] > 0).astype(np.int64) for t in pdf["text"]).tolist()]})
+        return pd.DataFrame({"n": [len(pdf)], "df": [(whole(pdf) > 0).sum(0).tolist()]})
 
     seen = rows.groupBy("lang").applyInPandas(present, "n long, df array<long>").collect()  # one row a language
     n, df = sum(r["n"] for r in seen), sum((np.array(r["df"]) for r in seen), np.zeros(buckets))
     idf = np.log((1 + n) / (1 + df)).astype(np.float32)
 
     def centres(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.concatenate([vectors(counts([t], buckets), idf) for t in pdf.sort_values("text")["text"]])
+        raw = whole(pdf)
+        v = vectors(raw, idf)
         found, _ = clustered(v, k)
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "j": range(len(found)), "centroid": [x.tolist() for x in found.astype(np.float32)]})
-
-    found = sorted(rows.groupBy("lang").applyInPandas(centres, "lang string, j int, centroid array<float>").collect(), key=lambda r: (r["lang"], r["j"]))  # k rows a language
-    return Model([r["lang"] for r in found], np.array([r["centroid"] for r in found], np.float32).reshape(-1, buckets), idf, least)
+        near = (v @ found.T).max(1)
+        first = [True] + [False] * (len(found) - 1)
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "j": range(len(found)), "centroid": [x.tolist() for x in found.astype(np.float32)], "at": [doubling(raw).tolist() if x else [] for x in first], "cosines": [near.astype(float).tolist() if x else [] for x in first]})
+
+    # k rows a language, the first with the sample's lengths and cosines.
+    found = sorted(rows.groupBy("lang").applyInPandas(centres, "lang string, j int, centroid array<float>, at array<int>, cosines array<double>").collect(), key=lambda r: (r["lang"], r["j"]))
+    at, cosines = (np.array([x for r in found for x in r[c]]) for c in ("at", "cosines"))
+    return Model([r["lang"] for r in found], np.array([r["centroid"] for r in found], np.float32).reshape(-1, buckets), idf, limits(at, cosines, least))
 
 
 def _predicted(model, text: str):

@@ -1,30 +1,36 @@
-"""Line deduplication by pairwise alignment: a document and an earlier one that share lines are aligned by patience diff, and the
-aligned common blocks are deleted from the later one.
+"""Line deduplication by pairwise alignment: a document and an earlier one that share a run of lines are aligned by patience diff, and
+the aligned common blocks are deleted from the later one.
 
-Every line that several documents hold pairs each of them with the first that holds it, so a line of any frequency makes one
-pair less than it has documents, and no pair is left out: what two later documents share, the first has too, or another line
-pairs them. A pair needs only its shared lines, not the texts: their places in both documents.
+A run is a line and as few of the next, or of those before, as give it ``LEAST_WORDS`` words; blank lines hold no place in it and are
+bridged, and blanks around lines don't count. Every block of adjacent lines with so many words is made of runs, so documents are paired by runs, which
+are rarer than lines: each document that holds a run with the first that holds it. However hot a run is, it makes one pair less
+than it has documents, and what two later documents share is shared with a first holder, run by run, so no block is lost: a line
+goes exactly if it is part of a run that stands as adjacent lines in an earlier document. A run therefore remains in the document
+that held it first. Runs are told apart by 128-bit hashes of their lines.
 
-Patience diff: of the shared lines that occur once in both (within the stretch looked at), the longest run that rises in both
-documents is kept; matches grow from there over neighbouring equal lines; stretches between are looked at anew. Maximal runs
-of matched lines that are neighbours in both documents are blocks, and a block of at least ``LEAST_WORDS`` words is deleted. A
-deleted line therefore remains in the document that held it first.
+A pair needs only its shared runs and their places, not the texts. Patience diff: of the shared runs that occur once in both (within
+the stretch looked at), the longest sequence that rises in both documents is kept; matches grow from there over neighbouring
+equal runs; stretches between are looked at anew. Shared runs that this leaves stand in another order or are repeated; each is
+aligned by itself, with the run's first place.
 
-Lines are compared without the blanks around them; blank lines are never matched. "Earlier" is by key, nulls last.
+"Earlier" is by key. Blank lines within a deleted run go with it.
 
 Defined results: a null text stays null; a document all of whose lines are deleted has the empty text; of rows with an equal key
-each loses what any row of that key loses by its own place, and no row loses lines to one of its own key; an empty table gives
-no rows; other columns pass through unread.
+each loses what any row of that key loses by its own place, and no row loses lines to one of its own key; rows with a null key keep
+their lines and delete none; an empty table gives no rows; other columns pass through unread, and a column of the name given to
+the count of lines is replaced.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociweave.llm.common import saved, slices, small_batches
@@ -33,32 +39,52 @@ LEAST_WORDS = 10
 _BLANK = b" \t\r\v\f"
 
 
-def _split(batches):
-    h = xxhash.xxh64_intdigest
-    for b in slices(batches, "raw"):
-        rows, hashes, places, words = [], [], [], []
-        for i, raw in enumerate(b.column("raw").to_pylist()):
-            own: dict[int, list[int]] = {}
-            for at, line in enumerate((raw or b"").split(b"\n")):
-                line = line.strip(_BLANK)
-                if line:
-                    key = h(line)
-                    if key in own:
-                        own[key].append(at)
-                    else:
-                        own[key] = [at]
-                        words.append(len(line.split()))
-            rows += [i] * len(own)
-            hashes += own.keys()
-            places += own.values()
-        yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(rows, pa.int64())), pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(places, pa.list_(pa.int32())), pa.array(words, pa.int32())], ["key", "h", "own", "words"])
-
-
-def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row a distinct line of a document that isn't blank: key, hash, places from 0, words."""
+def runs(raw: bytes, least: int = LEAST_WORDS) -> list[tuple[bytes, int, int]]:
+    """Each run's hash, and the places of its first and last line, from 0."""
+    lines, places = [], []
+    for at, line in enumerate(raw.split(b"\n")):
+        line = line.strip(_BLANK)
+        if line:
+            lines.append(line)
+            places.append(at)
+    before = [0, *accumulate(len(x.split()) for x in lines)]
+    found, end = {}, 0
+    for i in range(len(lines)):  # the shortest from each line
+        end = bisect_left(before, before[i] + least, max(end, i))
+        if end >= len(before):
+            break
+        found[i, end] = None
+    for z in range(1, len(lines) + 1):  # the shortest to each line
+        if before[z] >= least:
+            found[bisect_right(before, before[z] - least, 0, z) - 1, z] = None
+    return [(xxhash.xxh3_128_digest(b"\n".join(lines[i:z]) if z > i + 1 else lines[i]), places[i], places[z - 1]) for i, z in sorted(found)]
+
+
+def _split(least: int):
+    def run(batches):
+        for b in slices(batches, "raw"):
+            rows, hashes, firsts, lasts = [], [], [], []
+            for i, raw in enumerate(b.column("raw").to_pylist()):
+                own: dict[bytes, tuple[list[int], list[int]]] = {}
+                for h, at, to in runs(raw or b"", least):
+                    a, z = own.setdefault(h, ([], []))
+                    a.append(at)
+                    z.append(to)
+                rows += [i] * len(own)
+                hashes += own.keys()
+                firsts += [a for a, _ in own.values()]
+                lasts += [z for _, z in own.values()]
+            both = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(rows, pa.int64())), *(pa.array(both[:, k]) for k in (0, 1)), pa.array(firsts, pa.list_(pa.int32())), pa.array(lasts, pa.list_(pa.int32()))], ["key", "h", "g", "own", "ends"])
+
+    return run
+
+
+def runs_of(docs: DataFrame, key: str, text: str, least: int = LEAST_WORDS) -> DataFrame:
+    """One row a distinct run of a document: key, both halves of its hash, and the places of its first and last lines."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("raw"))
-    return rows.mapInArrow(_split, f"key {docs.schema[key].dataType.simpleString()}, h long, own array<int>, words int")
+    return rows.mapInArrow(_split(least), f"key {docs.schema[key].dataType.simpleString()}, h long, g long, own array<int>, ends array<int>")
 
 
 def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -81,107 +107,116 @@ def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def patience(a: dict[int, int], b: dict[int, int]) -> list[tuple[int, int]]:
-    """Matched places of two documents' shared lines, given as hashes by place."""
-    found: list[tuple[int, int]] = []
+def patience(a: dict, b: dict) -> list[tuple]:
+    """Matched places of two documents' shared runs, given as marks by place; places are numbers or tuples, in order."""
+    found: list[tuple] = []
     todo = [(sorted(a), sorted(b))]
     while todo:
         left, right = todo.pop()
-        # Equal lines at both ends are matched first.
-        head = 0
-        while head < min(len(left), len(right)) and a[left[head]] == b[right[head]]:
-            found.append((left[head], right[head]))
-            head += 1
-        left, right = left[head:], right[head:]
-        tail = 0
-        while tail < min(len(left), len(right)) and a[left[-1 - tail]] == b[right[-1 - tail]]:
-            found.append((left[-1 - tail], right[-1 - tail]))
-            tail += 1
+        # Equal runs at both ends are matched first.
+        most = min(len(left), len(right))
+        head = next((i for i in range(most) if a[left[i]] != b[right[i]]), most)
+        found += zip(left[:head], right[:head])
+        left, right, most = left[head:], right[head:], most - head
+        tail = next((i for i in range(most) if a[left[-1 - i]] != b[right[-1 - i]]), most)
+        found += zip(left[len(left) - tail :], right[len(right) - tail :])
         left, right = left[: len(left) - tail], right[: len(right) - tail]
         if not left or not right:
             continue
-        once: dict[int, list[int]] = {}
-        for places, side, own in ((left, 0, a), (right, 1, b)):
-            for i in places:
-                once.setdefault(own[i], [-1, -1, 0, 0])
-                once[own[i]][side] = i
-                once[own[i]][2 + side] += 1
-        anchors = rising(sorted((x, y) for x, y, m, n in once.values() if m == n == 1))
+        once: dict = {}
+        for side, places, own in ((0, left, a), (1, right, b)):
+            for i, x in enumerate(places):
+                seen = once.setdefault(own[x], [-1, -1, 0, 0])
+                seen[side], seen[2 + side] = i, seen[2 + side] + 1
+        anchors = rising(sorted((i, j) for i, j, m, n in once.values() if m == n == 1))
         if not anchors:
             continue
         i = j = 0
-        for x, y in [*anchors, (left[-1] + 1, right[-1] + 1)]:
-            u, v = i, j
-            while u < len(left) and left[u] < x:
-                u += 1
-            while v < len(right) and right[v] < y:
-                v += 1
-            if u > i and v > j:
-                todo.append((left[i:u], right[j:v]))
-            if x <= left[-1]:
-                found.append((x, y))
-            i, j = u + 1, v + 1
+        for x, y in [*anchors, (len(left), len(right))]:
+            if x > i and y > j:
+                todo.append((left[i:x], right[j:y]))
+            if x < len(left):
+                found.append((left[x], right[y]))
+            i, j = x + 1, y + 1
     return sorted(found)
 
 
-def doomed(a: dict[int, int], b: dict[int, int], words: dict[int, int], least: int) -> list[int]:
-    """Places of the later document's lines in blocks of at least ``least`` words."""
-    out, block = [], []
-    for x, y in [*patience(a, b), (-9, -9)]:
-        if block and (x, y) != (block[-1][0] + 1, block[-1][1] + 1):
-            if sum(words[j] for _, j in block) >= least:
-                out += [j for _, j in block]
-            block = []
-        block.append((x, y))
-    return out
+def aligned(a: dict, b: dict) -> list[tuple]:
+    """(place in the earlier document, place in the later one) of every shared run, given as marks by place: those that patience diff
+    matches, and the others by themselves."""
+    found = patience(a, b)
+    done = {y for _, y in found}
+    first: dict = {}
+    for x in sorted(a):
+        first.setdefault(a[x], x)
+    return sorted([*found, *((first[h], y) for y, h in b.items() if y not in done)], key=lambda p: p[1])
 
 
-def _aligned(least: int):
+def _aligned():
     """Rows come sorted by pair; a pair may go on in the next batch."""
 
     def run(batches):
-        pair, a, b, words = None, {}, {}, {}
+        pair, a, b = None, {}, {}
+
+        def out(kind, found):
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((kind, kind, pa.int32(), pa.int32(), pa.int32()))], ["first", "key", "at_first", "at", "to"])
+
+        def blocks():
+            return [(*pair, x, y, z) for (x, _), (y, z) in aligned(a, b)] if pair else []
+
+        kind = None
         for batch in batches:
-            keys, places = [], []
-            columns = [batch.column(c).to_pylist() for c in ("first", "key", "h", "words", "own", "firsts")]
-            for first, key, h, n, own, firsts in zip(*columns):
+            kind, found = batch.schema.field("key").type, []
+            columns = [batch.column(c).to_pylist() for c in ("first", "key", "h", "g", "own", "ends", "firsts")]
+            for first, key, h, g, own, ends, firsts in zip(*columns):
+                firsts = [(x["own"], x["ends"]) for x in firsts]
                 if (first, key) != pair:
-                    if pair:
-                        got = doomed(a, b, words, least)
-                        keys += [pair[1]] * len(got)
-                        places += got
-                    pair, a, b, words = (first, key), {}, {}, {}
-                for i in firsts:
-                    a[i] = h
-                for i in own:
-                    b[i], words[i] = h, n
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field("key").type), pa.array(places, pa.int32())], ["key", "at"])
+                    found += blocks()
+                    pair, a, b = (first, key), {}, {}
+                for i, z in firsts:
+                    a[i, z] = (h, g)
+                for i, z in zip(own, ends):
+                    b[i, z] = (h, g)
+            yield out(kind, found)
         if pair:
-            got = doomed(a, b, words, least)
-            yield pa.RecordBatch.from_arrays([pa.array([pair[1]] * len(got), batch.schema.field("key").type), pa.array(got, pa.int32())], ["key", "at"])
+            yield out(kind, blocks())
 
     return run
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """(key, at): the lines that go, by their place. Rows with a null key keep theirs."""
+def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """first, key, at_first, at, to: runs of later documents (lines ``at`` to ``to``) and where the first document has each."""
     kind = docs.schema[key].dataType.simpleString()
-    each = saved(lines_of(docs.where(F.col(key).isNotNull()), key, text), "lines")
-    shared = each.groupBy("h").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("h", "first")
-    # A line's places in one document are few; documents that hold it may be many, and are counted, not gathered. Rows of an
-    # equal key are one document here.
-    # Both sides of each join are tables, so that Spark can split a hot line's partition.
-    held = saved(each.join(saved(shared, "line-holders"), "h"), "line-places")
-    firsts = held.where("key = first").groupBy("h").agg(F.array_distinct(F.flatten(F.collect_list("own"))).alias("firsts"))
-    pairs = held.where("key > first").join(saved(firsts, "line-firsts"), "h").select("first", "key", "h", "words", "own", "firsts")
-    ordered = pairs.repartition("first", "key").sortWithinPartitions("first", "key", "h")
-    return ordered.mapInArrow(_aligned(least), f"key {kind}, at int").distinct()
+    each = saved(runs_of(docs.where(F.col(key).isNotNull()), key, text, least), "line-runs")
+    shared = each.groupBy("h", "g").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("h", "g", "first")
+    # A run's places in one document are few; documents that hold it may be many, and are counted, not gathered. Rows of an
+    # equal key are one document here. Both sides of each join are tables, so that Spark can split a hot run's partition.
+    held = saved(each.join(saved(shared, "line-holders"), ["h", "g"]), "line-places")
+    firsts = held.where("key = first").groupBy("h", "g").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("own", "ends")))).alias("firsts"))
+    pairs = held.where("key > first").join(saved(firsts, "line-firsts"), ["h", "g"]).select("first", "key", "h", "g", "own", "ends", "firsts")
+    ordered = pairs.repartition("first", "key").sortWithinPartitions("first", "key", "h", "g")
+    return ordered.mapInArrow(_aligned(), f"first {kind}, key {kind}, at_first int, at int, to int")
+
+
+def spans(found: DataFrame) -> DataFrame:
+    """key, gone: the spans of lines (at, to) that go, apart from each other and in order."""
+    order = W.partitionBy("key").orderBy("at", "to")
+    reached = F.max("to").over(order.rowsBetween(W.unboundedPreceding, -1))
+    begun = found.select("key", "at", "to").withColumn("new", F.when(F.col("at") <= reached + 1, 0).otherwise(1))
+    each = begun.withColumn("span", F.sum("new").over(order)).groupBy("key", "span").agg(F.min("at").alias("at"), F.max("to").alias("to"))
+    return each.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "to"))).alias("gone"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, removed: str = "n_removed") -> DataFrame:
     """``docs`` without the repeated blocks in ``text``, and the number of lines removed."""
-    gone = repeats(docs, key, text, least).groupBy(F.col("key").alias("_line_key")).agg(F.collect_set("at").alias("_line_at"))
+    gone = spans(blocks(docs, key, text, least)).withColumnRenamed("key", "_line_key")
     # Texts and deletions are joined by shuffle at every size: deletions grow with the documents.
     rows = docs.join(saved(gone, "line-gone").hint("merge"), F.col(key) == F.col("_line_key"), "left").drop("_line_key")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains("_line_at", i))
-    return rows.withColumns({removed: F.coalesce(F.size("_line_at"), F.lit(0)), text: F.when(F.col("_line_at").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))}).drop("_line_at")
+    lines = F.split(F.col(text), "\n")
+    # What stays are the slices before the first span, between spans, and after the last.
+    begins = F.concat(F.array(F.lit(0)), F.transform("gone", lambda s: s["to"] + 1))
+    stops = F.concat(F.transform("gone", lambda s: s["at"]), F.array(F.size("_lines")))
+    kept = F.flatten(F.zip_with(begins, stops, lambda i, j: F.slice("_lines", i + 1, F.greatest(j - i, F.lit(0)))))
+    rows = rows.withColumn("_lines", F.when(F.col("gone").isNotNull(), lines)).withColumn("_kept", F.when(F.col("_lines").isNotNull(), kept))
+    out = {removed: F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)), text: F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n"))}
+    return rows.withColumns(out).drop("_lines", "_kept", "gone")

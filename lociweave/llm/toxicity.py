@@ -5,7 +5,8 @@ The model is fitted on at most about ``SAMPLE`` labelled rows of each label, cho
 that hash. Where one label is far commoner, the sample evens the two out.
 
 Defined results: null and empty texts have no terms and get the intercept's score; rows without a label aren't learned from;
-a document labelled more than once counts once for each label; equal texts get equal scores; with nothing to learn from,
+a document labelled more than once counts once for each label; of
+documents with an equal key one is learned from, that of the least text; equal texts get equal scores; with nothing to learn from,
 every score is 0.5; an empty table gives no rows; other columns pass through unread.
 """
 
@@ -100,10 +101,20 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, bits)
     # The bound on the sample is a bound on what is broadcast.
     picked = known.where(" OR ".join(f"(label = {y} AND h < {int(min(1, sample / n) * (1 << 60))})" for y, n in totals.items())).distinct()
-    rows = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(saved(picked, "toxic-picked")), F.col(key) == F.col("_of")).select("text", "label", "h")
+    rows = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(saved(picked, "toxic-picked")), F.col(key) == F.col("_of"))
+    # What goes to the one task that learns are each text's distinct terms, at most 2^bits; of equal keys, one text.
+    rows = rows.groupBy("_of", "label", "h").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", "label", "h")
+
+    def hashed(batches):
+        for b in slices(batches, "text"):
+            found = [terms(t, bits).astype("<i4").tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), *b.columns[1:]], ["terms", *b.schema.names[1:]])
+
+    rows = rows.mapInArrow(hashed, "terms binary, label int, h long")
+
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "label", "text"])
-        w, bias = ftrl([(terms(t, bits), int(y)) for t, y in zip(pdf["text"], pdf["label"])], bits)
+        pdf = pdf.sort_values(["h", "label", "terms"])
+        w, bias = ftrl([(np.frombuffer(t, "<i4"), int(y)) for t, y in zip(pdf["terms"], pdf["label"])], bits)
         ids = np.flatnonzero(w)
         return pd.DataFrame({"id": [-1, *ids.tolist()], "weight": [bias, *w[ids].tolist()]})
 

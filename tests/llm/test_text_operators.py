@@ -19,34 +19,67 @@ from tests.llm.conftest import SCHEMA, edge_texts, prose, rows_of
 
 
 def slow_lines(rows, least):
-    """Deleted places by key, from first holders and patience diff of shared lines."""
-    first, lines = {}, {}
-    for key, text in sorted(((k, t) for k, t in rows if k is not None and t is not None), key=lambda r: r[0]):
-        own = lines.setdefault(key, {})
-        for i, x in enumerate(text.split("\n")):
-            x = x.strip(" \t\r\v\f")
-            if x:
-                own.setdefault(x, set()).add(i)
-                first.setdefault(x, key)
-    gone = {}
-    for key, own in lines.items():
-        for holder in {first[x] for x in own} - {key}:
-            b = {i: x for x, at in own.items() if first[x] == holder for i in at}
-            a = {i: x for x in set(b.values()) for i in lines[holder][x]}
-            gone.setdefault(key, set()).update(linededup.doomed(a, b, {i: len(x.split()) for i, x in b.items()}, least))
+    """Deleted places by key: every later document against every earlier one, all stretches of lines that both have."""
+
+    def lines(text):
+        return [(i, x.strip(" \t\r\v\f")) for i, x in enumerate(text.split("\n")) if x.strip(" \t\r\v\f")]
+
+    texts, gone = {}, {}
+    for key, text in rows:
+        if key is not None and text is not None:
+            texts.setdefault(key, []).append(lines(text))
+    for key, earlier in product(texts, texts):
+        if earlier < key:
+            for b, a in product(texts[key], texts[earlier]):
+                for i, j in product(range(len(b)), range(len(a))):
+                    n = 0
+                    while i + n < len(b) and j + n < len(a) and b[i + n][1] == a[j + n][1]:
+                        n += 1
+                    if sum(len(x.split()) for _, x in b[i : i + n]) >= least:
+                        gone.setdefault(key, set()).update(range(b[i][0], b[i + n - 1][0] + 1))
     return gone
 
 
+def rewritten(rows, gone):
+    out = []
+    for k, t in rows:
+        own = gone.get(k, set()) & set(range(t.count("\n") + 1)) if t is not None else set()
+        out.append((k, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in own) if own else t, len(own)))
+    return Counter(out)
+
+
 def test_lines_match_brute_force(spark):
     rng = random.Random(4)
     pool = [prose(rng, rng.randint(1, 9)) for _ in range(40)]
-    rows = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.7 else prose(rng, 5) for _ in range(rng.randint(0, 14)))) for i in range(80)]
+    rows = [(i, "\n".join(rng.choice(["", *pool]) if rng.random() < 0.7 else prose(rng, 5) for _ in range(rng.randint(0, 14)))) for i in range(80)]
+    for i in range(80, 140):  # stretches of others, moved and repeated
+        pieces = []
+        for _ in range(rng.randint(1, 4)):
+            lines = rng.choice(rows)[1].split("\n")
+            at = rng.randrange(len(lines))
+            pieces += lines[at : at + rng.randint(1, 6)]
+        rows.append((i, "\n".join(pieces)))
     rows += [(500 + i, rows[3][1]) for i in range(30)] + [(None, rows[3][1]), (600, None), (601, ""), (602, "\n\n")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     gone = slow_lines(rows, 6)
     got = linededup.deduplicated(docs, least=6).collect()
-    want = Counter((k, t if t is None or not gone.get(k) else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[k]), len(gone.get(k, ()))) for k, t in rows)
-    assert Counter((r["doc_id"], r["text"], r["n_removed"]) for r in got) == want
+    assert Counter((r["doc_id"], r["text"], r["n_removed"]) for r in got) == rewritten(rows, gone) and len(gone) > 50
+
+
+def test_lines_that_stood_singly_before_are_part_of_blocks(spark):
+    a, b = "a line of five words", "another one of five words"
+    rows = [(0, a), (1, b), (2, f"unique one\n{a}\n\n{b}\nunique two"), (3, f"unique three\n{a}\n{b}\nunique four")]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3] == ("unique three\nunique four", 2) and got[2] == (rows[2][1], 0)
+    found = linededup.blocks(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["first"], r["key"], r["at_first"], r["at"], r["to"]) for r in found] == [(2, 3, 1, 1, 2)]
+
+
+def test_documents_of_very_many_lines(spark):
+    text = "\n".join(f"line number {i} of a very long document with ten words" for i in range(20_000))
+    changed = text.replace("number 777 ", "number x ").replace("number 9000 ", "number y ")
+    got = {r["doc_id"]: r for r in linededup.deduplicated(spark.createDataFrame([(1, text), (2, changed)], "doc_id long, text string")).collect()}
+    assert got[1]["text"] == text and got[2]["n_removed"] == 19_998 and got[2]["text"].count("\n") == 1
 
 
 @settings(max_examples=100, deadline=None)
