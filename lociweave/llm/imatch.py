@@ -1,22 +1,22 @@
-"""I-Match document fingerprints: terms within a band of inverse document frequency, hashed as sets in several randomised
-lexicon subsets.
+"""I-Match document fingerprints: a document's distinct terms within a band of inverse document frequency, hashed as sets: all of
+them, and those that each of several randomised lexicon subsets keeps.
 
-Terms are lower-case runs of letters and digits, by their 64-bit hash. At level l, the lexicon is split at random into
-``SUBSETS`` * 2^l classes; the first ``SUBSETS`` classes are the subsets. A document is fingerprinted at the level at which a
-subset has one or two of its distinct terms and at the next, so that a long and a short document both have signatures that a
-small change leaves alone, and only some 50 terms of a document leave its row. A signature is the hash of the sorted distinct
-terms of one subset; subsets of level l + 1 are parts of those of level l.
+Terms are lower-case runs of letters and digits, by their 64-bit hash. Document frequencies count distinct texts, so that a large
+group of copies doesn't make its terms common. A term is in the band if at most ``MOST_SHARE`` of the distinct texts have it and at
+least as many as leave the band at most ``LEXICON`` terms, two at least. The band is therefore of bounded size, is broadcast, and
+no document's terms are shuffled.
 
-A term is in the band if at least ``LEAST_DOCS`` documents have it and at most ``MOST_SHARE`` of all. Terms above the band are
-few (their number is at most the mean number of distinct terms a document over ``MOST_SHARE``), so they are broadcast and leave
-first; then no term's rows can be more than that share.
+Each of ``SUBSETS`` lexicons keeps at level l a random 1 in 4^l of the band's terms, and of those 1 in 4 at the next level. A
+fingerprint has the signature of all kept terms, and those of each lexicon at the level at which it keeps 1 to 4 of the document's
+terms and at the next, so that a long and a short document both have signatures that a small change leaves alone. A signature is
+the exclusive or of the terms' hashes: the same whatever their order, as if they had been sorted, but found without gathering them.
 
-The likeness of two fingerprints is the share of the subsets, of those at levels both have in which either has a signature,
-in which the signatures are equal. A document with no term in the band is fingerprinted by the hash of its text, and its
-likeness is 1 or 0.
+The likeness of two fingerprints is 1 if they are equal; else the share of the lexicons, at the levels that both have and in which
+either keeps terms, whose signatures are equal. It is a mean of 8 or 16 such outcomes, so comes in steps of about 1/8. A document
+with no term in the band is fingerprinted by the hash of its text, and its likeness is 1 or 0.
 
-Documents are put in order within parts of the key range, cut at quantiles; the first document of a part is also sent to the
-part before, as the one that follows its last.
+Documents are put in order within parts of the key range, which follow from counts of equal slices of it; the first document of a
+part is also sent to the part before, as the one that follows its last.
 
 Defined results: a null text is the empty one; equal texts have equal fingerprints, and likeness 1; keys are numbers, nulls
 first, equal keys follow each other by their text's digest and share a part; equal rows are all kept; the only document is its
@@ -25,20 +25,20 @@ own next one; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociweave.llm.common import saved, small
 
-SUBSETS = 16
+#: Lexicons, and their levels after the whole.
+SUBSETS, LEVELS = 8, 7
 LEAST_DOCS = 2
 MOST_SHARE = 0.05
-#: Rows that are put in order together.
-PART_ROWS = 2_000
+#: Terms that the band has at most, which bounds what is broadcast.
+LEXICON = 1 << 20
+#: Rows that are put in order together, and slices of the key range that are counted.
+PART_ROWS, SLICES = 2_000, 1 << 18
 #: Separates terms.
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
@@ -49,37 +49,20 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def level(n: Column) -> Column:
-    """The level for so many distinct terms: a subset has 1 to 2 of them, or fewer at level 0."""
-    return F.greatest(F.lit(0), F.floor(F.log2(F.greatest(n, F.lit(1)) / float(SUBSETS)))).cast("int")
-
-
-def subset(term: Column, at: Column) -> Column:
-    """The class of a term at a level; classes below ``SUBSETS`` are the lexicon subsets."""
-    own = F.shiftrightunsigned(F.xxhash64(term, F.lit(10)), 8)
-    return own.bitwiseAND(F.call_function("shiftleft", F.lit(SUBSETS).cast("long"), at) - 1)
-
-
-def selected(found: Column, at: Column) -> Column:
-    """The terms that are in one of the level's subsets."""
-    return F.filter(found, lambda t: subset(t, at) < SUBSETS)
-
-
 def parted(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with ``part``, an ascending number for ranges of the key, and ``also``: the part before if the key is its part's first."""
-    n = docs.count()
-    parts = max(1, math.ceil(n / PART_ROWS))
-    wanted = [i / parts for i in range(1, parts)]
-    cuts = docs.agg(F.percentile_approx(F.col(key).cast("double"), wanted, max(10_000, 4 * parts))).first()[0] if wanted else []
-    splits = [-math.inf, *sorted(set(cuts or [])), math.inf]
-    rows = docs.withColumn("_key", F.col(key).cast("double"))
-    rows = Bucketizer(splits=splits, inputCol="_key", outputCol="_bucket", handleInvalid="keep").transform(rows) if len(splits) > 2 else rows.withColumn("_bucket", F.lit(0))
-    rows = rows.withColumn("part", F.when(F.col("_key").isNull(), 0).otherwise(F.col("_bucket") + 1).cast("long")).drop("_key", "_bucket")
-    firsts = rows.groupBy("part").agg(F.min(key).alias("_first"))
-    # One row a part; the last part comes before the first.
-    order = W.orderBy("part")
-    firsts = firsts.withColumn("_before", F.coalesce(F.lag("part").over(order), F.max("part").over(W.partitionBy())))
-    rows = rows.join(small(saved(firsts, "imatch-parts")), "part")
+    value = F.col(key).cast("double")
+    low, high = docs.agg(F.min(value), F.max(value)).first()  # one row
+    low, span = low or 0.0, max((high or 0.0) - (low or 0.0), 1.0)
+    rows = docs.withColumn("_slice", F.coalesce(F.least(F.floor((value - low) / span * SLICES), F.lit(SLICES - 1)), F.lit(-1)))
+    counts = rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first"))
+    # At most SLICES + 1 rows; parts are runs of slices, and the last part comes before the first.
+    order = W.partitionBy().orderBy("_slice")
+    parts = counts.select("_slice", "_first", F.floor((F.sum("_n").over(order) - F.col("_n")) / PART_ROWS).alias("part"))
+    firsts = parts.groupBy("part").agg(F.min_by("_first", "_slice").alias("_first"))
+    befores = firsts.withColumn("_before", F.coalesce(F.lag("part").over(W.partitionBy().orderBy("part")), F.max("part").over(W.partitionBy())))
+    placed = saved(parts.select("_slice", "part").join(befores, "part"), "imatch-parts")
+    rows = rows.join(F.broadcast(placed), "_slice").drop("_slice")
     return rows.withColumn("also", F.when(F.col(key).eqNullSafe(F.col("_first")), F.col("_before"))).drop("_first", "_before")
 
 
@@ -103,41 +86,60 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     )
 
 
-def lexicon(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS, share: float = MOST_SHARE) -> tuple[DataFrame, DataFrame]:
-    """Terms within the band and terms above it, from the document frequencies of all documents' terms; both saved."""
-    counts = docs.select(F.explode(terms(F.coalesce(F.col(text), F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    most = max(least, int(docs.count() * share))
-    known = saved(counts.where(F.col("df") >= least).withColumn("above", F.col("df") > most), "imatch-terms")
-    return known.where("NOT above").select("term"), saved(known.where("above").select("term"), "imatch-common")
+def lexicon(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS, share: float = MOST_SHARE, most: int = LEXICON) -> DataFrame:
+    """The band's terms, at most ``most``, from the document frequencies of all distinct texts' terms; saved."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    digests = docs.select(F.xxhash64(body).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
+    n = digests.count()
+    # A text of several copies counts as one, split over them.
+    copied = small(saved(digests.where("copies > 1"), "imatch-copies"))
+    rows = docs.select(body.alias("text"), F.xxhash64(body).alias("digest")).join(copied, "digest", "left")
+    each = rows.select(F.explode(terms(F.col("text"))).alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("weight"))
+    counts = each.groupBy("term").agg(F.sum("weight").alias("df")).withColumn("df", F.round("df").cast("long"))
+    known = saved(counts.where(F.col("df").between(least, max(least, int(n * share)))), "imatch-terms")
+    # The least frequency at which the band is small enough: one row a frequency.
+    sizes = known.groupBy("df").agg(F.count(F.lit(1)).alias("n")).select("df", F.sum("n").over(W.partitionBy().orderBy(F.desc("df"))).alias("held"))
+    cut = sizes.where(F.col("held") <= most).agg(F.min("df")).first()[0]
+    return saved(known.where(F.col("df") >= cut if cut is not None else F.lit(False)).select("term"), "imatch-band")
 
 
-def classed(found: Column, at: Column) -> Column:
-    """Each term t with its class c at a level."""
-    return F.transform(found, lambda t: F.struct(subset(t, at).alias("c"), t.alias("t")))
+def level(n: Column) -> Column:
+    """The level at which a lexicon keeps 1 to 4 of so many terms, or fewer at the first."""
+    return F.least(F.greatest(F.lit(1), F.floor(F.log(4.0, F.greatest(n, F.lit(1)).cast("double")))), F.lit(LEVELS - 1)).cast("int")
 
 
-def signatures(found: Column) -> Column:
-    """For each subset, the hash of its sorted distinct terms in 8 hexadecimal digits, empty if it has none."""
+def kept(lexicon_hash: Column, at: int) -> Column:
+    """Whether a lexicon keeps a term at a level."""
+    return lexicon_hash.bitwiseAND(F.lit(4**at - 1).cast("long")) == 0
 
-    def one(k: Column) -> Column:
-        own = F.sort_array(F.transform(F.filter(found, lambda x: x["c"] == k), lambda x: x["t"]))
-        return F.right(F.hex(F.xxhash64(own)), F.lit(8))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda k: F.when(F.exists(found, lambda x: x["c"] == k), one(k)).otherwise(""))
+def signatures(each: DataFrame, key: str, sides: dict[str, str]) -> DataFrame:
+    """One row a ``key`` of (key, term and booleans): for each side, how many terms it has, the signature of all, and an array by level
+    of the lexicons' signatures, 0 where none is kept."""
+    hashed = each.withColumns({f"_h{j}": F.xxhash64("term", F.lit(100 + j)) for j in range(SUBSETS)})
+    sums = []
+    for side, flag in sides.items():
+        sums += [F.count_if(flag).alias(f"{side}_n"), F.coalesce(F.bit_xor(F.when(F.col(flag), F.col("term"))), F.lit(0)).alias(f"{side}_0")]
+        sums += [F.coalesce(F.bit_xor(F.when(F.col(flag) & kept(F.col(f"_h{j}"), at), F.col("term"))), F.lit(0)).alias(f"{side}_{at}_{j}") for at in range(1, LEVELS + 1) for j in range(SUBSETS)]
+    found = hashed.groupBy(key).agg(*sums)
+    return found.select(key, *[c for side in sides for c in (f"{side}_n", f"{side}_0", F.array(*[F.array(*[f"{side}_{at}_{j}" for j in range(SUBSETS)]) for at in range(1, LEVELS + 1)]).alias(f"{side}_levels"))])
 
 
-def printed(at: Column, sigs: Column, digest: Column) -> Column:
-    """(at, sigs, print): level, signatures at it and at the next, and the fingerprint as a string."""
-    own = F.concat_ws(".", F.concat(F.lit("l"), at.cast("string")), sigs)
-    bare = F.struct(F.lit(-9).alias("at"), F.array().cast("array<string>").alias("sigs"), F.concat(F.lit("t."), F.lower(F.hex(digest))).alias("print"))
-    return F.when(F.exists(sigs, lambda s: s != ""), F.struct(at.alias("at"), sigs.alias("sigs"), own.alias("print"))).otherwise(bare)
+def printed(n: Column, whole: Column, levels: Column, digest: Column) -> Column:
+    """(at, sigs, print): level, the lexicons' signatures at it and at the next, and the fingerprint as a string."""
+    at = level(n)
+    sigs = F.concat(F.element_at(levels, at), F.element_at(levels, at + 1))
+    text = F.transform(F.concat(F.array(whole), sigs), lambda x: F.when(x == 0, "").otherwise(F.lower(F.right(F.lpad(F.hex(x), 16, "0"), F.lit(8)))))
+    own = F.struct(at.alias("at"), sigs.alias("sigs"), F.concat(F.lit("l"), at.cast("string"), F.lit("."), F.array_join(text, ".")).alias("print"))
+    bare = F.struct(F.lit(-9).alias("at"), F.array().cast("array<bigint>").alias("sigs"), F.concat(F.lit("t."), F.lower(F.hex(digest))).alias("print"))
+    return F.when(n > 0, own).otherwise(bare)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of subsets with equal signatures, of those that either has, at the levels that both have; 0 to 1."""
+    """1 for equal fingerprints; else the share of lexicons with equal signatures, of those that either has, at the levels both have."""
     x = F.when(a["at"] < b["at"], F.slice(a["sigs"], SUBSETS + 1, SUBSETS)).when(a["at"] > b["at"], F.slice(a["sigs"], 1, SUBSETS)).otherwise(a["sigs"])
     y = F.when(a["at"] > b["at"], F.slice(b["sigs"], SUBSETS + 1, SUBSETS)).when(a["at"] < b["at"], F.slice(b["sigs"], 1, SUBSETS)).otherwise(b["sigs"])
-    pairs = F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: (p["x"] != "") | (p["y"] != ""))
+    pairs = F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: (p["x"] != 0) | (p["y"] != 0))
     same = F.size(F.filter(pairs, lambda p: p["x"] == p["y"])) / F.size(pairs)
     near = F.when((F.abs(a["at"] - b["at"]) > 1) | (F.size(pairs) <= 0), 0.0).otherwise(same)
     return F.when(a["print"] == b["print"], 1.0).otherwise(near)
@@ -146,28 +148,19 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_DOCS, share: float = MOST_SHARE) -> DataFrame:
     """One row a document: key, n_chars, the edited text's SHA-256, both fingerprints, and the likeness of the document's to
     the edited text's and to the next document's."""
-    band, common = lexicon(docs, text, least, share)
-    own, other = terms(F.col("text")), terms(F.col("edited"))
-    rows = edited(docs, key, text).select(
-        "id", "key", "digest", "n_chars", "next_key", "next_digest", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("edited").alias("edited_digest"), own.alias("own"), other.alias("other")
-    )
-    rows = rows.withColumns({"at": level(F.size("own")), "edited_at": level(F.size("other"))})
-    rows = saved(rows.withColumns({"own": selected(F.col("own"), F.col("at")), "other": selected(F.col("other"), F.col("edited_at"))}), "imatch-rows")
-
-    chosen = F.array_union("own", "other")
-    each = rows.select("id", F.explode(F.transform(chosen, lambda t: F.struct(t.alias("term"), F.array_contains(F.col("own"), t).alias("o"), F.array_contains(F.col("other"), t).alias("e")))).alias("x"))
-    each = each.select("id", "x.*").join(small(common), "term", "left_anti").join(band, "term")
-    kept = each.groupBy("id").agg(F.collect_list(F.when(F.col("o"), F.col("term"))).alias("own"), F.collect_list(F.when(F.col("e"), F.col("term"))).alias("other"))
-    rows = rows.drop("own", "other").join(kept, "id", "left")
-    # Classes, then signatures, then fingerprints, each in a projection of its own, so that none is computed more than once.
-    sides = {"own": "at", "other": "edited_at"}
-    rows = rows.withColumns({f"{c}{up}": classed(F.coalesce(c, F.array().cast("array<bigint>")), F.col(at) + up) for c, at in sides.items() for up in (0, 1)})
-    rows = rows.withColumns({f"{c}_sigs": F.concat(signatures(F.col(f"{c}0")), signatures(F.col(f"{c}1"))) for c in sides})
-    rows = rows.select(
-        "key", "digest", "n_chars", "next_key", "next_digest", "edited_sha256",
-        printed(F.col("at"), F.col("own_sigs"), F.col("digest")).alias("fp"), printed(F.col("edited_at"), F.col("other_sigs"), F.col("edited_digest")).alias("edited_fp"),
-    )
-    rows = saved(rows, "imatch-prints").withColumn("no_next", F.col("next_key").isNull()).withColumn("next_key", F.coalesce("next_key", F.lit(0)))
+    band = lexicon(docs, text, least, share)
+    rows = edited(docs, key, text).withColumns({"own": terms(F.col("text")), "other": terms(F.col("edited"))})
+    rows = rows.select("id", "key", "digest", "n_chars", "next_key", "next_digest", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("edited").alias("edited_digest"), "own", "other")
+    # Terms of both texts, of the own one only, of the edited one only. A document with none keeps its row.
+    mark = lambda x, o, e: F.transform(x, lambda t: F.struct(t.alias("term"), F.lit(o).alias("o"), F.lit(e).alias("e")))
+    each = F.concat(mark(F.array_intersect("own", "other"), True, True), mark(F.array_except("own", "other"), True, False), mark(F.array_except("other", "own"), False, True))
+    facts = ["key", "digest", "n_chars", "next_key", "next_digest", "edited_sha256", "edited_digest"]
+    exploded = rows.select(F.struct("id", *facts).alias("doc"), F.explode_outer(each).alias("x")).select("doc", "x.*")
+    held = exploded.join(F.broadcast(band.withColumn("in", F.lit(True))), "term", "left")
+    marked = held.select("doc", F.coalesce("term", F.lit(0)).alias("term"), F.coalesce(F.col("o") & F.col("in"), F.lit(False)).alias("o"), F.coalesce(F.col("e") & F.col("in"), F.lit(False)).alias("e"))
+    sigs = saved(signatures(marked, "doc", {"own": "o", "other": "e"}), "imatch-signatures")
+    rows = saved(sigs.select("doc.*", printed(F.col("own_n"), F.col("own_0"), F.col("own_levels"), F.col("doc.digest")).alias("fp"), printed(F.col("other_n"), F.col("other_0"), F.col("other_levels"), F.col("doc.edited_digest")).alias("edited_fp")), "imatch-prints")
+    rows = rows.withColumn("no_next", F.col("next_key").isNull()).withColumn("next_key", F.coalesce("next_key", F.lit(0)))
     following = rows.select(F.coalesce("key", F.lit(0)).alias("next_key"), F.col("key").isNull().alias("no_next"), F.col("digest").alias("next_digest"), F.col("fp").alias("next_fp")).dropDuplicates(["next_key", "no_next", "next_digest"])
     return rows.join(following, ["next_key", "no_next", "next_digest"]).select(
         F.col("key").alias(key), "n_chars", "edited_sha256", F.col("fp.print").alias("fingerprint"), F.col("edited_fp.print").alias("edited_fingerprint"),

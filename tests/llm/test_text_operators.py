@@ -261,32 +261,52 @@ def test_imatch_matches_definition(spark, part_rows, monkeypatch):
 
 
 def test_imatch_signatures_match_brute_force(spark):
-    """Terms, band, subsets and signatures computed once more from the terms' hashes."""
+    """Whole term sets, band, lexicons, signatures and likeness computed once more from the terms' hashes."""
     rng = random.Random(9)
     words = [f"t{i}" for i in range(120)]
     rows = [(i, " ".join(rng.sample(words, rng.randint(5, 90)))) for i in range(50)]
+    rows += [(50 + i, rows[7][1]) for i in range(40)]  # copies count once
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprints(docs, share=0.6).collect()}
-    df = Counter(w for _, t in rows for w in set(t.split()))
+    got = {r["doc_id"]: r for r in imatch.fingerprints(docs, share=0.6).collect()}
+    df = Counter(w for t in {t for _, t in rows} for w in set(t.split()))
     band = {w for w, c in df.items() if 2 <= c <= 30}
-    hashes = {r["w"]: (r["h"], r["g"]) for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).withColumn("g", F.shiftrightunsigned(F.xxhash64("h", F.lit(10)), 8)).collect()}
-    sets = {}
-    for i, t in rows:
-        own = set(t.split())
-        at = max(0, int(np.floor(np.log2(len(own) / 16))))
-        chosen = [w for w in own if hashes[w][1] % (16 << at) < 16 and w in band]
-        sets[i] = [(up, k, tuple(sorted(hashes[w][0] for w in chosen if hashes[w][1] % (16 << (at + up)) == k))) for up in (0, 1) for k in range(16)]
-    flat = {i: [s for _, _, s in x] for i, x in sets.items()}
-    for i in got:
-        sigs = got[i].split(".")[1:]
-        assert [bool(s) for s in sigs] == [bool(s) for s in flat[i]]
-    by_set, by_sig = {}, {}
-    for i in got:
-        for s, sig in zip(flat[i], got[i].split(".")[1:]):
-            if s:
-                assert by_set.setdefault(s, sig) == sig
-                by_sig.setdefault(sig, s)
-    assert len(by_set) == len(by_sig)
+    hashes = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h"))
+    hashes = {r["w"]: (r["h"], r["g"]) for r in hashes.select("w", "h", F.array(*[F.xxhash64("h", F.lit(100 + j)) for j in range(imatch.SUBSETS)]).alias("g")).collect()}
+
+    def brute(text):
+        own = [hashes[w] for w in set(text.split()) & band]
+        if not own:
+            return None
+        at = max(1, int(np.floor(np.log(len(own)) / np.log(4) + 1e-12)))
+        xor = lambda x: int(np.bitwise_xor.reduce(np.array([0, *x], np.int64)))
+        sigs = [xor(h for h, g in own if g[j] % 4**k == 0) for k in (at, at + 1) for j in range(imatch.SUBSETS)]
+        return at, sigs, "l%d." % at + ".".join(f"{x % (1 << 64):016x}"[-8:] if x else "" for x in [xor(h for h, _ in own), *sigs])
+
+    def like(a, b):
+        if a[2] == b[2]:
+            return 1.0
+        if abs(a[0] - b[0]) > 1:
+            return 0.0
+        n = imatch.SUBSETS
+        x, y = (a[1], b[1]) if a[0] == b[0] else (a[1][n:], b[1][:n]) if a[0] < b[0] else (a[1][:n], b[1][n:])
+        seen = [(i, j) for i, j in zip(x, y) if i or j]
+        return sum(i == j for i, j in seen) / len(seen) if seen else 0.0
+
+    for i, text in rows:
+        own, following = brute(text), rows[(i + 1) % len(rows)][1]
+        cut = len(text) // 4
+        new = text[: len(text) - cut] + following[:cut]
+        r = got[i]
+        assert r["fingerprint"] == own[2]
+        assert r["near_next"] == pytest.approx(like(own, brute(following)))
+        if set(new.split()) <= set(words):
+            assert r["edited_fingerprint"] == brute(new)[2] and r["near_edited"] == pytest.approx(like(own, brute(new)))
+    assert len({got[i]["fingerprint"] for i in range(50)}) == 50
+
+
+def test_imatch_band_is_bounded(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 50 + 1))) for i in range(50)], "doc_id long, text string")
+    assert imatch.lexicon(docs, share=1.0).count() == 49 and imatch.lexicon(docs, share=1.0, most=20).count() == 20 and imatch.lexicon(docs, share=1.0, most=0).count() == 0
 
 
 def test_imatch_edge_cases(edge, empty, spark):
