@@ -77,10 +77,10 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
 
 
-def slices(batches, text: int | str, most: int = SLICE_BYTES) -> Iterator:
-    """Arrow record batches cut so that each holds about ``most`` bytes of the column ``text``, or one row."""
+def slices(batches, text: int | str, most: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator:
+    """Arrow record batches cut so that each holds about ``most`` bytes of the column ``text``, or one row, and ``rows`` at most."""
     for batch in batches:
         sizes = batch.column(text).nbytes
-        step = max(1, int(batch.num_rows * most / max(1, sizes)))
+        step = max(1, min(rows, int(batch.num_rows * most / max(1, sizes))))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)

@@ -39,6 +39,8 @@ SLACK, ENOUGH = 0.7, 40
 #: Doublings of length that are told apart.
 LENGTHS = 32
 UNDETERMINED = "und"
+#: Texts whose vectors a task holds at once.
+ROWS = 256
 
 _LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(c if chr(c).isalpha() or c >= 128 else 32 for c in range(256))
@@ -132,7 +134,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     rows = sampled(docs, key, text, lang, learn, sample)
 
     def counted(batches):
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", rows=ROWS):
             found = counts(b.column("text").to_pylist(), buckets).astype("<f4")
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([x.tobytes() for x in found], pa.binary())], ["lang", "counts"])
 
@@ -164,7 +166,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 def _predicted(model, text: str):
     def run(batches):
-        for b in slices(batches, text):
+        for b in slices(batches, text, rows=ROWS):
             langs, score, rejected = model.value.predict(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(rejected)], [*b.schema.names, "_lang", "_score", "_rejected"])
 
