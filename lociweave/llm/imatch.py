@@ -36,9 +36,9 @@ SUBSETS, LEVELS = 8, 7
 LEAST_DOCS = 2
 MOST_SHARE = 0.05
 #: Terms that the band has at most, which bounds what is broadcast.
-LEXICON = 1 << 20
+LEXICON = 1 << 18
 #: Rows that are put in order together, and slices of the key range that are counted.
-PART_ROWS, SLICES = 2_000, 1 << 18
+PART_ROWS, SLICES = 2_000, 1 << 14
 #: Separates terms.
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
