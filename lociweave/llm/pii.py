@@ -14,7 +14,13 @@ that equal values get equal pseudonyms in every document, different values diffe
 
 A Feistel network of ``ROUNDS`` rounds over two halves is a permutation whatever its round function; that is a hash of the key, the
 format, the round and the other half. Where the format's valid values are fewer than the network's, it is applied again until
-the value is valid, which is a permutation of the valid ones.
+the value is valid, however often that is, which is a permutation of the valid ones.
+
+A number beside another one may be matched with it. Of a match for cards and IBANs, the longest part between separators that is
+valid is replaced, the first of equally long ones; the rest stays. Phones with country code 1 end after ten more digits; other
+countries' lengths aren't known, so a group of two to four digits right after such a phone counts as part of it.
+
+The key is a secret that the caller gives: whoever has it can invert the pseudonyms. It is a literal of the plan, so event logs hold it.
 
 All is SQL expressions on one row: texts are split at the matches and put together again, no row is moved.
 
@@ -29,8 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-KEY = "pseudonyms"
-#: Times that a network is applied to reach a valid value again; each time more than half of all values are.
+#: Times that a network is applied at first to reach a valid value again, which leaves fewer than one of 10^10 values to go on.
 WALKS = 24
 EPOCH = "1900-01-01"
 #: Days that dates are permuted among.
@@ -45,7 +50,7 @@ PATTERNS = {
     "date": r"\d{1,2}([./])\d{1,2}\1\d{4}",
     "ipv4": r"\d{1,3}(?:\.\d{1,3}){3}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}",
+    "phone": r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}",
     "card": r"\d(?:[ -]?\d){12,18}",
 }
 PATTERN = r"(?<![A-Za-z0-9@.+%_-])(?:" + "|".join(PATTERNS.values()) + ")" + _EDGE
@@ -64,7 +69,7 @@ def let(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def permuted(s: Column, alphabet: str, kind: str, key: str = KEY) -> Column:
+def permuted(s: Column, alphabet: str, kind: str, key: str) -> Column:
     """A string over ``alphabet`` (at most 64 of its characters) under the keyed permutation of its kind and length."""
     radix, half = len(alphabet), F.floor(F.length(s) / 2).cast("int")
 
@@ -85,8 +90,26 @@ def permuted(s: Column, alphabet: str, kind: str, key: str = KEY) -> Column:
 
 
 def walked(s: Column, step, valid) -> Column:
-    """``step`` applied until the value is valid (once at least)."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), s, lambda x, i: F.when((i > 1) & valid(x), x).otherwise(step(x)))
+    """``step`` applied until the value is valid (once at least).
+
+    The way back to a valid value is no longer than the network has values: 10^10 for ten digits. Two nested loops, which run only
+    for values that aren't valid after ``WALKS`` steps, reach as far.
+    """
+    on = lambda x: F.when(valid(x), x).otherwise(step(x))
+    far = F.sequence(F.lit(1), F.length(s.cast("string")) * 10_000)
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), s, lambda x, i: F.when((i > 1) & valid(x), x).otherwise(step(x)))
+    rest = lambda x: F.aggregate(far, x, lambda x, _: F.when(valid(x), x).otherwise(F.aggregate(far, x, lambda x, _: on(x))))
+    return let(first, lambda x: F.when(x.isNull() | valid(x), x).otherwise(rest(x)))
+
+
+def longest_valid(m: Column, separators: str, valid, new) -> Column:
+    """``m`` with its longest part between separators that is valid, the first of equally long ones, replaced by ``new`` of it; null if none is."""
+    cuts = F.filter(F.sequence(F.lit(0), F.length(m) + 1), lambda i: (i == 0) | (i == F.length(m) + 1) | F.substring(m, i, F.lit(1)).rlike(f"^[{separators}]$"))
+    part = lambda at, n: F.substring(m, at + 1, n)
+    spans = F.flatten(F.transform(cuts, lambda a: F.transform(F.filter(cuts, lambda b: b > a), lambda b: F.struct((b - a - 1).alias("n"), (-a).alias("back")))))
+    best = F.array_max(F.filter(spans, lambda x: valid(part(-x["back"], x["n"]))))
+    placed = lambda x: F.concat(F.substring(m, F.lit(1), -x["back"]), new(part(-x["back"], x["n"])), F.substring(m, -x["back"] + x["n"] + 1, F.length(m)))
+    return let(best, lambda x: F.when(x.isNotNull(), placed(x)))
 
 
 def digits(m: Column) -> Column:
@@ -115,9 +138,14 @@ def _most(d: Column, drop: int = 1) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    d = digits(m)
-    body = F.concat(F.left(d, F.lit(1)), permuted(F.substring(d, F.lit(2), F.length(d) - 2), "0123456789", "card", key))
-    return F.when(F.right(d, F.lit(1)) == check_digit(_most(d)), let(body, lambda b: refilled(m, F.concat(b, check_digit(b)))))
+    def valid(x: Column) -> Column:
+        return let(digits(x), lambda d: F.length(d).between(13, 19) & (F.right(d, F.lit(1)) == check_digit(_most(d))))
+
+    def new(x: Column) -> Column:
+        body = let(digits(x), lambda d: F.concat(F.left(d, F.lit(1)), permuted(F.substring(d, F.lit(2), F.length(d) - 2), "0123456789", "card", key)))
+        return let(body, lambda b: refilled(x, F.concat(b, check_digit(b))))
+
+    return longest_valid(m, " -", valid, new)
 
 
 def iban_check(country: Column, body: Column) -> Column:
@@ -129,16 +157,26 @@ def iban_check(country: Column, body: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
-    plain = F.replace(m, F.lit(" "), F.lit(""))
-    country, body = F.left(plain, F.lit(2)), F.substring(plain, F.lit(5), F.length(plain) - 4)
-    new = refilled(body, permuted(digits(body), "0123456789", "iban", key))
-    return F.when(F.substring(plain, 3, 2) == iban_check(country, body), let(new, lambda new: refilled(m, F.concat(country, iban_check(country, new), new), "A-Z0-9")))
+    plain = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+    body = lambda p: F.substring(p, F.lit(5), F.length(p) - 4)
+
+    def valid(x: Column) -> Column:
+        return _is(x, "iban") & let(plain(x), lambda p: F.substring(p, 3, 2) == iban_check(F.left(p, F.lit(2)), body(p)))
+
+    def new(x: Column) -> Column:
+        def filled(p: Column) -> Column:
+            fresh = refilled(body(p), permuted(digits(body(p)), "0123456789", "iban", key))
+            return let(fresh, lambda f: refilled(x, F.concat(F.left(p, F.lit(2)), iban_check(F.left(p, F.lit(2)), f), f), "A-Z0-9"))
+
+        return let(plain(x), filled)
+
+    return longest_valid(m, " ", valid, new)
 
 
 def _phone(m: Column, key: str) -> Column:
     d, plus = digits(m), m.startswith("+")
     first = F.length(F.regexp_extract(m, r"^\+(\d{1,3})[ .(-]", 1))
-    code = F.when(~plus, 0).when(first > 0, first).otherwise(2)
+    code = F.when(~plus, 0).when(m.startswith("+1"), 1).when(first > 0, first).otherwise(2)
     abroad = F.concat(F.substring(d, F.lit(1), code), permuted(F.substring(d, code + 1, F.length(d) - code), "0123456789", "phone", key))
     american = lambda x: x.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
     home = walked(d, lambda x: permuted(x, "0123456789", "phone", key), american)
@@ -188,7 +226,7 @@ def _date(m: Column, key: str) -> Column:
     )
 
 
-def pseudonym(m: Column, key: str = KEY) -> Column:
+def pseudonym(m: Column, key: str) -> Column:
     """What a match becomes; null if it doesn't validate."""
     of = {"email": _email, "iban": _iban, "iso_date": _date, "date": _date, "ipv4": _ipv4, "ssn": _ssn, "phone": _phone, "card": _card}
     kinds = list(of.items())
@@ -198,7 +236,7 @@ def pseudonym(m: Column, key: str = KEY) -> Column:
     return out
 
 
-def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY, found: str = "n_values") -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", found: str = "n_values") -> DataFrame:
     """``docs`` with the values in ``text`` replaced, and the number of values that were."""
     rows = docs.withColumn("_matches", F.regexp_extract_all(F.col(text), F.lit(PATTERN), 0))
     rows = rows.withColumn("_new", F.transform("_matches", lambda m: pseudonym(m, key)))

@@ -43,8 +43,12 @@ def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: The setting that holds the secret key of pseudonyms, and the key of the registered query where it is unset.
+KEY_SETTING, DEMONSTRATION_KEY = "spark.lociweave.pseudonyms.key", "pseudonyms"
+
+
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), spark.conf.get(KEY_SETTING, DEMONSTRATION_KEY))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,7 +178,7 @@ VALUES = {
 
 def test_values_are_replaced_in_their_format(spark):
     docs = spark.createDataFrame(list(enumerate(VALUES)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pii.pseudonymised(docs).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymised(docs, "k").collect()}
     for i, (text, value) in enumerate(VALUES.items()):
         new = got[i]["text"]
         before, after = text.split(value)
@@ -204,7 +204,7 @@ def test_values_are_replaced_in_their_format(spark):
 def test_equal_values_stay_linked_and_invalid_ones_stay(spark):
     card = "4111 1111 1111 1111"
     docs = spark.createDataFrame([(1, f"{card} and {card}"), (2, f"x {card}"), (3, "1234567890123456 999.1.1.1 2021-02-30 000-12-3456 v1.2.3.4.5"), (4, None), (5, "")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in pii.pseudonymised(docs).collect()}
+    got = {r["doc_id"]: r for r in pii.pseudonymised(docs, "k").collect()}
     a, b = got[1]["text"].split(" and ")
     assert a == b == got[2]["text"][2:] and got[1]["n_values"] == 2
     assert got[3]["text"] == "1234567890123456 999.1.1.1 2021-02-30 000-12-3456 v1.2.3.4.5" and got[3]["n_values"] == 0
@@ -215,7 +215,7 @@ def test_equal_values_stay_linked_and_invalid_ones_stay(spark):
 
 def test_networks_are_permutations(spark):
     rows = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("s"))
-    assert rows.select(pii.permuted(F.col("s"), "0123456789", "x").alias("p")).distinct().count() == 1000
+    assert rows.select(pii.permuted(F.col("s"), "0123456789", "x", "k").alias("p")).distinct().count() == 1000
     days = spark.range(0, 60_000, 7).select(F.date_add(F.lit("1905-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
     assert days.select(pii._moved_day(F.col("d"), "k").alias("m")).distinct().count() == days.count()
     valid = spark.range(3000).select(F.format_string("%03d-%02d-%04d", F.col("id") % 600 + 1, F.col("id") % 90 + 1, F.col("id") + 1).alias("s")).where("s not like '666%'")
@@ -223,12 +223,32 @@ def test_networks_are_permutations(spark):
     assert new.where("p is null").count() == 0 and new.distinct().count() == valid.distinct().count()
 
 
+def test_numbers_beside_others(spark):
+    card, iban, phone = "4111111111111111", "DE89370400440532013000", "+1 (017) 555-7713"
+    spaced = "4111 1111 1111 1111"
+    texts = [card, f"{card} 25 items", f"order 12 {card} paid", f"{spaced} 25", f"{spaced} 5500 0000 0000 0004", iban, f"{iban} 2024", phone, f"{phone} 22"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymised(docs, "k").collect()}
+    assert got[0] != card and luhn(got[0])
+    assert got[1] == f"{got[0]} 25 items" and got[2] == f"order 12 {got[0]} paid"
+    assert got[3][-3:] == " 25" and got[3][:-3].replace(" ", "") == got[0] and got[4].startswith(got[3][:-3] + " ") and "5500 0000" not in got[4]
+    assert got[5] != iban and got[6] == f"{got[5]} 2024"
+    assert got[7] != phone and got[8] == f"{got[7]} 22"
+
+
+def test_walks_go_on_until_valid(spark, monkeypatch):
+    monkeypatch.setattr(pii, "WALKS", 1)
+    rows = spark.range(200).select(F.lpad((F.col("id") * 5).cast("string"), 3, "0").alias("s"))
+    new = rows.select(pii.walked(F.col("s"), lambda x: pii.permuted(x, "0123456789", "x", "k"), lambda x: x.rlike("[05]$")).alias("p"))
+    assert {r["p"] for r in new.collect()} == {r["s"] for r in rows.collect()}
+
+
 def test_pii_edge_cases(edge, empty):
-    got = pii.pseudonymised(edge)
+    got = pii.pseudonymised(edge, "k")
     assert got.columns == [*edge.columns, "n_values"] and got.count() == edge.count()
     same = {(r["doc_id"], r["text"]) for r in edge.collect()}
     assert all((r["doc_id"], r["text"]) in same for r in got.collect() if r["n_values"] == 0)
-    assert pii.pseudonymised(empty).count() == 0
+    assert pii.pseudonymised(empty, "k").count() == 0
 
 
 # I-Match
