@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lociweave.llm import decontam, imatch, langid, linededup, mixing, pii, sharding, simhash, sql, tokens, toxicity
+from lociweave.llm import decontam, hardneg, htmltext, imatch, langid, linededup, mixing, phrases, pii, sharding, simhash, sql, tokens, toxicity
 from lociweave.llm.common import table
 
 
@@ -59,6 +60,20 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_simhash_dedup, op4_rendezvous_shards, op5_language, op6_line_dedup, op7_benchmark_leaks, op8_pseudonyms, op9_toxicity, op10_imatch)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.mined(rows, F.col("key") % 100 == 0)
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": sql.OP1, "op4_rendezvous_shards": sql.OP4, "op7_benchmark_leaks": sql.OP7}
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extracted(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_token_files, op3_simhash_dedup, op4_rendezvous_shards, op5_language, op6_line_dedup, op7_benchmark_leaks, op8_pseudonyms, op9_toxicity, op10_imatch, op11_hard_negatives, op12_main_text, op13_phrases)}
+
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": sql.OP1, "op4_rendezvous_shards": sql.OP4, "op7_benchmark_leaks": sql.OP7, "op11_hard_negatives": sql.OP11, "op13_phrases": sql.OP13}

@@ -71,3 +71,50 @@ shared AS (
 SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment
 FROM shared JOIN sizes USING (item_id) WHERE n_shared >= n_shingles * 0.8::DOUBLE
 """
+
+OP11 = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 256) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS (
+  SELECT vec_id, label, unnest(q) AS x, unnest(range(len(q))) AS i FROM usable),
+scores AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id AS vec_id, b.label AS label, CAST(sum(a.x * b.x) AS BIGINT) AS score
+  FROM cells a JOIN cells b USING (i) WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id GROUP BY ALL),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE label <> anchor_label AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, w[i : i + k - 1] AS g FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words), range(1, 4) r(k) WHERE i + k - 1 <= len(w)),
+counts AS (
+  SELECT lang, k, array_to_string(g, ' ') AS phrase, any_value(g) AS g, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (
+  SELECT lang, k, phrase, g, f AS a FROM counts WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, t AS cut, x.f AS l, y.f AS r, CAST(1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM candidates c JOIN range(1, 3) s(t) ON t < c.k
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.g[1 : t], ' ') JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.g[t + 1 : c.k], ' ')),
+lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, phrase, max(a) AS most
+  FROM (SELECT lang, array_to_string(g[1 : 2], ' ') AS phrase, a FROM candidates WHERE k = 3 UNION ALL SELECT lang, array_to_string(g[2 : 3], ' '), a FROM candidates WHERE k = 3) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest JOIN totals USING (lang) LEFT JOIN longer USING (lang, phrase)
+WHERE 100 * coalesce(most, 0) < 50 * a
+QUALIFY rank <= 2000
+"""
