@@ -98,16 +98,17 @@ words AS (
   SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
 grams AS (
   SELECT lang, k, w[i : i + k - 1] AS g FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words), range(1, 4) r(k) WHERE i + k - 1 <= len(w)),
-counts AS (
+counts AS MATERIALIZED (
   SELECT lang, k, array_to_string(g, ' ') AS phrase, any_value(g) AS g, count(*) AS f FROM grams GROUP BY ALL),
 totals AS (
   SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
 candidates AS (
   SELECT lang, k, phrase, g, f AS a FROM counts WHERE k > 1 AND f >= 10),
+parted AS (
+  SELECT lang, phrase, a, t AS cut, array_to_string(g[1 : t], ' ') AS head, array_to_string(g[t + 1 : k], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS t FROM candidates)),
 cuts AS (
-  SELECT c.lang, c.k, c.phrase, c.a, t AS cut, x.f AS l, y.f AS r, CAST(1000000::HUGEINT * c.a * c.a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
-  FROM candidates c JOIN range(1, 3) s(t) ON t < c.k
-  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.g[1 : t], ' ') JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.g[t + 1 : c.k], ' ')),
+  SELECT p.lang, p.phrase, p.a, p.cut, x.f AS l, y.f AS r, CAST(1000000::HUGEINT * p.a * p.a // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM parted p JOIN counts x ON x.lang = p.lang AND x.phrase = p.head JOIN counts y ON y.lang = p.lang AND y.phrase = p.tail),
 lowest AS (
   SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
 longer AS (
