@@ -1,8 +1,9 @@
 """Phrase collocations from count streams in prefix and in suffix order.
 
-Counts. Tasks count the windows of three words that begin at each word of a piece, and send a row for each distinct pair of words of
-a slice, with the words that follow it and their counts. Rows are dealt by the pair and added up, so that single words, pairs and
-triples have exact counts in one shuffle. Of these, the phrases with at least ``least`` occurrences go on: the parts of such a phrase
+Counts. Tasks count the windows of three words that begin at each word of a piece, and send rows for each distinct word of a slice, with
+the words that follow it, those that follow these, and their counts. What follows a word is cut into ``BUCKETS`` by the next word,
+so that a frequent word's rows are spread; rows are dealt by word and bucket and added up, so that single words, pairs and triples
+have exact counts in one shuffle. Of these, the phrases with at least ``least`` occurrences go on: the parts of such a phrase
 have at least as many.
 
 Streams. In prefix order (by first, second, third word) a word stands before the pairs that it begins, and a pair before its
@@ -20,6 +21,7 @@ table gives no rows; other columns are not read. A slice is at least one whole t
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,64 +38,83 @@ from lociweave.llm.common import forget, saved, small, small_batches
 PIECES, BLANKS = r"[.,;:!?\n\v\f\r]", "[ \t]+"
 #: Least occurrences, words of a phrase, phrases of a language, and the per cent of a phrase's occurrences in a longer one that drop it.
 LEAST, TOP, COVERED = 10, 2000, 50
-#: Bytes of text that are counted together, rows of a batch, rows of a span of a stream, and parts of a language that are ranked first.
-COUNTED_BYTES, BATCH_ROWS, SPAN_ROWS, PARTS = 32 << 20, 1 << 16, 200_000, 64
+#: Bytes of text that are counted together, rows of a batch, buckets of a word's pairs, rows of a span of a stream, and parts of a
+#: language that are ranked first.
+COUNTED_BYTES, BATCH_ROWS, BUCKETS, SPAN_ROWS, PARTS = 16 << 20, 1 << 14, 64, 200_000, 64
 
-COUNTS = "lang string, a string, b string, tails string"
+COUNTS = "lang string, a string, bucket int, follow string"
 
 
 def windows(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The distinct words of texts, and for each word occurrence its number, those of the two that follow it in its piece (0 for none;
     words count from 1) and the row it stands in."""
     pieces = pc.split_pattern_regex(pc.ascii_lower(texts), PIECES)
-    row = pc.list_parent_indices(pieces).to_numpy()
+    row = pc.list_parent_indices(pieces).to_numpy().astype(np.int32)
     words = pc.split_pattern_regex(pc.list_flatten(pieces), BLANKS)
-    piece = pc.list_parent_indices(words).to_numpy()
+    piece = pc.list_parent_indices(words).to_numpy().astype(np.int32)
     flat = pc.list_flatten(words)
     held = pc.greater(pc.binary_length(flat), 0)
     piece, coded = piece[held.to_numpy(zero_copy_only=False)], flat.filter(held).dictionary_encode()
-    first = coded.indices.to_numpy().astype(np.int64) + 1
+    first = coded.indices.to_numpy().astype(np.int32) + 1
     second, third = np.zeros_like(first), np.zeros_like(first)
     second[:-1] = np.where(piece[:-1] == piece[1:], first[1:], 0)
     third[:-2] = np.where(piece[:-2] == piece[2:], first[2:], 0)
-    return coded.dictionary, first, second, third, row[piece] if len(piece) else piece
+    return coded.dictionary, first, second, third, row[piece]
 
 
 def _lines(words: pa.Array, counts: np.ndarray) -> pa.Array:
-    return pc.binary_join_element_wise(words, pa.array(counts).cast(pa.string()), " ")
+    """A word and its count each; a count of 1 is left out."""
+    counts = pa.array(counts)
+    return pc.if_else(pc.equal(counts, 1), words, pc.binary_join_element_wise(words, counts.cast(pa.string()), " "))
+
+
+def _joined(lines: pa.Array, owner: np.ndarray, between: str) -> pa.Array:
+    """Lines joined by their owners, which ascend and are all numbers from 0."""
+    starts = np.concatenate([[0], np.cumsum(np.bincount(owner))]).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), lines), between)
 
 
 def counted(langs: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Rows (language, word, next word, entries): an entry is a third word and how often it follows, the first of them an empty word and
-    how often the pair occurs. The pair of a word and an empty one stands for the word, that of two empty ones for all words."""
+    """Rows (language, word, bucket, what follows the word): a line a next word of that bucket, which has the next word with how often the
+    pair occurs, and after tabs each third word with how often the triple does. Bucket -1 has how often the word itself occurs, and
+    that of the empty word all words."""
     vocabulary, first, second, third, row = windows(texts)
     if not len(first):
         return
     names = langs.dictionary_encode()
     n = len(vocabulary) + 1
     words = pa.concat_arrays([pa.array([""], pa.string()), vocabulary])
+    bucket = np.array([0, *(zlib.crc32(w.encode()) % BUCKETS for w in vocabulary.to_pylist())])
     lang = names.indices.to_numpy().astype(np.int64)[row]
     totals = np.bincount(lang, minlength=len(names.dictionary))
     single, of_single, n_single = np.unique(lang * n + first, return_inverse=True, return_counts=True)
+    del lang, row, first
     paired = second > 0
     pair, of_pair, n_pair = np.unique(of_single[paired] * n + second[paired], return_inverse=True, return_counts=True)
-    more = third[paired] > 0
-    triple, n_triple = np.unique(of_pair[more] * n + third[paired][more], return_counts=True)
-    langs_, singles, heads = np.flatnonzero(totals), single, single[pair // n]
-    alone = pa.concat_arrays([_lines(pa.array([""] * len(langs_), pa.string()), totals[langs_]), _lines(words.take(pa.array(np.zeros(len(singles), np.int64))), n_single)])
-    owner = np.concatenate([np.arange(len(pair)), triple // n])
+    third = third[paired]
+    del of_single, second, paired
+    triple, n_triple = np.unique((of_pair * n + third)[third > 0], return_counts=True)
+    del of_pair, third
+    # Pairs by word and bucket, each with its triples after it.
+    place = np.empty(len(pair), np.int64)
+    order = np.argsort(pair // n * BUCKETS + bucket[pair % n], kind="stable")
+    place[order] = np.arange(len(pair))
+    pair, n_pair = pair[order], n_pair[order]
+    owner = np.concatenate([np.arange(len(pair)), place[triple // n]])
     order = np.argsort(owner, kind="stable")
-    entries = _lines(words.take(pa.array(np.concatenate([np.zeros(len(pair), np.int64), triple % n]))), np.concatenate([n_pair, n_triple])).take(pa.array(order))
-    starts = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(pair)))]).astype(np.int32)
-    tails = pa.concat_arrays([alone, pc.binary_join(pa.ListArray.from_arrays(pa.array(starts), entries), "\t")])
-    zeros = np.zeros(len(langs_), np.int64)
+    lines = _lines(words.take(pa.array(np.concatenate([pair % n, triple % n])[order])), np.concatenate([n_pair, n_triple])[order])
+    lines = _joined(lines, owner[order], "\t") if len(pair) else pa.array([], pa.string())
+    group, of_group = np.unique(pair // n * BUCKETS + bucket[pair % n], return_inverse=True)
+    follow = _joined(lines, of_group, "\n") if len(pair) else lines
+    langs_, heads = np.flatnonzero(totals), single[group // BUCKETS]
+    alone = _lines(words.take(pa.array(np.zeros(len(langs_) + len(single), np.int64))), np.concatenate([totals[langs_], n_single]))
     columns = [
-        names.dictionary.take(pa.array(np.concatenate([langs_, singles // n, heads // n]))),
-        words.take(pa.array(np.concatenate([zeros, singles % n, heads % n]))),
-        words.take(pa.array(np.concatenate([zeros, np.zeros(len(singles), np.int64), pair % n]))),
-        tails,
+        names.dictionary.take(pa.array(np.concatenate([langs_, single // n, heads // n]))),
+        words.take(pa.array(np.concatenate([np.zeros(len(langs_), np.int64), single % n, heads % n]))),
+        pa.array(np.concatenate([np.full(len(alone), -1), group % BUCKETS]).astype(np.int32)),
+        pa.concat_arrays([alone, follow]),
     ]
-    batch = pa.RecordBatch.from_arrays(columns, ["lang", "a", "b", "tails"])
+    batch = pa.RecordBatch.from_arrays(columns, ["lang", "a", "bucket", "follow"])
     for at in range(0, batch.num_rows, BATCH_ROWS):
         yield batch.slice(at, BATCH_ROWS)
 
@@ -102,7 +123,8 @@ def _counting(batches):
     held, size = [], 0
 
     def flushed():
-        rows = pa.Table.from_batches(held).combine_chunks()
+        rows = pa.Table.from_batches(held)
+        held.clear()
         return counted(*(pa.concat_arrays(rows.column(c).chunks) for c in ("lang", "text")))
 
     for batch in batches:
@@ -110,7 +132,7 @@ def _counting(batches):
         size += batch.column("text").nbytes
         if size >= COUNTED_BYTES:
             yield from flushed()
-            held, size = [], 0
+            size = 0
     if held:
         yield from flushed()
 
@@ -120,10 +142,13 @@ def counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int =
     for all words of a language (a empty too): lang, a, b, c, n."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.col("text") != ""))
-    dealt = rows.mapInArrow(_counting, COUNTS).repartition("lang", "a", "b")
-    each = dealt.select("lang", "a", "b", F.explode(F.split("tails", "\t")).alias("entry"))
-    each = each.select("lang", "a", "b", F.substring_index("entry", " ", 1).alias("c"), F.substring_index("entry", " ", -1).cast("long").alias("n"))
-    return each.groupBy("lang", "a", "b", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    dealt = rows.mapInArrow(_counting, COUNTS).repartition("lang", "a", "bucket")
+    keys = ["lang", "a", "bucket"]
+    pairs = dealt.select(*keys, F.explode(F.split("follow", "\n")).alias("line")).select(*keys, F.split("line", "\t").alias("entries"))
+    each = pairs.select(*keys, F.substring_index(F.element_at("entries", 1), " ", 1).alias("b"), F.posexplode("entries").alias("place", "entry"))
+    n = F.when(F.contains("entry", F.lit(" ")), F.substring_index("entry", " ", -1).cast("long")).otherwise(1)
+    each = each.select(*keys, "b", F.when(F.col("place") == 0, "").otherwise(F.substring_index("entry", " ", 1)).alias("c"), n.alias("n"))
+    return each.groupBy(*keys, "b", "c").agg(F.sum("n").alias("n")).where(F.col("n") >= least).drop("bucket")
 
 
 PASSED = "lang string, a string, b string, c string, one long, two long, extended long"
