@@ -40,7 +40,7 @@ PIECES, BLANKS = r"[.,;:!?\n\v\f\r]", "[ \t]+"
 LEAST, TOP, COVERED = 10, 2000, 50
 #: Bytes of text that are counted together, rows of a batch, buckets of a word's pairs, rows of a span of a stream, and parts of a
 #: language that are ranked first.
-COUNTED_BYTES, BATCH_ROWS, BUCKETS, SPAN_ROWS, PARTS = 16 << 20, 1 << 14, 64, 200_000, 64
+COUNTED_BYTES, BATCH_ROWS, BUCKETS, SPAN_ROWS, PARTS = 4 << 20, 1 << 14, 64, 200_000, 64
 
 COUNTS = "lang string, a string, bucket int, follow string"
 
