@@ -58,6 +58,7 @@ STOP_WORDS = frozenset(
 LINKED, LONG, PROSE = 0.5, 120, 0.15
 
 _PARTS, _WORDS = re.compile(r"[^a-z]+"), re.compile(r"\w+")
+_CUT = re.compile(r"<[A-Za-z/!][^>]*\Z")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
@@ -154,8 +155,10 @@ class Blocks(HTMLParser):
 
 
 def blocks(html: str | None) -> list[Text]:
-    page = Blocks()
-    page.feed(html or "")
+    page, html = Blocks(), html or ""
+    if _CUT.match(html, at := max(0, html.rfind("<"))):  # a tag that the page's end cuts off
+        html = html[:at]
+    page.feed(html)
     page.close()
     page.flush()
     return page.blocks

@@ -38,7 +38,7 @@ def test_undecided_blocks_go_by_their_neighbours():
     [
         (None, ""), ("", ""), ("plain", ""), ("<article>a &lt;b&gt; &amp;amp; &#65;&#x42;&nbsp;c &copy &euro</article>", "a <b> &amp; AB c © &euro"), ("<article><p>a<p>b<br>c <i>d</i>e</article>", "a\nb c de"), ("<article><p>cut &am", "cut &am"), ("<article><p>cut <im", "cut"),
         ("<article><p><b>one<br><p>two</article>", "one\ntwo"), ("<article><h1>H</h1><ul><li>x<li>y</ul><table><tr><td>1<td>2</table></article>", "H\nx\ny\n1\n2"), ("<article></p></div>x</article></article>", "x"), ("<head><title>t</title><article>no end of head</article>", "no end of head"),
-        ("<article>a<!-- x -->b<!-- open", "ab"), ("<div class='has-sidebar'><main>m</main></div>", "m"), ("<ARTICLE><P>Up", "Up"), ("<article>😀 \U0001f600</article>".encode("utf-8", "replace").decode(), "?? \U0001f600"),
+        ("<article>a<!-- x -->b<!-- open", "ab"), ("<div class='has-sidebar'><main>m</main></div>", "m"), ("<ARTICLE><P>Up", "Up"),
     ],
 )
 def test_markup(html, want):
