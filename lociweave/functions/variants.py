@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,15 +10,18 @@ BASES = ["A", "C", "G", "T"]
 
 
 def tags(info: Column) -> Column:
-    """INFO as a map; flags have a null value."""
-    return F.str_to_map(info, F.lit(";"), F.lit("="))
+    """INFO as a map; flags have a null value. Of a name that occurs more than once, the first counts."""
+    parts = F.filter(F.split(info, ";"), lambda x: x != "")
+    names = F.transform(parts, lambda x: F.substring_index(x, "=", 1))
+    first = F.filter(F.arrays_zip(names.alias("name"), parts.alias("part")), lambda x, i: F.array_position(names, x["name"]) == i + 1)
+    return F.map_from_entries(F.transform(first, lambda x: F.struct(x["name"].alias("key"), F.when(F.contains(x["part"], F.lit("=")), F.substring(x["part"], F.length(x["name"]) + 2, F.length(x["part"]))).alias("value"))))
 
 
 def tag(info: Column, name: str) -> Column:
     return F.try_element_at(tags(info), F.lit(name))
 
 
-def _info(pairs: Column) -> Column:
+def joined(pairs: Column) -> Column:
     """A map of tags as INFO, in order of name; a flag is its name alone."""
     text = F.array_join(F.transform(F.array_sort(F.map_entries(pairs)), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return F.when(text == "", ".").otherwise(text)
@@ -30,11 +29,11 @@ def _info(pairs: Column) -> Column:
 
 def with_tag(info: Column, name: str, value: Column) -> Column:
     """INFO with one tag set; a null value sets a flag."""
-    return _info(F.map_concat(F.map_filter(tags(info), lambda k, _: ~k.isin(name, ".")), F.create_map(F.lit(name), value)))
+    return joined(F.map_concat(F.map_filter(tags(info), lambda k, _: ~k.isin(name, ".")), F.create_map(F.lit(name), value)))
 
 
 def without_tag(info: Column, name: str) -> Column:
-    return _info(F.map_filter(tags(info), lambda k, _: ~k.isin(name, ".")))
+    return joined(F.map_filter(tags(info), lambda k, _: ~k.isin(name, ".")))
 
 
 def numbers(value: Column) -> Column:
@@ -62,11 +61,30 @@ def is_snp(ref: Column, alts: Column) -> Column:
     return (F.size(alts) == 1) & (F.length(ref) == 1) & F.element_at(alts, 1).isin(*BASES)
 
 
+def _shared(a: Column, b: Column, end: str, most: Column) -> Column:
+    """How many characters, at most so many, two strings share at their start (``left``) or end (``right``)."""
+    cut = getattr(F, end)
+    return F.array_max(F.filter(F.sequence(F.lit(0), most), lambda k: cut(a, k) == cut(b, k)))
+
+
 def allele_kind(ref: Column, alt: Column) -> Column:
-    """What one alternate allele is: REF, SNP, MNP, INS, DEL, OVERLAP, SYMBOLIC or BND."""
+    """What one alternate allele is: REF, SNP, MNP, INS, DEL, OVERLAP, BND or OTHER.
+
+    Bases that both alleles begin with don't count, nor those that both end with, of which one stays; case doesn't matter. What is left is
+    an insertion or a deletion only if one of them is then empty, or ends alike; other changes of unlike length are OTHER, as are symbolic
+    alleles but those that stand for any other allele.
+    """
+    r, a = F.upper(ref), F.upper(alt)
+    begun = _shared(r, a, "left", F.least(F.length(r), F.length(a)))
+    r, a = F.substring(r, begun + 1, F.length(r)), F.substring(a, begun + 1, F.length(a))
+    ended = _shared(r, a, "right", F.least(F.length(r), F.length(a)) - 1)
+    old, new, alike = F.length(r) - ended, F.length(a) - ended, F.right(r, ended + 1) == F.right(a, ended + 1)
+    changed = (
+        F.when((old == 1) & (new == 1), "SNP").when(new == 1, F.when(alike, "DEL").otherwise("OTHER")).when(old == 1, F.when(alike, "INS").otherwise("OTHER")).when(old == new, "MNP").otherwise("OTHER")
+    )
     return (
-        F.when(alt.isin(".", "<*>"), "REF").when(alt == "*", "OVERLAP").when(alt.startswith("<"), "SYMBOLIC").when(alt.rlike(r"[\[\]]"), "BND")
-        .when(F.length(alt) > F.length(ref), "INS").when(F.length(alt) < F.length(ref), "DEL").when(F.length(alt) == 1, F.when(alt == ref, "REF").otherwise("SNP")).otherwise("MNP")
+        F.when(alt == "*", "OVERLAP").when(alt.isin(".", "<*>", "<X>", "<NON_REF>") | (alt == "X") & (F.length(ref) == 1), "REF").when(alt.startswith("<"), "OTHER").when(alt.rlike(r"^[\[\]]"), "BND")
+        .when((r == "") & (a == ""), "REF").when(r == "", F.when(a.rlike(r"^[\[\]]"), "BND").otherwise("INS")).when(a == "", "DEL").otherwise(changed)
     )
 
 
@@ -147,36 +165,3 @@ def swapped(ref: Column, alts: Column) -> tuple[Column, Column]:
     """(ref, alts) of a record of two alleles the other way round; others stay."""
     two = F.size(alts) == 1
     return F.when(two, F.element_at(alts, 1)).otherwise(ref), F.when(two, F.array(ref)).otherwise(alts)
-
-
-#: Operators of filter expressions and what SQL calls them, longest first.
-_WORDS = {"&&": " AND ", "||": " OR ", "==": " = ", "!=": " <> ", "=~": " RLIKE ", "!~": " NOT RLIKE "}
-_OPERATOR = re.compile(r"""("[^"]*"|'[^']*')|(&&|\|\||==|!=|=~|!~|!)""")
-
-
-def condition(text: str) -> Column:
-    """A filter expression such as ``DP >= 20 && (FILTER == "PASS" || !DB)`` over columns named after tags, as a predicate.
-
-    Operators become SQL's; names, numbers, quoted strings and functions (exp, log, sqrt, pow, min, max, length, ...) stay. As in
-    SQL, what is computed from a missing tag is null, and a null doesn't pass.
-    """
-    return F.expr(_OPERATOR.sub(lambda m: "'" + m[1][1:-1].replace("'", "\\'") + "'" if m[1] else _WORDS.get(m[2], " NOT "), text))
-
-
-def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Two-sided p of Fisher's exact test of counts a, b over c, d: tables with the same margins that are no likelier."""
-
-    @F.pandas_udf("double")
-    def p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        def one(a: int, b: int, c: int, d: int) -> float:
-            low, high = max(0, a - d), min(a + b, a + c)
-            x = np.arange(low, high + 1)
-            most = a + b + c + d + 1
-            log = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, most)))])  # of factorials
-            weights = -(log[x] + log[a + b - x] + log[a + c - x] + log[d - a + x])
-            weights = np.exp(weights - weights.max())
-            return float(min(1.0, weights[weights <= weights[a - low] * (1 + 1e-9)].sum() / weights.sum()))
-
-        return pd.Series([one(*map(int, row)) for row in zip(a, b, c, d)], dtype="float64")
-
-    return p(a, b, c, d)

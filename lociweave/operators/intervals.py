@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,6 +21,55 @@ def overlaps(points: DataFrame, regions: DataFrame, width: int = BIN) -> DataFra
     return points.withColumn("_bin", F.floor(F.col("pos") / width)).join(binned, ["contig", "_bin"]).where(F.col("pos").between(F.col("beg"), F.col("end"))).drop("_bin")
 
 
+#: Times that the bins of a level are as wide as those of the level below, and levels.
+STEP, LEVELS = 8, 12
+
+
+def _level(width: int) -> Column:
+    """The lowest level whose bins are as long as an interval, which then touches two of them at most."""
+    length = F.col("end") - F.col("beg") + 1
+    out = F.lit(LEVELS)
+    for level in range(LEVELS - 1, -1, -1):
+        out = F.when(length <= width * STEP**level, level).otherwise(out)
+    return out
+
+
+def _binned(rows: DataFrame, levels: list[int], width: int, above: bool) -> DataFrame:
+    """Intervals in the bins that they touch, of their own level or of each level above it among ``levels``."""
+    if above:
+        rows = rows.withColumn("_at", F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda x: x > F.col("_level"))))
+    else:
+        rows = rows.withColumn("_at", F.col("_level"))
+    wide = F.pow(F.lit(float(STEP)), F.col("_at")).cast("long") * width
+    first, last = F.floor(F.col("beg") / wide), F.floor(F.col("end") / wide)
+    return rows.withColumns({"_first": first, "_bin": F.explode(F.sequence(first, last))})
+
+
+def overlapping(a: DataFrame, b: DataFrame, width: int = BIN) -> DataFrame:
+    """Every pair of an interval of ``a`` and one of ``b`` (contig, beg, end, ...) that overlap, ends included, once; columns of ``b`` but
+    contig end in _b. Intervals whose end lies before their beginning overlap nothing.
+
+    An interval is of the level whose bins are as long as it. Two intervals meet in the bins of the longer one's level, of which each
+    touches two at most, and count in the first that they share; so a long interval isn't sent to the many bins of short
+    ones, and short ones are sent only to levels, on contigs, where the other side has intervals.
+    """
+    a = a.where(F.col("beg") <= F.col("end")).withColumn("_level", _level(width))
+    b = b.where(F.col("beg") <= F.col("end")).withColumn("_level", _level(width))
+    present = [df.select("contig", F.col("_level").alias("_at")).distinct() for df in (a, b)]  # some levels a contig
+    levels = [sorted(r[0] for r in p.select("_at").distinct().collect()) for p in present]  # 13 rows at most
+    name = {c: f"{c}_b" for c in b.columns if c not in ("contig", "_level")}
+
+    def met(x: DataFrame, y: DataFrame) -> DataFrame:
+        other = y.withColumnsRenamed(name | {"_first": "_first_b"}).drop("_level")
+        found = x.drop("_level").join(other, ["contig", "_at", "_bin"])
+        once = F.col("_bin") == F.greatest("_first", "_first_b")
+        return found.where(once & (F.col("beg") <= F.col("end_b")) & (F.col("beg_b") <= F.col("end"))).drop("_at", "_bin", "_first", "_first_b")
+
+    own = lambda df: _binned(df, [], width, False)
+    lifted = lambda df, side: _binned(df, levels[side], width, True).join(present[side], ["contig", "_at"], "left_semi")
+    return met(own(a), own(b)).unionByName(met(lifted(a, 1), own(b))).unionByName(met(own(a), lifted(b, 0)))
+
+
 def merged(regions: DataFrame, span: int = 1 << 20) -> DataFrame:
     """Regions (contig, beg, end) joined where they overlap or touch: contig, beg, end, n.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociweave import fixtures
+from lociweave.functions import filters, special
 from lociweave.functions import variants as v
 from lociweave.functions.numbers import rounded
 from lociweave.operators import intervals
@@ -63,7 +64,7 @@ def record_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records by an expression over their tags."""
     info = F.col("info")
     typed = records(spark, sf_dir).withColumns({"DP": v.tag(info, "DP").cast("int"), "AF": v.tag(info, "AF").cast("double"), "N_ALT": F.size("alts")})
-    return typed.where(v.condition("DP >= 20 && AF < 0.5 && N_ALT == 1")).select("site_idx", "ref", F.element_at("alts", 1).alias("alt"))
+    return filters.filtered(typed, "DP >= 20 && AF < 0.5 && N_ALT == 1").select("site_idx", "ref", F.element_at("alts", 1).alias("alt"))
 
 
 @query(f"WITH {_RECORDS} SELECT site_idx, sqrt(p_size::DOUBLE) > 4 AND NOT contains(info, 'SVTYPE') OR ref LIKE 'AC%' AS kept FROM records")
@@ -71,7 +72,57 @@ def filter_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions, regular expressions and missing tags in an expression."""
     info = F.col("info")
     typed = records(spark, sf_dir).withColumns({"DP": v.tag(info, "DP").cast("int"), "SVTYPE": F.coalesce(v.tag(info, "SVTYPE"), F.lit("")), "REF": F.col("ref")})
-    return typed.select("site_idx", v.condition('sqrt(DP) > 4 && !(SVTYPE != "") || REF =~ "^AC"').alias("kept"))
+    return typed.select("site_idx", filters.condition('sqrt(DP) > 4 && !(SVTYPE != "") || REF =~ "^AC"', typed).alias("kept"))
+
+
+#: Expressions, and in SQL what each is: whether it is true, or its value.
+EXPRESSIONS = {
+    "precedence": ("DP + 2 * 3 % 4 - 1 >= 20 || DP == 3 && N_ALT == 2", "(p_size + 1 >= 20 OR p_size = 3) AND len(alts) = 2"),
+    "bits": ("DP & 6 ^ 3 | 8 == 15", "xor(p_size & 6, 3) | 8 = 15"),
+    "undefined": ("SVTYPE == \"DEL\" && DP > 10 || N_ALT > 1", "CASE WHEN len(alts) > 1 THEN TRUE ELSE contains(info, 'SVTYPE') AND p_size > 10 END"),
+    "negated": ("!(SVTYPE == \"DEL\" && DP < 0)", "TRUE"),
+    "exists": ("exists(SVTYPE) || !exists(QUAL) && DP % 2 == 1", "(contains(info, 'SVTYPE') OR p_size % 3 = 0) AND p_size % 2 = 1"),
+    "default": ("default(QUAL, -1) < 0 || QUAL / 0 > 1e9", "p_size % 3 = 0 OR p_size <> 10"),
+    "lists": ("max(AD) >= 30 || min(AD) > avg(AD) - 1", "greatest(p_size, site_idx % 7) >= 30 OR least(p_size, site_idx % 7) > (p_size + site_idx % 7) / 2.0::DOUBLE - 1"),
+    "patterns": ("INFO =~ \"DP=\\d[05];\" || INFO !~ \"AF=0\\.[0-7]\"", "regexp_matches(info, 'DP=\\d[05];') OR NOT regexp_matches(info, 'AF=0\\.[0-7]')"),
+    "texts": ("REF < \"B\" && length(REF) != 1 || REF == 1", "ref < 'B' AND len(ref) <> 1"),
+    "functions": ("pow(sqrt(DP), 2) - exp(log(DP)) < 0.5 && log(QUAL) > 2", "p_size % 3 <> 0 AND p_size <> 10 AND ln(greatest(1, p_size - 10)::DOUBLE) > 2 AND p_size > 10"),
+}
+
+
+@query(f"WITH {_RECORDS} SELECT site_idx, " + ", ".join(f"{sql} AS {name}" for name, (_, sql) in EXPRESSIONS.items()) + " FROM records")
+def filter_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten filter expressions over typed tags, with lists and undefined values."""
+    info = F.col("info")
+    depth = v.tag(info, "DP").cast("int")
+    typed = records(spark, sf_dir).withColumns({
+        "DP": depth, "SVTYPE": v.tag(info, "SVTYPE"), "REF": F.col("ref"), "INFO": info, "N_ALT": F.size("alts"),
+        "QUAL": F.when(depth % 3 != 0, depth - 10), "AD": F.array(depth.cast("long"), F.col("site_idx") % 7),
+    })
+    return typed.select("site_idx", *[filters.condition(text, typed).alias(name) for name, (text, _) in EXPRESSIONS.items()])
+
+
+#: Alternate alleles that stand for themselves, one of which every fourth record has.
+SPECIAL = ["*", ".", "<DEL>", "<X>", "<NON_REF>", "<*>", "X", "[1:5[A", "A]1:5]"]
+_REFS, _ALTS = "ACGTACGGTAcc", "ACGGTACCGTAC"
+
+
+@query(f"""WITH alleles AS (SELECT p_partkey AS site_idx, substr('{_REFS}', CAST(p_partkey % 7 + 1 AS BIGINT), CAST(p_size % 4 + 1 AS BIGINT)) AS ref,
+CASE WHEN p_partkey % 4 = 0 THEN {SPECIAL}[CAST(p_partkey // 4 % {len(SPECIAL)} + 1 AS BIGINT)] ELSE substr('{_ALTS}', CAST(p_partkey % 7 + p_partkey % 2 + 1 AS BIGINT), CAST(p_size // 4 % 5 + 1 AS BIGINT)) END AS alt FROM part),
+begun AS (SELECT *, upper(ref) AS u, upper(alt) AS w, list_max(list_filter(range(0, least(len(ref), len(alt)) + 1), lambda k: upper(ref)[1:k] = upper(alt)[1:k])) AS p FROM alleles),
+rests AS (SELECT *, u[p + 1:] AS r, w[p + 1:] AS a FROM begun), ended AS (SELECT *, list_max(list_filter(range(0, least(len(r), len(a))), lambda k: right(r, k) = right(a, k))) AS s FROM rests),
+cut AS (SELECT *, len(r) - s AS m, len(a) - s AS n, right(r, s + 1) = right(a, s + 1) AS alike FROM ended)
+SELECT site_idx, ref, alt, CASE WHEN alt = '*' THEN 'OVERLAP' WHEN alt IN ('.', '<*>', '<X>', '<NON_REF>') THEN 'REF' WHEN alt = 'X' AND len(ref) = 1 THEN 'REF' WHEN alt[1] = '<' THEN 'OTHER' WHEN alt[1] IN ('[', ']') THEN 'BND'
+WHEN r = '' AND a = '' THEN 'REF' WHEN r = '' THEN CASE WHEN a[1] IN ('[', ']') THEN 'BND' ELSE 'INS' END WHEN a = '' THEN 'DEL' WHEN m = 1 AND n = 1 THEN 'SNP'
+WHEN n = 1 THEN CASE WHEN alike THEN 'DEL' ELSE 'OTHER' END WHEN m = 1 THEN CASE WHEN alike THEN 'INS' ELSE 'OTHER' END WHEN m = n THEN 'MNP' ELSE 'OTHER' END AS kind FROM cut""")
+def allele_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What alternate alleles are, beside references that share bases with them, in either case."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    ref = F.substring(F.lit(_REFS), (key % 7 + 1).cast("int"), size % 4 + 1)
+    special = F.element_at(F.array(*map(F.lit, SPECIAL)), (F.floor(key / 4) % len(SPECIAL) + 1).cast("int"))
+    alt = F.when(key % 4 == 0, special).otherwise(F.substring(F.lit(_ALTS), (key % 7 + key % 2 + 1).cast("int"), F.floor(size / 4).cast("int") % 5 + 1))
+    rows = read(spark, sf_dir, "part").select(key.alias("site_idx"), ref.alias("ref"), alt.alias("alt"))
+    return rows.withColumn("kind", v.allele_kind(F.col("ref"), F.col("alt")))
 
 
 @query(f"""WITH {_RECORDS}, firsts AS (SELECT site_idx, alts, gts, gts[1] AS g, list_transform(string_split_regex(gts[1], '[/|]'), lambda x: TRY_CAST(x AS INTEGER)) AS a FROM records)
@@ -148,7 +199,7 @@ def fisher_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = fixtures.cells(spark, sf_dir).join(nations, "sample_idx")
     total = lambda own, x: F.sum(F.when(F.col("first") if own else ~F.col("first"), x).otherwise(0))
     sums = cells.groupBy("site_idx").agg(*[total(own, x).alias(c) for c, own, x in (("a", True, F.col("a")), ("b", True, F.col("n") - F.col("a")), ("c", False, F.col("a")), ("d", False, F.col("n") - F.col("a")))])
-    return sums.select("site_idx", rounded(v.fisher(*[F.col(c) for c in "abcd"]), 5).alias("p"))
+    return sums.select("site_idx", rounded(special.fisher(*[F.col(c) for c in "abcd"])["two_sided"], 5).alias("p"))
 
 
 @query(f"""WITH {MARKERS}, lengths AS (SELECT contig, max(pos) AS length FROM markers GROUP BY contig)

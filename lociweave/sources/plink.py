@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lociweave.sources import ranges
 from lociweave.sources.text import numbered
 
 #: Fixed values of the format: its first bytes, and the two-bit codes of calls; 1 is missing.
@@ -24,16 +27,37 @@ def markers(spark: SparkSession, path: str) -> DataFrame:
     return numbered(spark, path).select(F.col("row").alias("at"), field(1).alias("contig"), field(4).cast("long").alias("pos"), field(5).alias("a1"), field(6).alias("a2"))
 
 
-def bed(spark: SparkSession, path: str, n_samples: int) -> DataFrame:
-    """site (its number), block of four samples, byte. Each site is cut from the file's content by its place, so a file is one
-    task and at most 2 GB, as Spark's binary source has it: larger sets come as a file a contig."""
+def sites(spark: SparkSession, path: str, n_samples: int, part: int = ranges.PART_BYTES) -> DataFrame:
+    """site (numbered through all files in the order of their paths) and row, its bytes. Tasks read ranges of a file, of any size."""
     width = -(-n_samples // 4)
-    content = spark.read.format("binaryFile").load(path).select(F.col("content"), F.substring("content", 1, 3).alias("magic"))
-    bad = F.assert_true(F.col("magic") == F.lit(MAGIC), F.lit("not a PLINK 1 .bed file"))
-    size = F.floor((F.length("content") - 3) / width)
-    each = content.where(bad.isNull()).select("content", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)).alias("site")).select("site", F.substring("content", (F.col("site") * width + 4).cast("int"), F.lit(width)).alias("row"))
-    parts = each.select("site", "row", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("block"))
-    return parts.select("site", "block", F.conv(F.hex(F.substring("row", F.col("block") + 1, F.lit(1))), 16, 10).cast("int").alias("byte"))
+    held = ranges.files(spark, path)
+    for uri, size in held:
+        head = ranges.start_of(uri, len(MAGIC))
+        if head is None:
+            raise ValueError(f"{uri} is in a store that pyarrow can't read")
+        if head != MAGIC:
+            raise ValueError(f"{uri} is not a PLINK 1 .bed file")
+        if (size - len(MAGIC)) % width:
+            raise ValueError(f"{uri} doesn't hold whole sites of {n_samples} samples")
+    found = ranges.records(spark, [(uri, size, len(MAGIC), width) for uri, size in held], part)
+    before, n = [], 0
+    for uri, size in held:
+        before.append((uri, n))
+        n += (size - len(MAGIC)) // width
+    starts = F.broadcast(spark.createDataFrame(before, "path string, before long"))  # a row a file
+    return found.join(starts, "path").select((F.col("before") + F.col("record")).alias("site"), F.col("content").alias("row"))
+
+
+def _bytes(batches):
+    for b in batches:
+        for site, row in zip(b.column("site").to_pylist(), b.column("row")):
+            values = np.frombuffer(row.as_buffer(), np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), site)), pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values.astype(np.int32))], ["site", "block", "byte"])
+
+
+def bed(spark: SparkSession, path: str, n_samples: int) -> DataFrame:
+    """site (its number), block of four samples, byte."""
+    return sites(spark, path, n_samples).mapInArrow(_bytes, "site long, block int, byte int")
 
 
 def packed(calls: DataFrame) -> DataFrame:

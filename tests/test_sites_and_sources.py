@@ -5,7 +5,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
-from lociweave.functions import variants
+from lociweave.functions import filters, variants
 from lociweave.operators import calls, intervals, labels, likelihoods, sites
 from lociweave.sources import beagle, plink, vcf
 
@@ -168,7 +168,7 @@ def test_header_of_a_file(spark, tmp_path):
 
 def test_expressions(spark):
     rows = spark.createDataFrame([(1, "PASS", None), (25, "q10", "x"), (30, "PASS", "it's")], "DP int, FILTER string, ANN string")
-    keep = lambda text: [r["DP"] for r in rows.where(variants.condition(text)).orderBy("DP").collect()]
+    keep = lambda text: [r["DP"] for r in rows.where(filters.condition(text, rows)).orderBy("DP").collect()]
     assert keep('DP >= 20 && (FILTER == "PASS" || ANN == "x")') == [25, 30]
     assert keep('!(FILTER != "PASS")') == [1, 30] and keep("""ANN == "it's" """) == [30] and keep('ANN !~ "^x"') == [30] and keep('FILTER == "a && b"') == []
 
@@ -181,7 +181,6 @@ def test_haplike(spark, tmp_path):
     values = np.random.default_rng(1).random((2, 3, 4))
     (tmp_path / "x.bin").write_bytes(np.array([2, 2, 3], "<i4").tobytes() + values.astype("<f8").tobytes())
     got = haplike.read(spark, str(tmp_path / "x.bin")).orderBy("sample_idx", "site").collect()
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert np.array([r["likely"] for r in got]).tolist() == values.reshape(6, 4).tolist()
 
 
@@ -202,6 +201,45 @@ def test_labels_align(spark):
 
 
 def test_variant_kinds(spark):
-    rows = [("A", ["C"]), ("A", ["<*>"]), ("AC", ["*"]), ("A", ["G]17:198982]"]), ("AC", ["A", "ACC"]), ("AC", ["GT"])]
+    rows = [("A", ["C"]), ("A", ["<*>"]), ("AC", ["*"]), ("G", ["G]17:198982]"]), ("AC", ["A", "ACC"]), ("AC", ["GT", "AT", "ac", "TCC", "GAC", "<NON_REF>", "<DEL>", "ACTT"]), ("TCC", ["TC", "GC", "GA"])]
     got = spark.createDataFrame(rows, "ref string, alts array<string>").select(F.transform("alts", lambda a: variants.allele_kind(F.col("ref"), a)).alias("k")).collect()
-    assert [r["k"] for r in got] == [["SNP"], ["REF"], ["OVERLAP"], ["BND"], ["DEL", "INS"], ["MNP"]]
+    assert [r["k"] for r in got] == [["SNP"], ["REF"], ["OVERLAP"], ["BND"], ["DEL", "INS"], ["MNP", "SNP", "REF", "OTHER", "INS", "REF", "OTHER", "INS"], ["DEL", "OTHER", "OTHER"]]
+
+
+def test_labels_that_do_not_settle_are_an_error(spark):
+    a = spark.createDataFrame([(0, [0.7, 0.3])], "sample_idx long, q array<double>")
+    with pytest.raises(RuntimeError, match="settled"):
+        labels.aligned([a, a], rounds=1)
+
+
+def test_repeated_tags(spark):
+    r = spark.createDataFrame([("DP=1;DB;DP=2;X=a=b;;DB",)], "info string").select(variants.tags(F.col("info")).alias("m"), variants.with_tag(F.col("info"), "DP", F.lit("7")).alias("t")).first()
+    assert r["m"] == {"DP": "1", "DB": None, "X": "a=b"} and r["t"] == "DB;DP=7;X=a=b"
+
+
+UNDEFINED, NAN = None, float("nan")
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("1 + 2 * 3 - 4 / 2", 5.0), ("-7 % 3", -1.0), ("7.9 % 3.9", 1.0), ("5 % 0", UNDEFINED), ("1 / 0 > 1e300", 1.0), ("-1 / 0 < 0", 1.0), ("0 / 0", UNDEFINED), ("6 & 3 | 8 ^ 1", 11.0), ("~5", -6.0), ("!5", 0.0), ("!0", 1.0), ("!!0.5", 1.0),
+        ("3 > 2 == 1", 1.0), ("1 == 0 == 0", 1.0), ("3 > 2 > 1", 1.0), ("1 > 2 > 1", 0.0), ("1 || 0 && 0", 0.0), ("0 && 0 || 1", 1.0), ("n && 0", UNDEFINED), ("!(n && 0)", 1.0), ("n || 1", 1.0), ("n || 0", UNDEFINED), ("!n", 1.0), ("!s", 0.0), ("n + 1", UNDEFINED), ("n == n", UNDEFINED),
+        ("exists(n)", 0.0), ("exists(s)", 1.0), ("default(n, 4) + 1", 5.0), ('default(t, "x") == "x"', 1.0), ("exists(f)", 0.0), ("f || 1", 1.0), ("b && i == 3", 1.0),
+        (r's == "a\"b"', 0.0), (r'"a\"b" =~ "^a.b$"', 1.0), (r'"x=7" =~ "x=\d"', 1.0), (r'"a\tb" == "a\\tb"', 0.0), (r'"a\tb" =~ "a\sb"', 1.0), ('t =~ "x"', UNDEFINED), ('s != 1', 1.0), ("s == 1", 0.0), ("s < 1", 0.0), ('s < "z"', 1.0), ('s == "" || ""', 1.0),
+        ("min(l)", 1.0), ("max(l)", 4.0), ("avg(l)", 2.5), ("length(l)", 3.0), ("avg(e)", 0.0), ("min(e)", UNDEFINED), ("max(u)", UNDEFINED), ("length(s)", 3.0), ("log(0) < 0", 1.0), ("log(-1)", UNDEFINED), ("sqrt(-1)", UNDEFINED), ("sqrt(i + 1)", 2.0), ("pow(2, 10)", 1024.0), ("pow(n, 0)", UNDEFINED), ("exp(0)", 1.0),
+        ("(1 + 2) * .5e1", 15.0), ("a.b", 9.0),
+    ],
+)
+def test_filter_values(spark, text, want):
+    schema = "n double, f double, i int, b boolean, s string, t string, l array<int>, e array<double>, u array<int>, `a.b` long"
+    rows = spark.createDataFrame([(None, NAN, 3, True, "abc", None, [1, None, 4], [], None, 9)], schema)
+    assert rows.select(filters.value(text, rows).alias("x")).first()["x"] == want
+    assert rows.where(filters.condition(text, rows)).count() == bool(want)
+
+
+@pytest.mark.parametrize("text", ["", "1 +", "(1", "1 2", "nope", "nope(1)", "min(1)", "length(1)", 's + 1', 's =~ 1', "l == 1", "pow(1)", '"open', "1 & s", "--1", "max(s)", "exists ()", "a.b = 1", "d > 1"])
+def test_filter_errors(spark, text):
+    rows = spark.createDataFrame([], "n double, s string, l array<int>, `a.b` long, d date")
+    with pytest.raises(filters.FilterError):
+        filters.condition(text, rows)
