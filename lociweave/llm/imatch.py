@@ -1,22 +1,21 @@
-"""I-Match document fingerprints: a document's distinct terms within a band of inverse document frequency, hashed as sets: all of
+"""I-Match document fingerprints: a document's distinct terms within a band of inverse document frequency, sorted and hashed: all of
 them, and those that each of several randomised lexicon subsets keeps.
 
 Terms are lower-case runs of letters and digits, by their 64-bit hash. Document frequencies count distinct texts, so that a large
-group of copies doesn't make its terms common. A term is in the band if at most ``MOST_SHARE`` of the distinct texts have it and at
-least as many as leave the band at most ``LEXICON`` terms, two at least. The band is therefore of bounded size, is broadcast, and
-no document's terms are shuffled.
+group of copies doesn't make its terms common. A term is in the band if two distinct texts at least and ``MOST_SHARE`` of them at most
+have it. The band is of any size: it is broadcast where it is small, and else joined by shuffle.
 
 Each of ``SUBSETS`` lexicons keeps at level l a random 1 in 4^l of the band's terms, and of those 1 in 4 at the next level. A
-fingerprint has the signature of all kept terms, and those of each lexicon at the level at which it keeps 1 to 4 of the document's
-terms and at the next, so that a long and a short document both have signatures that a small change leaves alone. A signature is
-the exclusive or of the terms' hashes: the same whatever their order, as if they had been sorted, but found without gathering them.
+fingerprint has the signature of all terms, and those of each lexicon at the level at which it keeps about one of the document's
+terms (half a term to two) and at the next, so that a long and a short document both have signatures that a small change leaves
+alone. A signature is the 64-bit hash of the terms in order of their hashes.
 
 The likeness of two fingerprints is 1 if they are equal; else the share of the lexicons, at the levels that both have and in which
-either keeps terms, whose signatures are equal. It is a mean of 8 or 16 such outcomes, so comes in steps of about 1/8. A document
-with no term in the band is fingerprinted by the hash of its text, and its likeness is 1 or 0.
+either keeps terms, whose signatures are equal. It is a mean of some 10 to 32 such outcomes. A document with no term in the band is
+fingerprinted by the hash of its text, and its likeness is 1 or 0.
 
-Documents are put in order within parts of the key range, which follow from counts of equal slices of it; the first document of a
-part is also sent to the part before, as the one that follows its last.
+Documents are put in order within parts of the key range that have about ``PART_ROWS`` rows each, between approximate quantiles; the
+first document of a part is also sent to the part before, as the one that follows its last.
 
 Defined results: a null text is the empty one; equal texts have equal fingerprints, and likeness 1; keys are numbers, nulls
 first, equal keys follow each other by their text's digest and share a part; equal rows are all kept; the only document is its
@@ -25,6 +24,10 @@ own next one; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import json
+import math
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,13 +35,13 @@ from pyspark.sql import functions as F
 from lociweave.llm.common import saved, small
 
 #: Lexicons, and their levels after the whole.
-SUBSETS, LEVELS = 8, 7
+SUBSETS, LEVELS = 16, 7
 LEAST_DOCS = 2
 MOST_SHARE = 0.05
-#: Terms that the band has at most, which bounds what is broadcast.
-LEXICON = 1 << 18
-#: Rows that are put in order together, and slices of the key range that are counted.
-PART_ROWS, SLICES = 2_000, 1 << 14
+#: Band terms, and bytes of them, that are broadcast at most.
+BROADCAST_TERMS, BROADCAST_BYTES = 2_000_000, 32 << 20
+#: Rows that are put in order together, about, and the most parts.
+PART_ROWS, MOST_PARTS = 2_000, 1_000_000
 #: Separates terms.
 SEPARATOR = r"[^\p{L}\p{N}]+"
 
@@ -49,20 +52,30 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
+def part_of(key: Column, bounds: list) -> Column:
+    """How many of the ascending bounds are at most the key, looked up among every few of them first; 0 for a null key, others from 1."""
+    kind = "array<decimal(38,10)>" if any(isinstance(b, Decimal) for b in bounds) else "array<double>" if any(isinstance(b, float) for b in bounds) else "array<bigint>"
+    step = max(1, math.isqrt(len(bounds)))
+    text = lambda x: json.dumps(x, default=str)
+    few = F.from_json(F.lit(text(bounds[::step])), kind)
+    rest = F.from_json(F.lit(text([[], *(bounds[i + 1 : i + step] for i in range(0, len(bounds), step))])), f"array<{kind}>")
+    passed = F.size(F.filter(few, lambda x: x <= key))
+    within = F.size(F.filter(F.element_at(rest, passed + 1), lambda x: x <= key))
+    return F.when(key.isNull(), 0).otherwise(1 + F.when(passed > 0, (passed - 1) * step + 1 + within).otherwise(0))
+
+
 def parted(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with ``part``, an ascending number for ranges of the key, and ``also``: the part before if the key is its part's first."""
-    value = F.col(key).cast("double")
-    low, high = docs.agg(F.min(value), F.max(value)).first()  # one row
-    low, span = low or 0.0, max((high or 0.0) - (low or 0.0), 1.0)
-    rows = docs.withColumn("_slice", F.coalesce(F.least(F.floor((value - low) / span * SLICES), F.lit(SLICES - 1)), F.lit(-1)))
-    counts = rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias("_first"))
-    # At most SLICES + 1 rows; parts are runs of slices, and the last part comes before the first.
-    order = W.partitionBy().orderBy("_slice")
-    parts = counts.select("_slice", "_first", F.floor((F.sum("_n").over(order) - F.col("_n")) / PART_ROWS).alias("part"))
-    firsts = parts.groupBy("part").agg(F.min_by("_first", "_slice").alias("_first"))
+    parts = min(MOST_PARTS, -(-docs.count() // PART_ROWS))
+    bounds = []
+    if parts > 1:
+        shares = [i / parts for i in range(1, parts)]
+        bounds = sorted(set(docs.agg(F.percentile_approx(key, shares, 20 * parts)).first()[0] or []))  # so many numbers
+    rows = docs.withColumn("part", (part_of(F.col(key), bounds) if bounds else F.when(F.col(key).isNull(), 0).otherwise(1)).cast("long"))
+    # A row a part; the last part comes before the first.
+    firsts = rows.groupBy("part").agg(F.min(key).alias("_first"))
     befores = firsts.withColumn("_before", F.coalesce(F.lag("part").over(W.partitionBy().orderBy("part")), F.max("part").over(W.partitionBy())))
-    placed = saved(parts.select("_slice", "part").join(befores, "part"), "imatch-parts")
-    rows = rows.join(F.broadcast(placed), "_slice").drop("_slice")
+    rows = rows.join(F.broadcast(saved(befores, "imatch-parts")), "part")
     return rows.withColumn("also", F.when(F.col(key).eqNullSafe(F.col("_first")), F.col("_before"))).drop("_first", "_before")
 
 
@@ -86,8 +99,8 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     )
 
 
-def lexicon(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS, share: float = MOST_SHARE, most: int = LEXICON) -> DataFrame:
-    """The band's terms, at most ``most``, from the document frequencies of all distinct texts' terms; saved."""
+def lexicon(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS, share: float = MOST_SHARE) -> DataFrame:
+    """The band's terms, from the document frequencies of all distinct texts' terms; saved."""
     body = F.coalesce(F.col(text), F.lit(""))
     digests = docs.select(F.xxhash64(body).alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("copies"))
     n = digests.count()
@@ -95,44 +108,36 @@ def lexicon(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS, share:
     copied = small(saved(digests.where("copies > 1"), "imatch-copies"))
     rows = docs.select(body.alias("text"), F.xxhash64(body).alias("digest")).join(copied, "digest", "left")
     each = rows.select(F.explode(terms(F.col("text"))).alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("weight"))
-    counts = each.groupBy("term").agg(F.sum("weight").alias("df")).withColumn("df", F.round("df").cast("long"))
-    known = saved(counts.where(F.col("df").between(least, max(least, int(n * share)))), "imatch-terms")
-    # The least frequency at which the band is small enough: one row a frequency.
-    sizes = known.groupBy("df").agg(F.count(F.lit(1)).alias("n")).select("df", F.sum("n").over(W.partitionBy().orderBy(F.desc("df"))).alias("held"))
-    cut = sizes.where(F.col("held") <= most).agg(F.min("df")).first()[0]
-    return saved(known.where(F.col("df") >= cut if cut is not None else F.lit(False)).select("term"), "imatch-band")
+    counts = each.groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("df"))
+    return saved(counts.where(F.col("df").between(least, max(least, int(n * share)))).select("term"), "imatch-band")
 
 
 def level(n: Column) -> Column:
-    """The level at which a lexicon keeps 1 to 4 of so many terms, or fewer at the first."""
-    return F.least(F.greatest(F.lit(1), F.floor(F.log(4.0, F.greatest(n, F.lit(1)).cast("double")))), F.lit(LEVELS - 1)).cast("int")
+    """The level at which a lexicon keeps about one of so many terms."""
+    return F.least(F.greatest(F.lit(1), F.round(F.log(4.0, F.greatest(n, F.lit(1)).cast("double")))), F.lit(LEVELS - 1)).cast("int")
 
 
-def kept(lexicon_hash: Column, at: int) -> Column:
-    """Whether a lexicon keeps a term at a level."""
-    return lexicon_hash.bitwiseAND(F.lit(4**at - 1).cast("long")) == 0
+def kept(terms: Column, j: int, level: Column) -> Column:
+    """The terms that lexicon j keeps at a level: those with zeros in so many bits of its own."""
+    bits = lambda x: F.shiftrightunsigned(F.xxhash64(x, F.lit(100 + j // 4)), 16 * (j % 4))
+    mask = F.call_function("shiftleft", F.lit(1), level * 2) - 1
+    return F.filter(terms, lambda x: bits(x).bitwiseAND(mask.cast("long")) == 0)
 
 
-def signatures(each: DataFrame, key: str, sides: dict[str, str]) -> DataFrame:
-    """One row a ``key`` of (key, term and booleans): for each side, how many terms it has, the signature of all, and an array by level
-    of the lexicons' signatures, 0 where none is kept."""
-    hashed = each.withColumns({f"_h{j}": F.xxhash64("term", F.lit(100 + j)) for j in range(SUBSETS)})
-    sums = []
-    for side, flag in sides.items():
-        sums += [F.count_if(flag).alias(f"{side}_n"), F.coalesce(F.bit_xor(F.when(F.col(flag), F.col("term"))), F.lit(0)).alias(f"{side}_0")]
-        sums += [F.coalesce(F.bit_xor(F.when(F.col(flag) & kept(F.col(f"_h{j}"), at), F.col("term"))), F.lit(0)).alias(f"{side}_{at}_{j}") for at in range(1, LEVELS + 1) for j in range(SUBSETS)]
-    found = hashed.groupBy(key).agg(*sums)
-    return found.select(key, *[c for side in sides for c in (f"{side}_n", f"{side}_0", F.array(*[F.array(*[f"{side}_{at}_{j}" for j in range(SUBSETS)]) for at in range(1, LEVELS + 1)]).alias(f"{side}_levels"))])
+def signature(terms: Column) -> Column:
+    """The hash of a set of terms in order; 0 for none."""
+    return F.when(F.size(terms) > 0, F.xxhash64(F.array_sort(terms))).otherwise(F.lit(0).cast("long"))
 
 
-def printed(n: Column, whole: Column, levels: Column, digest: Column) -> Column:
+def printed(terms: Column, digest: Column) -> Column:
     """(at, sigs, print): level, the lexicons' signatures at it and at the next, and the fingerprint as a string."""
-    at = level(n)
-    sigs = F.concat(F.element_at(levels, at), F.element_at(levels, at + 1))
-    text = F.transform(F.concat(F.array(whole), sigs), lambda x: F.when(x == 0, "").otherwise(F.lower(F.right(F.lpad(F.hex(x), 16, "0"), F.lit(8)))))
+    at = level(F.size(terms))
+    first = [kept(terms, j, at) for j in range(SUBSETS)]
+    sigs = F.array(*[signature(x) for x in first], *[signature(kept(x, j, at + 1)) for j, x in enumerate(first)])
+    text = F.transform(F.concat(F.array(signature(terms)), sigs), lambda x: F.when(x == 0, "").otherwise(F.lower(F.lpad(F.hex(x), 16, "0"))))
     own = F.struct(at.alias("at"), sigs.alias("sigs"), F.concat(F.lit("l"), at.cast("string"), F.lit("."), F.array_join(text, ".")).alias("print"))
     bare = F.struct(F.lit(-9).alias("at"), F.array().cast("array<bigint>").alias("sigs"), F.concat(F.lit("t."), F.lower(F.hex(digest))).alias("print"))
-    return F.when(n > 0, own).otherwise(bare)
+    return F.when(F.size(terms) > 0, own).otherwise(bare)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -148,18 +153,21 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_DOCS, share: float = MOST_SHARE) -> DataFrame:
     """One row a document: key, n_chars, the edited text's SHA-256, both fingerprints, and the likeness of the document's to
     the edited text's and to the next document's."""
-    band = lexicon(docs, text, least, share)
+    band = small(lexicon(docs, text, least, share), BROADCAST_TERMS, BROADCAST_BYTES)
     rows = edited(docs, key, text).withColumns({"own": terms(F.col("text")), "other": terms(F.col("edited"))})
-    rows = rows.select("id", "key", "digest", "n_chars", "next_key", "next_digest", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("edited").alias("edited_digest"), "own", "other")
-    # Terms of both texts, of the own one only, of the edited one only. A document with none keeps its row.
-    mark = lambda x, o, e: F.transform(x, lambda t: F.struct(t.alias("term"), F.lit(o).alias("o"), F.lit(e).alias("e")))
-    each = F.concat(mark(F.array_intersect("own", "other"), True, True), mark(F.array_except("own", "other"), True, False), mark(F.array_except("other", "own"), False, True))
-    facts = ["key", "digest", "n_chars", "next_key", "next_digest", "edited_sha256", "edited_digest"]
-    exploded = rows.select(F.struct("id", *facts).alias("doc"), F.explode_outer(each).alias("x")).select("doc", "x.*")
-    held = exploded.join(F.broadcast(band.withColumn("in", F.lit(True))), "term", "left")
-    marked = held.select("doc", F.coalesce("term", F.lit(0)).alias("term"), F.coalesce(F.col("o") & F.col("in"), F.lit(False)).alias("o"), F.coalesce(F.col("e") & F.col("in"), F.lit(False)).alias("e"))
-    sigs = saved(signatures(marked, "doc", {"own": "o", "other": "e"}), "imatch-signatures")
-    rows = saved(sigs.select("doc.*", printed(F.col("own_n"), F.col("own_0"), F.col("own_levels"), F.col("doc.digest")).alias("fp"), printed(F.col("other_n"), F.col("other_0"), F.col("other_levels"), F.col("doc.edited_digest")).alias("edited_fp")), "imatch-prints")
+    facts = F.struct("key", "digest", "n_chars", "next_key", "next_digest", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("edited").alias("edited_digest"))
+    # A row a term of either text: in both, in the own one, in the edited one. The first of a document carries what else it has; that with
+    # no term is of no text.
+    mark = lambda x, of: F.transform(x, lambda t: F.struct(t.alias("term"), F.lit(of).alias("of")))
+    none = F.array(F.struct(F.lit(None).cast("long").alias("term"), F.lit(-1).alias("of")))
+    each = F.concat(none, mark(F.array_intersect("own", "other"), 0), mark(F.array_except("own", "other"), 1), mark(F.array_except("other", "own"), 2))
+    exploded = rows.select("id", facts.alias("doc"), each.alias("each")).select("id", "doc", F.posexplode("each").alias("place", "x"))
+    exploded = exploded.select("id", F.when(F.col("place") == 0, F.col("doc")).alias("doc"), F.col("x.term").alias("term"), F.col("x.of").alias("of"))
+    held = exploded.join(band.select("term", F.lit(True).alias("in")), "term", "left").where("in OR of < 0")
+    of = lambda *which: F.collect_list(F.when(F.col("of").isin(*which), F.col("term")))
+    found = held.groupBy("id").agg(F.max("doc").alias("doc"), of(0).alias("both"), of(1).alias("own"), of(2).alias("other"))
+    own, other = F.concat("both", "own"), F.concat("both", "other")
+    rows = saved(found.select("doc.*", printed(own, F.col("doc.digest")).alias("fp"), printed(other, F.col("doc.edited_digest")).alias("edited_fp")), "imatch-prints")
     rows = rows.withColumn("no_next", F.col("next_key").isNull()).withColumn("next_key", F.coalesce("next_key", F.lit(0)))
     following = rows.select(F.coalesce("key", F.lit(0)).alias("next_key"), F.col("key").isNull().alias("no_next"), F.col("digest").alias("next_digest"), F.col("fp").alias("next_fp")).dropDuplicates(["next_key", "no_next", "next_digest"])
     return rows.join(following, ["next_key", "no_next", "next_digest"]).select(

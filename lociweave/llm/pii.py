@@ -8,7 +8,8 @@ that equal values get equal pseudonyms in every document, different values diffe
 - phone numbers (international with 8 to 15 digits, or 10 digits of the North American form): digits but the country code;
 - social security numbers (areas, groups and serials that are given out): digits permuted until they are valid again;
 - IPv4 addresses (octets up to 255): the 32 bits are permuted;
-- e-mail addresses: letters and digits of the local part are permuted among strings of their length, in lower case;
+- e-mail addresses: letters and digits of the local part are permuted among strings of their length, in lower case; a local part
+  with other letters becomes the permuted hexadecimal digits of its UTF-8;
 - dates that exist (ISO, day.month.year, day/month/year; month/day/year where that alone exists): the day is permuted within its
   span of 65,536 days.
 
@@ -17,8 +18,9 @@ format, the round and the other half. Where the format's valid values are fewer
 the value is valid, however often that is, which is a permutation of the valid ones.
 
 A number beside another one may be matched with it. Of a match for cards and IBANs, the longest part between separators that is
-valid is replaced, the first of equally long ones; the rest stays. Phones with country code 1 end after ten more digits; other
-countries' lengths aren't known, so a group of two to four digits right after such a phone counts as part of it.
+valid is replaced, the first of equally long ones; the rest stays. Phones with country code 1 end after ten more digits, those of the
+countries in ``PLAN`` after as many as it says. Of others the length isn't known: a phone ends with the unbroken run of five or more
+digits after its area; only where all its groups are shorter, a group of two to four digits right after it counts as part of it.
 
 The key is a secret that the caller gives: whoever has it can invert the pseudonyms. It is a literal of the plan, so event logs hold it.
 
@@ -41,19 +43,24 @@ EPOCH = "1900-01-01"
 #: Days that dates are permuted among.
 SPAN = 1 << 16
 
+# Country codes whose numbers all have so many digits after them.
+PLAN = {"7": 10, "27": 9, "30": 10, "31": 9, "33": 9, "34": 9, "40": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "52": 10, "54": 10, "57": 10, "61": 9, "65": 8, "86": 11, "90": 10, "91": 10, "351": 9, "380": 9, "420": 9, "421": 9, "852": 8}
+#: A phone of such a country: its digits, with a separator and parentheses before any of them.
+_PLANNED = "|".join(rf"\+{code}(?:[ .-]?[()]?[ .-]?\d){{{n}}}" for code, n in PLAN.items())
+
 _EDGE = r"(?![A-Za-z0-9@]|[.-]\d)"
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"[\p{L}\p{N}][\p{L}\p{M}\p{N}._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?",
     "iso_date": r"\d{4}-\d{2}-\d{2}",
     "date": r"\d{1,2}([./])\d{1,2}\1\d{4}",
     "ipv4": r"\d{1,3}(?:\.\d{1,3}){3}",
     "ssn": r"\d{3}-\d{2}-\d{4}",
-    "phone": r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}",
+    "phone": r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|" + _PLANNED + r"|\+(?!1)\d{1,3}(?:[ .-]?\(\d{1,5}\)[ .-]?|[ .-]\d{1,5}[ .-])\d{5,10}|\+(?!1)\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]\d{2,4}){2,4}|\+(?!1)\d{8,15}|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}",
     "card": r"\d(?:[ -]?\d){12,18}",
 }
-PATTERN = r"(?<![A-Za-z0-9@.+%_-])(?:" + "|".join(PATTERNS.values()) + ")" + _EDGE
+PATTERN = r"(?<![\p{L}\p{N}@.+%_-])(?:" + "|".join(PATTERNS.values()) + ")" + _EDGE
 
 
 def _is(m: Column, kind: str) -> Column:
@@ -176,7 +183,8 @@ def _iban(m: Column, key: str) -> Column:
 def _phone(m: Column, key: str) -> Column:
     d, plus = digits(m), m.startswith("+")
     first = F.length(F.regexp_extract(m, r"^\+(\d{1,3})[ .(-]", 1))
-    code = F.when(~plus, 0).when(m.startswith("+1"), 1).when(first > 0, first).otherwise(2)
+    planned = F.length(F.regexp_extract(m, "^\\+(" + "|".join(sorted(PLAN, key=len, reverse=True)) + ")", 1))
+    code = F.when(~plus, 0).when(m.startswith("+1"), 1).when(first > 0, first).when(planned > 0, planned).otherwise(2)
     abroad = F.concat(F.substring(d, F.lit(1), code), permuted(F.substring(d, code + 1, F.length(d) - code), "0123456789", "phone", key))
     american = lambda x: x.rlike("^[2-9][0-9]{2}[2-9][0-9]{6}$")
     home = walked(d, lambda x: permuted(x, "0123456789", "phone", key), american)
@@ -200,7 +208,9 @@ def _ipv4(m: Column, key: str) -> Column:
 def _email(m: Column, key: str) -> Column:
     local = F.lower(F.substring_index(m, "@", 1))
     plain = F.regexp_replace(local, "[^a-z0-9]", "")
-    return F.concat(refilled(local, permuted(plain, "0123456789abcdefghijklmnopqrstuvwxyz", "email", key), "a-z0-9"), F.lit("@"), F.substring_index(m, "@", -1))
+    ascii = refilled(local, permuted(plain, "0123456789abcdefghijklmnopqrstuvwxyz", "email", key), "a-z0-9")
+    other = F.lower(permuted(F.hex(F.encode(local, "utf-8")), "0123456789ABCDEF", "email", key))
+    return F.concat(F.when(local.rlike("^[a-z0-9._%+-]+$"), ascii).otherwise(other), F.lit("@"), F.substring_index(m, "@", -1))
 
 
 def _moved_day(day: Column, key: str) -> Column:

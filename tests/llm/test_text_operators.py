@@ -7,6 +7,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -236,6 +237,26 @@ def test_numbers_beside_others(spark):
     assert got[7] != phone and got[8] == f"{got[7]} 22"
 
 
+def test_phones_end_by_country(spark):
+    """A number after a phone stays, and equal phones have equal pseudonyms beside it."""
+    phones = ["+49 30 1234567", "+49 (30) 1234567", "+44 20 7946 0958", "+33 1 23 45 67 89", "+4930123456", "+48-601-234-567", "+43 1 58858", "+61 2 9876 5432", "+353 87 1234567"]
+    docs = spark.createDataFrame([(2 * i + j, p + end) for i, p in enumerate(phones) for j, end in enumerate(["", " 12 apples"])], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymised(docs, "k").collect()}
+    for i, p in enumerate(phones):
+        if len("".join(c for c in p if c.isdigit())) < 8:
+            assert got[2 * i] == p
+            continue
+        assert got[2 * i] != p and got[2 * i + 1] == got[2 * i] + " 12 apples"
+        assert [c if c.isdigit() else 0 for c in p].count(0) == [c if c.isdigit() else 0 for c in got[2 * i]].count(0) and len(p) == len(got[2 * i])
+
+
+def test_emails_of_any_letters(spark):
+    docs = spark.createDataFrame([(0, "to jöhn@x.org now"), (1, "JÖHN@x.org"), (2, "jahn@x.org"), (3, "Ωmega.ß@x.org")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymised(docs, "k").collect()}
+    assert got[0].startswith("to ") and got[0].endswith("@x.org now") and not set("jöhn") & set(got[0][3:-10]) - set("0123456789abcdef") and got[1] == got[0][3:-4]
+    assert got[2] != "jahn@x.org" and len(got[2]) == 10 and "mega" not in got[3] and got[3].endswith("@x.org")
+
+
 def test_walks_go_on_until_valid(spark, monkeypatch):
     monkeypatch.setattr(pii, "WALKS", 1)
     rows = spark.range(200).select(F.lpad((F.col("id") * 5).cast("string"), 3, "0").alias("s"))
@@ -291,16 +312,22 @@ def test_imatch_signatures_match_brute_force(spark):
     df = Counter(w for t in {t for _, t in rows} for w in set(t.split()))
     band = {w for w, c in df.items() if 2 <= c <= 30}
     hashes = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h"))
-    hashes = {r["w"]: (r["h"], r["g"]) for r in hashes.select("w", "h", F.array(*[F.xxhash64("h", F.lit(100 + j)) for j in range(imatch.SUBSETS)]).alias("g")).collect()}
+    hashes = {r["w"]: (r["h"], [g % (1 << 64) for g in r["g"]]) for r in hashes.select("w", "h", F.array(*[F.xxhash64("h", F.lit(100 + j)) for j in range(imatch.SUBSETS // 4)]).alias("g")).collect()}
+
+    def chained(own):
+        """XXH64 of the terms in order, each seeded by the one before."""
+        out = 42
+        for h in sorted(own):
+            out = xxhash.xxh64_intdigest(h.to_bytes(8, "little", signed=True), out)
+        return out if own else 0
 
     def brute(text):
         own = [hashes[w] for w in set(text.split()) & band]
         if not own:
             return None
-        at = max(1, int(np.floor(np.log(len(own)) / np.log(4) + 1e-12)))
-        xor = lambda x: int(np.bitwise_xor.reduce(np.array([0, *x], np.int64)))
-        sigs = [xor(h for h, g in own if g[j] % 4**k == 0) for k in (at, at + 1) for j in range(imatch.SUBSETS)]
-        return at, sigs, "l%d." % at + ".".join(f"{x % (1 << 64):016x}"[-8:] if x else "" for x in [xor(h for h, _ in own), *sigs])
+        at = max(1, int(np.log(len(own)) / np.log(4) + 0.5))
+        sigs = [chained([h for h, g in own if (g[j // 4] >> 16 * (j % 4)) % 4**k == 0]) for k in (at, at + 1) for j in range(imatch.SUBSETS)]
+        return at, sigs, "l%d." % at + ".".join(f"{x:016x}" if x else "" for x in [chained([h for h, _ in own]), *sigs])
 
     def like(a, b):
         if a[2] == b[2]:
@@ -324,9 +351,45 @@ def test_imatch_signatures_match_brute_force(spark):
     assert len({got[i]["fingerprint"] for i in range(50)}) == 50
 
 
-def test_imatch_band_is_bounded(spark):
+def test_imatch_band_goes_by_frequency_alone(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 50 + 1))) for i in range(50)], "doc_id long, text string")
-    assert imatch.lexicon(docs, share=1.0).count() == 49 and imatch.lexicon(docs, share=1.0, most=20).count() == 20 and imatch.lexicon(docs, share=1.0, most=0).count() == 0
+    assert imatch.lexicon(docs, share=1.0).count() == 49 and imatch.lexicon(docs, share=0.5).count() == 24 and imatch.lexicon(docs, least=10, share=1.0).count() == 41
+
+
+def test_imatch_band_of_any_size(spark, monkeypatch):
+    """A band that is joined by shuffle gives what a broadcast one does."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, prose(rng, rng.randint(0, 60)) + f" u{i % 9}") for i in range(60)], "doc_id long, text string")
+    want = sorted(map(tuple, imatch.fingerprints(docs, share=0.9).collect()))
+    monkeypatch.setattr(imatch, "BROADCAST_TERMS", 0)
+    assert sorted(map(tuple, imatch.fingerprints(docs, share=0.9).collect())) == want
+
+
+def test_imatch_order_of_terms(spark):
+    """Neither the order nor the repetition of terms counts; sets with an equal exclusive or differ."""
+    docs = spark.createDataFrame([(0, "alpha beta gamma"), (1, "gamma, ALPHA beta beta"), (2, "alpha"), (3, "alpha x"), (4, "beta"), (5, "y")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in imatch.fingerprints(docs, share=1.0).collect()}
+    assert got[0]["fingerprint"] == got[1]["fingerprint"] and got[0]["near_next"] == 1.0
+    assert got[2]["fingerprint"] == got[3]["fingerprint"] != got[4]["fingerprint"] and len(got[2]["fingerprint"].split(".")[1]) == 16
+    assert got[5]["fingerprint"].startswith("t.")
+    a, b = (F.array(*[F.lit(x).cast("long") for x in y]) for y in ((1, 2, 3), (5, 5, 0)))
+    r = spark.range(1).select(imatch.signature(a).alias("a"), imatch.signature(b).alias("b")).first()
+    assert r["a"] != r["b"]
+
+
+@pytest.mark.parametrize("keys", [[10**17, *range(60)], [1] * 30 + list(range(30)), [None] * 20 + list(range(40)), [2**i for i in range(62)]])
+def test_imatch_skewed_keys(spark, monkeypatch, keys):
+    """Far-off, equal and null keys: parts stay small as far as keys differ, and every document has its next."""
+    monkeypatch.setattr(imatch, "PART_ROWS", 5)
+    docs = spark.createDataFrame([(k, f"w{i} w{i + 1} text {i}") for i, k in enumerate(keys)], "doc_id long, text string").repartition(3)
+    sizes = [r["count"] for r in imatch.parted(docs, "doc_id").groupBy("part").count().collect()]
+    most = max(Counter(keys).values())
+    assert max(sizes) <= max(12, most + 12) and len(sizes) > 4
+    rows = imatch.edited(docs).select("key", "digest", "next_key", "next_digest").collect()
+    order = lambda k: (k is not None, k or 0)
+    ring = sorted(((r["key"], r["digest"]) for r in rows), key=lambda x: (order(x[0]), x[1]))
+    following = dict(zip(ring, ring[1:] + ring[:1]))
+    assert len(rows) == len(keys) and all(following[r["key"], r["digest"]] == (r["next_key"], r["next_digest"]) for r in rows)
 
 
 def test_imatch_edge_cases(edge, empty, spark):
