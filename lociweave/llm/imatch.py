@@ -117,11 +117,14 @@ def level(n: Column) -> Column:
     return F.least(F.greatest(F.lit(1), F.round(F.log(4.0, F.greatest(n, F.lit(1)).cast("double")))), F.lit(LEVELS - 1)).cast("int")
 
 
-def kept(terms: Column, j: int, level: Column) -> Column:
-    """The terms that lexicon j keeps at a level: those with zeros in so many bits of its own."""
-    bits = lambda x: F.shiftrightunsigned(F.xxhash64(x, F.lit(100 + j // 4)), 16 * (j % 4))
-    mask = F.call_function("shiftleft", F.lit(1), level * 2) - 1
-    return F.filter(terms, lambda x: bits(x).bitwiseAND(mask.cast("long")) == 0)
+def hashed(terms: Column) -> Column:
+    """Each term with the bits of four lexicons a word."""
+    return F.transform(terms, lambda x: F.struct(x.alias("term"), *[F.xxhash64(x, F.lit(100 + i)).alias(f"h{i}") for i in range(SUBSETS // 4)]))
+
+
+def kept(terms: Column, j: int, mask: Column) -> Column:
+    """Of hashed terms those that lexicon j keeps: those with zeros in the bits of its own that the mask has."""
+    return F.filter(terms, lambda x: F.shiftrightunsigned(x[f"h{j // 4}"], 16 * (j % 4)).bitwiseAND(mask) == 0)
 
 
 def signature(terms: Column) -> Column:
@@ -129,15 +132,31 @@ def signature(terms: Column) -> Column:
     return F.when(F.size(terms) > 0, F.xxhash64(F.array_sort(terms))).otherwise(F.lit(0).cast("long"))
 
 
-def printed(terms: Column, digest: Column) -> Column:
-    """(at, sigs, print): level, the lexicons' signatures at it and at the next, and the fingerprint as a string."""
-    at = level(F.size(terms))
-    first = [kept(terms, j, at) for j in range(SUBSETS)]
-    sigs = F.array(*[signature(x) for x in first], *[signature(kept(x, j, at + 1)) for j, x in enumerate(first)])
-    text = F.transform(F.concat(F.array(signature(terms)), sigs), lambda x: F.when(x == 0, "").otherwise(F.lower(F.lpad(F.hex(x), 16, "0"))))
-    own = F.struct(at.alias("at"), sigs.alias("sigs"), F.concat(F.lit("l"), at.cast("string"), F.lit("."), F.array_join(text, ".")).alias("print"))
-    bare = F.struct(F.lit(-9).alias("at"), F.array().cast("array<bigint>").alias("sigs"), F.concat(F.lit("t."), F.lower(F.hex(digest))).alias("print"))
-    return F.when(F.size(terms) > 0, own).otherwise(bare)
+def printed(rows: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFrame:
+    """``rows`` with fingerprints: for each name, from the columns of its terms and of its text's digest, (at, sigs, print): level, the
+    lexicons' signatures at it and at the next, and the fingerprint as a string. Step by step, so that nothing is found twice."""
+    names = list(sides)
+    rows = rows.select("*", *[c for name, (terms, _) in sides.items() for c in (level(F.size(terms)).alias(f"_at_{name}"), hashed(F.col(terms)).alias(f"_hashed_{name}"))])
+    masks = [(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(f"_at_{name}") + step) * 2) - 1).alias(f"_mask{step}_{name}") for name in names for step in (0, 1)]
+    rows = rows.select("*", *masks)
+    for step, before in enumerate(("hashed", "kept")):
+        # What a lexicon keeps at a level has what it keeps at the next.
+        of = lambda name, j: F.col(f"_{before}_{name}")[j] if step else F.col(f"_{before}_{name}")
+        found = [F.array(*[kept(of(name, j), j, F.col(f"_mask{step}_{name}")) for j in range(SUBSETS)]).alias(f"_next_{name}" if step else f"_kept_{name}") for name in names]
+        rows = rows.select("*", *found)
+    every = lambda name: F.concat(F.array(F.col(sides[name][0])), F.transform(F.concat(f"_kept_{name}", f"_next_{name}"), lambda x: F.transform(x, lambda y: y["term"])))
+    rows = rows.select("*", *[F.transform(every(name), signature).alias(f"_sigs_{name}") for name in names])
+
+    def whole(name: str) -> Column:
+        terms, digest = sides[name]
+        at, found = F.col(f"_at_{name}"), F.col(f"_sigs_{name}")
+        text = F.array_join(F.transform(found, lambda x: F.when(x == 0, "").otherwise(F.lower(F.lpad(F.hex(x), 16, "0")))), ".")
+        own = F.struct(at.alias("at"), F.slice(found, 2, 2 * SUBSETS).alias("sigs"), F.concat(F.lit("l"), at.cast("string"), F.lit("."), text).alias("print"))
+        bare = F.struct(F.lit(-9).alias("at"), F.array().cast("array<bigint>").alias("sigs"), F.concat(F.lit("t."), F.lower(F.hex(digest))).alias("print"))
+        return F.when(F.size(terms) > 0, own).otherwise(bare).alias(name)
+
+    kept_columns = [c for c in rows.columns if not c.startswith(("_at_", "_hashed_", "_mask", "_kept_", "_next_", "_sigs_"))]
+    return rows.select(*kept_columns, *map(whole, names))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -166,8 +185,8 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     held = exploded.join(band.select("term", F.lit(True).alias("in")), "term", "left").where("in OR of < 0")
     of = lambda *which: F.collect_list(F.when(F.col("of").isin(*which), F.col("term")))
     found = held.groupBy("id").agg(F.max("doc").alias("doc"), of(0).alias("both"), of(1).alias("own"), of(2).alias("other"))
-    own, other = F.concat("both", "own"), F.concat("both", "other")
-    rows = saved(found.select("doc.*", printed(own, F.col("doc.digest")).alias("fp"), printed(other, F.col("doc.edited_digest")).alias("edited_fp")), "imatch-prints")
+    found = found.select("doc", F.col("doc.digest").alias("own_digest"), F.col("doc.edited_digest").alias("other_digest"), F.concat("both", "own").alias("own"), F.concat("both", "other").alias("other"))
+    rows = saved(printed(found, {"fp": ("own", "own_digest"), "edited_fp": ("other", "other_digest")}).select("doc.*", "fp", "edited_fp"), "imatch-prints")
     rows = rows.withColumn("no_next", F.col("next_key").isNull()).withColumn("next_key", F.coalesce("next_key", F.lit(0)))
     following = rows.select(F.coalesce("key", F.lit(0)).alias("next_key"), F.col("key").isNull().alias("no_next"), F.col("digest").alias("next_digest"), F.col("fp").alias("next_fp")).dropDuplicates(["next_key", "no_next", "next_digest"])
     return rows.join(following, ["next_key", "no_next", "next_digest"]).select(
