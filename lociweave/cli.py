@@ -9,10 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lociweave.jobs import admix, convert, fixed, impute, joint
-from lociweave.jobs.tiles import tiles
+from lociweave.jobs.tiles import settle, tiles
 from lociweave.operators import calls, labels
 from lociweave.operators.sites import chunked, ranked
-from lociweave.session import settled
+from lociweave.session import fits, settled
 from lociweave.sources import beagle, matrix, model, vcf
 
 #: Sites in a chunk if a contig is to be one.
@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "impute":
             s.add_argument("--fixed", nargs="*", default=[], choices=["er", "p", "pi"])
             s.add_argument("--grid", type=int, default=1)
+            s.add_argument("--least-info", type=float, default=0.0, help="leave out sites of a lower INFO, and list them")
             s.add_argument("--refill", type=int, default=2, choices=range(4))
             s.add_argument("--rfile", help="start point: a row of the three transition rates a grid")
             s.add_argument("--write-hapsum", action="store_true", help="keep how much clusters are used, which admix then takes as their prior")
@@ -81,13 +82,18 @@ def inputs(spark: SparkSession, path: str, chunk: int) -> tuple[DataFrame, DataF
     sites = settled(chunked(markers.drop("line"), chunk or WHOLE), "sites")
     longest = sites.groupBy("chunk_id").count().agg(F.max("count")).first()[0] or 1
     samples = spark.range(len(names)).withColumnRenamed("id", "sample_idx")
-    return sites, settled(tiles(known, sites, longest, samples=samples), "tiles", large_rows=True), names
+    return sites, settle(tiles(known, sites, longest, samples=samples)), names
 
 
-def write_vcf(posteriors: DataFrame, sites: DataFrame, names: list[str], path: str) -> None:
+def write_vcf(posteriors: DataFrame, sites: DataFrame, names: list[str], path: str, least_info: float = 0.0) -> None:
+    """Sites whose INFO is less than ``least_info`` aren't written, but listed beside the file."""
     gp = settled(posteriors.join(sites.select("site_idx", "chunk_id", "chunk_pos"), ["chunk_id", "chunk_pos"]), "posteriors")
     contigs = [r["contig"] for r in sites.select("contig").distinct().orderBy("contig").collect()]
-    vcf.written(vcf.lines(calls.called(gp), calls.site_scores(gp, len(names)), sites, len(names)), contigs, names, path)
+    scores = settled(calls.site_scores(gp, len(names)), "scores")
+    if least_info > 0:
+        low = scores.where(F.col("info") < least_info).join(sites.select("site_idx", "contig", "pos"), "site_idx")
+        low.orderBy("contig", "pos", "site_idx").select(F.concat_ws("\t", "contig", "pos", "info").alias("value")).write.text(f"{path}.left-out")
+    vcf.written(vcf.lines(calls.called(gp), scores.where(F.col("info") >= least_info), sites, len(names)), contigs, names, path)
 
 
 def run_impute(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -99,7 +105,7 @@ def run_impute(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.rfile:
         start = fixed.with_given_rates(settled(start, "start"), matrix.read(spark, args.rfile))
     used, after, _ = impute.fit(held, sites, options, start)
-    write_vcf(impute.posteriors(held, used, args.clusters), sites, names, f"{args.out}/vcf")
+    write_vcf(impute.posteriors(held, used, args.clusters), sites, names, f"{args.out}/vcf", args.least_info)
     hap = settled(impute.used_haplotypes(held, used, args.clusters), "hap") if args.write_hapsum or args.text else None
     model.saved(f"{args.out}/model", sites, after, held, args.clusters, grid=args.grid, hap=hap if args.write_hapsum else None)
     if args.text:
@@ -138,7 +144,8 @@ def run_admix(spark: SparkSession, args: argparse.Namespace) -> None:
     clusters = saved["meta"].first()["clusters"]
     keep = {f"keep_{x}": True for x in args.fixed}
     options = admix.Options(clusters=clusters, ancestries=args.ancestries, passes=args.passes, seed=args.seed, enough=args.enough, accelerate=not args.plain, least_prior=args.least_prior, constrain=args.constrain, **keep)
-    evidence = admix.Evidence(saved["tiles"], saved["parameters"], clusters, saved.get("hap"))
+    held = saved["tiles"] if fits(saved["parameters"]) else settle(saved["tiles"])
+    evidence = admix.Evidence(held, saved["parameters"], clusters, saved.get("hap"))
     state = admix.start(evidence.blocks(), options)
     if args.qfile:
         state.q = admix.given_shares(saved["tiles"], matrix.read(spark, args.qfile), options)

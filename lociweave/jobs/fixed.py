@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from lociweave.functions.numbers import frequency, stay
 from lociweave.jobs import kernel
 from lociweave.jobs.impute import model_of
-from lociweave.jobs.tiles import unpacked
+from lociweave.jobs.tiles import supplied, unpacked
 from lociweave.operators.sites import distance
-from lociweave.session import small
 
 
 def parameters(sites: DataFrame, clusters: int) -> DataFrame:
@@ -41,7 +40,7 @@ def states(tiles: DataFrame, model: DataFrame, clusters: int) -> DataFrame:
                 n, s = gamma.shape[:2]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(samples, s)), pa.array(np.full(n * s, b.column("chunk_id")[i].as_py(), np.int32)), pa.array(np.tile(np.arange(s, dtype=np.int32), n)), pa.array(list(gamma.reshape(n * s, -1)), pa.list_(pa.float64()))], ["sample_idx", "chunk_id", "chunk_pos", "gamma"])
 
-    return tiles.join(small(model), "chunk_id").mapInArrow(run, "sample_idx long, chunk_id int, chunk_pos int, gamma array<double>")
+    return supplied(tiles, [model]).mapInArrow(run, "sample_idx long, chunk_id int, chunk_pos int, gamma array<double>")
 
 
 def logliks(tiles: DataFrame, model: DataFrame, clusters: int) -> DataFrame:
@@ -55,7 +54,7 @@ def logliks(tiles: DataFrame, model: DataFrame, clusters: int) -> DataFrame:
                 _, scale = kernel.forward(kernel.emission(gl, p, starts), rates, pi)
                 yield pa.RecordBatch.from_arrays([pa.array(samples), pa.array(np.full(len(samples), b.column("chunk_id")[i].as_py(), np.int32)), pa.array(-np.log(scale).sum(0))], ["sample_idx", "chunk_id", "loglik"])
 
-    return tiles.join(small(model), "chunk_id").mapInArrow(run, "sample_idx long, chunk_id int, loglik double")
+    return supplied(tiles, [model]).mapInArrow(run, "sample_idx long, chunk_id int, loglik double")
 
 
 def priors(model: DataFrame, clusters: int) -> DataFrame:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from lociweave.functions.numbers import LEAST_JUMP, LEAST_RATE, MEGABASE, MOST_RATE, POPULATION
 from lociweave.jobs import kernel
-from lociweave.jobs.tiles import arrays_of, by_chunk, flat, summed, unpacked
-from lociweave.session import forget, settled, small
+from lociweave.jobs.tiles import arrays_of, by_chunk, flat, summed, supplied, unpacked
+from lociweave.session import forget, settled
 
 PARAMETERS = "chunk_id int, sites int, starts array<int>, distance array<double>, er array<double>, pi array<double>, p array<double>"
 STATISTICS = "chunk_id int, loglik double, samples double, ref array<double>, alt array<double>, jump array<double>, hap array<double>"
@@ -73,7 +73,7 @@ def expected(tiles: DataFrame, parameters: DataFrame, clusters: int) -> DataFram
         loglik, sums = kernel.impute_counts(gl, p, starts, rates, pi)
         return {"loglik": loglik.sum(), "samples": float(len(samples))} | sums
 
-    return tiles.join(small(parameters), "chunk_id").mapInArrow(lambda batches: by_chunk(batches, counted), STATISTICS)
+    return supplied(tiles, [parameters]).mapInArrow(lambda batches: by_chunk(batches, counted), STATISTICS)
 
 
 def refilled(p: np.ndarray, hap: np.ndarray, starts: np.ndarray, how: int, tol: float, seed: list) -> np.ndarray:
@@ -148,7 +148,7 @@ def posteriors(tiles: DataFrame, parameters: DataFrame, clusters: int) -> DataFr
                     ["sample_idx", "chunk_id", "chunk_pos", "gp0", "gp1", "gp2"],
                 )
 
-    return tiles.join(small(parameters), "chunk_id").mapInArrow(run, "sample_idx long, chunk_id int, chunk_pos int, gp0 double, gp1 double, gp2 double")
+    return supplied(tiles, [parameters]).mapInArrow(run, "sample_idx long, chunk_id int, chunk_pos int, gp0 double, gp1 double, gp2 double")
 
 
 def used_haplotypes(tiles: DataFrame, parameters: DataFrame, clusters: int) -> DataFrame:

@@ -3,6 +3,9 @@
 A tile names all samples of its block but holds only cells with reads; a cell without is as likely under each genotype. Tiles have
 a bounded number of samples and cells, so a chunk of any number of samples is spread over many tasks, and parameters reach a
 tile as one row of its chunk. Tiles of a chunk are neighbours, so that a task adds up what it finds before it hands anything on.
+
+Tiles are read in every pass, so they stay where they are: their table is bucketed by chunk and slot (some blocks of samples), and what a
+pass needs, parameters by chunk and shares by block, is broadcast where it is small, and else sent to the buckets.
 """
 
 from __future__ import annotations
@@ -14,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.session import settled, small
+from lociweave.session import bucketed, fits, settled, small
 
 #: Samples x sites in a tile, about, and samples.
 TILE_CELLS, TILE_SAMPLES = 1 << 17, 64
+#: Tiles of a chunk that share a slot, and so the parameters that are sent to it.
+SLOT_TILES = 32
 #: Values that a task adds up by block before it hands them on.
 HELD_VALUES = 1 << 22
 
@@ -27,10 +32,10 @@ def block_of(blocks: int):
 
 
 def tiles(cells: DataFrame, sites: DataFrame, chunk: int, cells_a_tile: int = TILE_CELLS, samples: DataFrame | None = None) -> DataFrame:
-    """chunk_id, block, the block's samples in ascending order, and the cells (sample_idx, chunk_pos, gl0, gl1, gl2) of each.
+    """chunk_id, slot, block, the block's samples in ascending order, and the cells (sample_idx, chunk_pos, gl0, gl1, gl2) of each.
 
     ``samples`` (sample_idx) names all samples; without it, they are those that have a cell. Every pair of a chunk and a block
-    is a tile, with or without cells.
+    is a tile, with or without cells. ``settle`` writes them.
     """
     samples = (cells.select("sample_idx") if samples is None else samples.select("sample_idx")).distinct()
     samples = settled(samples, "samples")
@@ -38,13 +43,41 @@ def tiles(cells: DataFrame, sites: DataFrame, chunk: int, cells_a_tile: int = TI
     members = settled(samples.groupBy(block_of(blocks).alias("block")).agg(F.sort_array(F.collect_list("sample_idx")).alias("samples")), "blocks")
     chunks = sites.select("chunk_id").distinct()
     count = blocks * max(1, chunks.count())
-    tasks = min(count, max(2 * cells.sparkSession.sparkContext.defaultParallelism, count // 64))
+    slots = -(-blocks // SLOT_TILES)
     placed = cells.join(sites.select("site_idx", "chunk_id", "chunk_pos"), "site_idx")
     cell = F.struct("sample_idx", "chunk_pos", "gl0", "gl1", "gl2")
     rows = placed.select("chunk_id", block_of(blocks).alias("block"), cell.alias("cell"))
     rows = rows.union(chunks.select("chunk_id", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.lit(None).cast(rows.schema["cell"].dataType)))
-    found = rows.repartitionByRange(tasks, "chunk_id", "block").groupBy("chunk_id", "block").agg(F.collect_list("cell").alias("cells"))
-    return found.join(small(members), "block").select("chunk_id", "block", "samples", "cells").sortWithinPartitions("chunk_id", "block")
+    found = rows.withColumn("slot", F.col("block") % slots).groupBy("chunk_id", "slot", "block").agg(F.collect_list("cell").alias("cells"))
+    out = found.join(small(members), "block").select("chunk_id", "slot", "block", "samples", "cells")
+    out._buckets = min(count, max(4 * cells.sparkSession.sparkContext.defaultParallelism, count // 64))
+    return out
+
+
+def settle(found: DataFrame) -> DataFrame:
+    """The table of tiles, from ``tiles`` or from files of them."""
+    if not (buckets := getattr(found, "_buckets", 0)):
+        count = found.count()
+        buckets = max(1, min(count, max(4 * found.sparkSession.sparkContext.defaultParallelism, count // 64)))
+    return bucketed(found, "tiles", buckets, ["chunk_id", "slot"], ["chunk_id", "slot", "block"])
+
+
+def supplied(tiles: DataFrame, by_chunk: list[DataFrame], q: DataFrame | None = None) -> DataFrame:
+    """``tiles`` with the columns of tables that have a row a chunk, and of one that has a row a block (block, q)."""
+    if all(map(fits, by_chunk + ([] if q is None else [q]))):
+        for table in by_chunk:
+            tiles = tiles.join(F.broadcast(table), "chunk_id")
+        return tiles if q is None else tiles.join(F.broadcast(q), "block")
+    sent = tiles.select("chunk_id", "slot").distinct()
+    for table in by_chunk:
+        sent = sent.join(table, "chunk_id")
+    if q is None:
+        return tiles.join(sent.hint("shuffle_hash"), ["chunk_id", "slot"])
+    # The shares of a slot's blocks, some of them, go with its parameters.
+    shares = tiles.select("slot", "block").distinct().join(q, "block").groupBy("slot").agg(F.collect_list(F.struct("block", "q")).alias("qs"))
+    rows = tiles.join(sent.join(shares, "slot").hint("shuffle_hash"), ["chunk_id", "slot"])
+    own = F.element_at(F.filter("qs", lambda x: x["block"] == F.col("block")), 1)
+    return rows.withColumn("q", own["q"]).drop("qs")
 
 
 def flat(column: pa.Array, i: int) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lociweave import fixtures
 from lociweave.functions.numbers import rounded
 from lociweave.jobs import admix, fixed, impute, joint
-from lociweave.jobs.tiles import summed, tiles
+from lociweave.jobs.tiles import settle, summed, tiles
 from lociweave.operators import calls, labels
 from lociweave.queries.registry import CELLS, RATES, SITES, freq, query, r
 from lociweave.session import settled
@@ -63,7 +63,7 @@ _FULL = f"{_BASE}, {_BACKWARD}"
 def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Settled tiles, sites and parameters by rule."""
     sites = settled(fixtures.sites(spark, sf_dir), "sites")
-    held = settled(tiles(fixtures.cells(spark, sf_dir), sites, fixtures.CHUNK, samples=fixtures.samples(spark, sf_dir)), "tiles", large_rows=True)
+    held = settle(tiles(fixtures.cells(spark, sf_dir), sites, fixtures.CHUNK, samples=fixtures.samples(spark, sf_dir)))
     return held, sites, settled(fixed.parameters(sites, C), "parameters")
 
 

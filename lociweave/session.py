@@ -46,17 +46,35 @@ def settled(df: DataFrame, what: str, large_rows: bool = False) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, what: str, buckets: int, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` written as a table of so many buckets by some columns, of a file each, in order, and read back: a join on these columns
+    leaves its rows where they are."""
+    spark, name = df.sparkSession, f"{what}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    dealt = df.repartition(buckets, *by).sortWithinPartitions(*order)
+    dealt.write.options(**LARGE_ROWS).option("path", path).bucketBy(buckets, *by).sortBy(*order).saveAsTable(name)
+    out = spark.table(name)
+    out._settled_at, out._table = path, name
+    return out
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Delete the files of settled tables that no later step reads."""
     for df in tables:
+        if name := getattr(df, "_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if path := getattr(df, "_settled_at", None):
             sc = df.sparkSession.sparkContext
             at = sc._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """``df``, marked for broadcast if Spark's estimate of its size is within ``most`` bytes (a file's size, for what was read from
-    files); else unmarked."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= most else df
+def fits(df: DataFrame, most: int | None = None) -> bool:
+    """Whether Spark's estimate of a table's size is within ``most`` bytes (a file's size, for what was read from files)."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= (BROADCAST_BYTES if most is None else most)
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df``, marked for broadcast if it fits; else unmarked."""
+    return F.broadcast(df) if fits(df, most) else df

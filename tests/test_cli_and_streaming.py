@@ -35,6 +35,11 @@ def test_files_through_all_jobs(spark, tmp_path):
     assert again == text("p")
     rows = vcf.read(spark, str(tmp_path / "imp/vcf")).orderBy("contig", "pos").collect()
     assert len(rows) == 30 and rows[0]["contig"] == "chr_1" and len(rows[0]["samples"]) == 6
+    run(spark, "impute", "--input", tmp_path / "gl", "--out", tmp_path / "few", "--clusters", 3, "--passes", 2, "--chunk", 8, "--least-info", "0.9")
+    few = {(r["contig"], r["pos"]) for r in vcf.read(spark, str(tmp_path / "few/vcf")).collect()}
+    low = {(r["contig"], r["pos"]) for r in rows if float(r["info"].split("=")[1].split(";")[0]) < 0.9}
+    listed = {(x[0], int(x[1])) for x in (r["value"].split("\t") for r in spark.read.text(str(tmp_path / "few/vcf.left-out")).collect())}
+    assert low == listed and few == {(r["contig"], r["pos"]) for r in rows} - low and low
     gt = {0: "0/0", 2: "1/0", 3: "1/1"}
     same = [(gt[c], s["GT"]) for r, own in zip(rows, codes) for c, s in zip(own, r["samples"]) if c != 1]
     assert sum(a == b for a, b in same) / len(same) > 0.95

@@ -6,9 +6,10 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lociweave.jobs import admix, impute, joint
-from lociweave.jobs.tiles import tiles
+from lociweave.jobs.tiles import settle, tiles
 from lociweave.operators.sites import chunked
 from lociweave.session import settled
 
@@ -39,7 +40,7 @@ def data(spark):
     rows = [r for r in rows if r[:2] != (7, 3) and not (r[1] == 5 and r[0] < 60)]  # sample 5 has no reads in the first chunk
     cells = spark.createDataFrame(rows, "site_idx long, sample_idx long, gl0 double, gl1 double, gl2 double")
     sites = settled(chunked(spark.createDataFrame([("1", s, 1000 * (s + 1)) for s in range(M)], "contig string, site_idx long, pos long"), 60), "sites")
-    return settled(tiles(cells, sites, 60, 600), "tiles", large_rows=True), sites, truth
+    return settle(tiles(cells, sites, 60, 600)), sites, truth
 
 
 def dosages(gp):
@@ -115,3 +116,65 @@ def test_step_length():
     assert admix.step_length(9.0, 1.0, 4.0) == (3.0, 4.0)
     assert admix.step_length(100.0, 1.0, 4.0) == (4.0, 16.0)
     assert admix.step_length(1.0, 0.0, 4.0) == (1.0, 4.0)
+
+
+def moved(df) -> list[list[str]]:
+    """Of each scan of tiles that has cells, the exchanges above it."""
+    out = []
+
+    def walk(p, above):
+        name = p.nodeName()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            return walk(p.executedPlan(), above)
+        if "QueryStage" in p.getClass().getSimpleName():
+            return walk(p.plan(), above)
+        if name.startswith("Scan") and "cells" in p.schema().catalogString():
+            out.append(above)
+        for i in range(p.children().size()):
+            walk(p.children().apply(i), above + [name] * ("Exchange" in name))
+
+    walk(df._jdf.queryExecution().executedPlan(), [])
+    return out
+
+
+@pytest.mark.parametrize("slot_tiles", [32, 2])
+def test_passes_leave_tiles_where_they_are(data, spark, monkeypatch, slot_tiles):
+    """With nothing broadcast, each pass gives the same, and no exchange stands above the tiles."""
+    from lociweave import session
+    from lociweave.jobs import tiles as tiles_
+
+    held, sites, _ = data
+    monkeypatch.setattr(tiles_, "SLOT_TILES", slot_tiles)
+    if slot_tiles == 2:
+        cells = held.select("chunk_id", F.explode("cells").alias("x")).select("chunk_id", "x.*").join(sites.select("chunk_id", "chunk_pos", "site_idx"), ["chunk_id", "chunk_pos"])
+        held = tiles_.settle(tiles_.tiles(cells.select("site_idx", "sample_idx", "gl0", "gl1", "gl2"), sites, 60, 600, samples=spark.range(N).withColumnRenamed("id", "sample_idx")))
+        assert held.select("slot").distinct().count() > 1
+    sums = lambda df, key: {r[key]: [x for c in df.columns if c != key for x in np.ravel(r[c])] for r in tiles_.summed(df, key, [c for c in df.columns if c != key]).collect()}
+    parameters = settled(impute.start(sites, impute.Options(clusters=C, seed=3)), "start")
+    options = admix.Options(clusters=C, ancestries=K, seed=2)
+    evidence = admix.Evidence(held, parameters, C)
+    state = admix.start(evidence.blocks(), options)
+    joined = joint.Options(clusters=C, ancestries=K, seed=2)
+    joint_parameters, joint_state = joint.start(held, sites, joined)
+
+    def passes():
+        return impute.expected(held, parameters, C), admix.expected(evidence, state, options), joint.expected(held, joint_parameters, joint_state, joined)
+
+    def found():
+        one, two, three = passes()
+        return sums(one, "chunk_id"), [sums(x.where("chunk_id IS NOT NULL").select("chunk_id", "loglik", "values"), "chunk_id") for x in (two, three)], [sums(x.where("block IS NOT NULL").select("block", "values"), "block") for x in (two, three)]
+
+    def flat(x):
+        return [v for d in ([x[0]] + x[1] + x[2]) for k in sorted(d) for v in d[k]]
+
+    want = flat(found())
+    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = flat(found())
+        for df in passes():
+            df.collect()
+            assert moved(df) == [[]]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    np.testing.assert_allclose(got, want, rtol=1e-9, atol=1e-12)
