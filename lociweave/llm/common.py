@@ -72,6 +72,12 @@ def record_key(key: str, text: str) -> Column:
     return F.coalesce(F.col(key).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns of names that no operator uses, and each column's new name; ``toDF(*docs.columns)`` gives the old ones back."""
+    new = {c: f"column {i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*new.values()), new
+
+
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Texts may be long: have Arrow send at most so many bytes, or one row, at once."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import saved, slices, small, small_batches
+from lociweave.llm.common import renamed, saved, slices, small, small_batches
 
 SHINGLE = 5
 CONTAINED = 0.8
@@ -171,6 +171,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     """key, item, n_shingles, n_shared, containment: the items of which a document has the share ``contained`` or more."""
     spark = docs.sparkSession
     small_batches(spark)
+    whole = {"tinyint": "int", "smallint": "int"}.get(kind := items.schema[item].dataType.simpleString(), kind)  # ids of any type are longs, ints or strings
+    items = items.withColumn(item, F.col(item).cast(whole if whole in ("int", "bigint") else "string"))
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
     rows = items.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
     sketches = saved(rows.mapInArrow(_sketched(n), f"item {item_kind}, length int, n int, size int, shingles array<long>, slots array<long>").where("n > 0"), "leak-items")
@@ -202,5 +204,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
 def cleaned(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """``docs`` without the documents that contain an item."""
-    found = saved(leaks(docs, items, key, text, **how).select(F.col(key).alias("_leak")).distinct(), "leak-keys")
-    return docs.join(small(found), F.col(key).eqNullSafe(F.col("_leak")), "left_anti")
+    names = docs.columns
+    docs, name = renamed(docs)
+    found = saved(leaks(docs, items, name[key], name[text], **how).select(F.col(name[key]).alias("_leak")).distinct(), "leak-keys")
+    return docs.join(small(found), F.col(name[key]).eqNullSafe(F.col("_leak")), "left_anti").toDF(*names)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import hash60, record_key, saved, slices, small_batches
+from lociweave.llm.common import hash60, record_key, renamed, saved, slices, small_batches
 
 #: Labelled rows a language that the classifier is fitted on, about.
 SAMPLE = 1500
@@ -195,4 +195,6 @@ def predictions(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
 
 def accepted(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``docs`` without the rows whose text has no letter or is far from every centroid."""
-    return identified(docs, fit(docs, key, text, lang), docs.columns, text).where("NOT _rejected").select(*docs.columns)
+    rows, name = renamed(docs)
+    kept = identified(rows, fit(docs, key, text, lang), rows.columns, name[text]).where("NOT _rejected")
+    return kept.select(*rows.columns).toDF(*docs.columns)

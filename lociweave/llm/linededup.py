@@ -33,9 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import saved, slices, small_batches
+from lociweave.llm.common import renamed, saved, slices, small_batches
 
 LEAST_WORDS = 10
+#: Places of a run in its first document that go to the documents which hold it too.
+PLACES = 64
 _BLANK = b" \t\r\v\f"
 
 
@@ -192,7 +194,9 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     # A run's places in one document are few; documents that hold it may be many, and are counted, not gathered. Rows of an
     # equal key are one document here. Both sides of each join are tables, so that Spark can split a hot run's partition.
     held = saved(each.join(saved(shared, "line-holders"), ["h", "g"]), "line-places")
-    firsts = held.where("key = first").groupBy("h", "g").agg(F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("own", "ends")))).alias("firsts"))
+    # Of a run that its first document repeats, some places are enough: it is no anchor, and what it deletes is the same at any of them.
+    places = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.slice(F.arrays_zip("own", "ends"), 1, PLACES))))), 1, PLACES)
+    firsts = held.where("key = first").groupBy("h", "g").agg(places.alias("firsts"))
     pairs = held.where("key > first").join(saved(firsts, "line-firsts"), ["h", "g"]).select("first", "key", "h", "g", "own", "ends", "firsts")
     ordered = pairs.repartition("first", "key").sortWithinPartitions("first", "key", "h", "g")
     return ordered.mapInArrow(_aligned(), f"first {kind}, key {kind}, at_first int, at int, to int")
@@ -209,6 +213,9 @@ def spans(found: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_WORDS, removed: str = "n_removed") -> DataFrame:
     """``docs`` without the repeated blocks in ``text``, and the number of lines removed."""
+    names = [c for c in docs.columns if c != removed]
+    docs, name = renamed(docs.select(*names))
+    key, text = name[key], name[text]
     gone = spans(blocks(docs, key, text, least)).withColumnRenamed("key", "_line_key")
     # Texts and deletions are joined by shuffle at every size: deletions grow with the documents.
     rows = docs.join(saved(gone, "line-gone").hint("merge"), F.col(key) == F.col("_line_key"), "left").drop("_line_key")
@@ -218,5 +225,5 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     stops = F.concat(F.transform("gone", lambda s: s["at"]), F.array(F.size("_lines")))
     kept = F.flatten(F.zip_with(begins, stops, lambda i, j: F.slice("_lines", i + 1, F.greatest(j - i, F.lit(0)))))
     rows = rows.withColumn("_lines", F.when(F.col("gone").isNotNull(), lines)).withColumn("_kept", F.when(F.col("_lines").isNotNull(), kept))
-    out = {removed: F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)), text: F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n"))}
-    return rows.withColumns(out).drop("_lines", "_kept", "gone")
+    out = {"_removed": F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)), text: F.when(F.col("_kept").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n"))}
+    return rows.withColumns(out).select(*docs.columns, "_removed").toDF(*names, removed)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import WORD, hash60, record_key, saved, small
+from lociweave.llm.common import WORD, hash60, record_key, renamed, saved, small
 
 #: Sources by code point, null last, get these weights in turn.
 WEIGHTS = (1, 2, 3)
@@ -115,6 +115,9 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mixed documents, with the columns of ``docs``; a document that is taken twice is two rows."""
+    names = docs.columns
     _, limits = plan(docs, key, text, source, **how)
+    docs, name = renamed(docs)
+    key, text, source = name[key], name[text], name[source]
     copies = _with_goals(docs, limits, source).withColumn("_mix_copies", _copies(hash60(record_key(key, text))))
-    return copies.where("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    return copies.where("_mix_copies > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns).toDF(*names)

@@ -28,7 +28,7 @@ All is SQL expressions on one row: texts are split at the matches and put togeth
 
 Defined results: a null text stays null, an empty one empty; values that don't validate stay as they are; of overlapping
 matches the first and longest kind listed counts; equal rows get equal results; an empty table gives no rows; other columns
-pass through unread.
+pass through unread, and a column of the name given to the count of values is replaced.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociweave.llm.common import renamed
+
 ROUNDS = 8
 #: Times that a network is applied at first to reach a valid value again, which leaves fewer than one of 10^10 values to go on.
 WALKS = 24
@@ -248,9 +250,13 @@ def pseudonym(m: Column, key: str) -> Column:
 
 def pseudonymised(docs: DataFrame, key: str, text: str = "text", found: str = "n_values") -> DataFrame:
     """``docs`` with the values in ``text`` replaced, and the number of values that were."""
-    rows = docs.withColumn("_matches", F.regexp_extract_all(F.col(text), F.lit(PATTERN), 0))
+    names = [c for c in docs.columns if c != found]
+    plain, name = renamed(docs.select(*names))
+    text = name[text]
+    rows = plain.withColumn("_matches", F.regexp_extract_all(F.col(text), F.lit(PATTERN), 0))
     rows = rows.withColumn("_new", F.transform("_matches", lambda m: pseudonym(m, key)))
     pieces = F.zip_with(F.split(F.col(text), PATTERN, -1), F.zip_with("_new", "_matches", lambda new, m: F.coalesce(new, m)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     whole = F.when(F.size("_matches") > 0, F.array_join(pieces, "")).otherwise(F.col(text))
     count = F.coalesce(F.size(F.filter("_new", lambda x: x.isNotNull())), F.lit(0)).cast("long")
-    return rows.withColumns({text: whole, found: F.when(F.col(text).isNull(), 0).otherwise(count).cast("long")}).drop("_matches", "_new")
+    out = {text: whole, "_found": F.when(F.col(text).isNull(), 0).otherwise(count).cast("long")}
+    return rows.withColumns(out).select(*plain.columns, "_found").toDF(*names, found)

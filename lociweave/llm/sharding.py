@@ -6,7 +6,7 @@ as the row count asks for; parts are counted, their counts summed up, and rows n
 sees a whole shard. Wholly equal rows are counted first and numbered as one, so that they may be any number.
 
 Defined results: a null text has no bytes and the checksum of the empty text; a null key is replaced by the text's digest;
-equal rows get consecutive slots; an empty table gives no rows.
+equal rows get consecutive slots; an empty table gives no rows; with_shard replaces a column of the name given to the shard.
 """
 
 from __future__ import annotations
@@ -53,8 +53,11 @@ def slots(rows: DataFrame, shard: str, order: list[str], part_rows: int = PART_R
     within = W.partitionBy(shard, "_part").orderBy(*[F.col(c).asc_nulls_first() for c in order])
     numbered = groups.withColumn("_before", F.sum("_n").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("_n"))
     placed = numbered.join(small(saved(starts, "slot-starts")), (F.col(shard) == F.col("_shard")) & (F.col("_part") == F.col("_of")))
-    first = F.col("_start") + F.col("_before")
-    return placed.withColumn("slot", F.explode(F.sequence(first, first + F.col("_n") - 1))).select(*columns, "slot")
+    # Equal rows get their slots in two steps, so that any number of them is never one long array.
+    step = F.ceil(F.sqrt("_n")).cast("long")
+    begun = placed.withColumns({"_step": step, "_from": F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / step)))})
+    begun = begun.withColumns({"_low": F.col("_from") * F.col("_step"), "_high": F.least((F.col("_from") + 1) * F.col("_step"), F.col("_n")) - 1})
+    return begun.withColumn("_at", F.explode(F.sequence("_low", "_high"))).select(*columns, (F.col("_start") + F.col("_before") + F.col("_at")).alias("slot"))
 
 
 def assigned(docs: DataFrame, weights: tuple = SHARDS, key: str = "doc_id", text: str = "text", extra_weight: float = 1.0) -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.llm.common import forget, saved, slices, small_batches
+from lociweave.llm.common import forget, renamed, saved, slices, small_batches
 
 #: Words in a shingle.
 SHINGLE = 3
@@ -128,7 +128,10 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each component: the one of least key, of its least text digest; of equal ones any."""
+    rows, name = renamed(docs)
+    key, text = name[key], name[text]
     own = [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"), F.col(key).isNull().alias("_none"), F.xxhash64(F.col(text)).alias("_digest")]
-    prints = saved(fingerprints(docs, [F.col(key).alias("least"), *own], text, n), "simhash")
+    prints = saved(fingerprints(rows, [F.col(key).alias("least"), *own], text, n), "simhash")
     kept = grouped(prints, F.struct("_none", "least", "_digest", "_key")).select("least._key", "least._none", "least._digest").distinct()
-    return docs.select("*", *own).join(kept, ["_key", "_none", "_digest"], "left_semi").dropDuplicates(["_key", "_none", "_digest"]).select(*docs.columns)
+    kept = rows.select("*", *own).join(kept, ["_key", "_none", "_digest"], "left_semi").dropDuplicates(["_key", "_none", "_digest"])
+    return kept.select(*rows.columns).toDF(*docs.columns)
