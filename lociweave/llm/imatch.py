@@ -117,14 +117,18 @@ def level(n: Column) -> Column:
     return F.least(F.greatest(F.lit(1), F.round(F.log(4.0, F.greatest(n, F.lit(1)).cast("double")))), F.lit(LEVELS - 1)).cast("int")
 
 
-def hashed(terms: Column) -> Column:
-    """Each term with the bits of four lexicons a word."""
-    return F.transform(terms, lambda x: F.struct(x.alias("term"), *[F.xxhash64(x, F.lit(100 + i)).alias(f"h{i}") for i in range(SUBSETS // 4)]))
+def hashed(terms: str, of: int) -> Column:
+    """The terms of a column with a mark and the bits of four lexicons a word."""
+    return F.transform(terms, lambda x: F.struct(x.alias("term"), F.lit(of).alias("of"), *[F.xxhash64(x, F.lit(100 + i)).alias(f"h{i}") for i in range(SUBSETS // 4)]))
 
 
-def kept(terms: Column, j: int, mask: Column) -> Column:
-    """Of hashed terms those that lexicon j keeps: those with zeros in the bits of its own that the mask has."""
-    return F.filter(terms, lambda x: F.shiftrightunsigned(x[f"h{j // 4}"], 16 * (j % 4)).bitwiseAND(mask) == 0)
+def kept(terms: Column, j: int, mask: Column, of: int = -1) -> Column:
+    """Of hashed terms those that lexicon j keeps: those with zeros in the bits of its own that the mask has; of a mark, or of none."""
+    def own(x: Column) -> Column:
+        zeros = F.shiftrightunsigned(x[f"h{j // 4}"], 16 * (j % 4)).bitwiseAND(mask) == 0
+        return zeros if of < 0 else zeros & x["of"].isin(0, of)
+
+    return F.filter(terms, own)
 
 
 def signature(terms: Column) -> Column:
@@ -132,64 +136,71 @@ def signature(terms: Column) -> Column:
     return F.when(F.size(terms) > 0, F.xxhash64(F.array_sort(terms))).otherwise(F.lit(0).cast("long"))
 
 
-def printed(rows: DataFrame, sides: dict[str, tuple[str, str]]) -> DataFrame:
-    """``rows`` with fingerprints: for each name, from the columns of its terms and of its text's digest, (at, sigs, print): level, the
-    lexicons' signatures at it and at the next, and the fingerprint as a string. Step by step, so that nothing is found twice."""
-    names = list(sides)
-    rows = rows.select("*", *[c for name, (terms, _) in sides.items() for c in (level(F.size(terms)).alias(f"_at_{name}"), hashed(F.col(terms)).alias(f"_hashed_{name}"))])
-    masks = [(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col(f"_at_{name}") + step) * 2) - 1).alias(f"_mask{step}_{name}") for name in names for step in (0, 1)]
-    rows = rows.select("*", *masks)
-    for step, before in enumerate(("hashed", "kept")):
-        # What a lexicon keeps at a level has what it keeps at the next.
-        of = lambda name, j: F.col(f"_{before}_{name}")[j] if step else F.col(f"_{before}_{name}")
-        found = [F.array(*[kept(of(name, j), j, F.col(f"_mask{step}_{name}")) for j in range(SUBSETS)]).alias(f"_next_{name}" if step else f"_kept_{name}") for name in names]
-        rows = rows.select("*", *found)
-    every = lambda name: F.concat(F.array(F.col(sides[name][0])), F.transform(F.concat(f"_kept_{name}", f"_next_{name}"), lambda x: F.transform(x, lambda y: y["term"])))
-    rows = rows.select("*", *[F.transform(every(name), signature).alias(f"_sigs_{name}") for name in names])
-
-    def whole(name: str) -> Column:
-        terms, digest = sides[name]
-        at, found = F.col(f"_at_{name}"), F.col(f"_sigs_{name}")
-        text = F.array_join(F.transform(found, lambda x: F.when(x == 0, "").otherwise(F.lower(F.lpad(F.hex(x), 16, "0")))), ".")
-        own = F.struct(at.alias("at"), F.slice(found, 2, 2 * SUBSETS).alias("sigs"), F.concat(F.lit("l"), at.cast("string"), F.lit("."), text).alias("print"))
-        bare = F.struct(F.lit(-9).alias("at"), F.array().cast("array<bigint>").alias("sigs"), F.concat(F.lit("t."), F.lower(F.hex(digest))).alias("print"))
-        return F.when(F.size(terms) > 0, own).otherwise(bare).alias(name)
-
-    kept_columns = [c for c in rows.columns if not c.startswith(("_at_", "_hashed_", "_mask", "_kept_", "_next_", "_sigs_"))]
-    return rows.select(*kept_columns, *map(whole, names))
-
-
-def likeness(a: Column, b: Column) -> Column:
+def signed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``fp`` and ``other_fp``: level, and the signatures of all terms and of the lexicons at that level and at the next. Terms
+    are in the columns both (of either text), own and other. Step by step, so that nothing is found twice."""
+    sides = {"own": 1, "other": 2}
+    mask = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at * 2) - 1
+    rows = rows.select("*", *[level(F.size("both") + F.size(side)).alias(f"_at_{side}") for side in sides], F.concat(hashed("both", 0), hashed("own", 1), hashed("other", 2)).alias("_all"))
+    rows = rows.select("*", mask(F.least("_at_own", "_at_other")).alias("_mask"), *[mask(F.col(f"_at_{side}") + step).alias(f"_mask{step}_{side}") for side in sides for step in (0, 1)])
+    # What a lexicon keeps at a level has what it keeps at the next.
+    rows = rows.select("*", F.array(*[kept(F.col("_all"), j, F.col("_mask")) for j in range(SUBSETS)]).alias("_least"))
+    for step, before in enumerate(("_least", "_kept0")):
+        of = lambda side: F.col(before if step == 0 else f"{before}_{side}")
+        rows = rows.select("*", *[F.array(*[kept(of(side)[j], j, F.col(f"_mask{step}_{side}"), mark) for j in range(SUBSETS)]).alias(f"_kept{step}_{side}") for side, mark in sides.items()])
+
+    def whole(side: str) -> Column:
+        lists = F.transform(F.concat(f"_kept0_{side}", f"_kept1_{side}"), lambda x: F.transform(x, lambda y: y["term"]))
+        terms = F.concat("both", side)
+        some = F.struct(F.col(f"_at_{side}").alias("at"), F.concat(F.array(signature(terms)), F.transform(lists, signature)).alias("sigs"))
+        return F.when(F.size(terms) > 0, some).otherwise(F.struct(F.lit(-9).alias("at"), F.array().cast("array<bigint>").alias("sigs")))
+
+    return rows.select(*[c for c in rows.columns if not c.startswith("_")], whole("own").alias("fp"), whole("other").alias("other_fp"))
+
+
+def printed(fp: Column, digest: Column) -> Column:
+    """A fingerprint as a string: level and signatures, or without terms its text's digest."""
+    text = F.array_join(F.transform(fp["sigs"], lambda x: F.when(x == 0, "").otherwise(F.lower(F.lpad(F.hex(x), 16, "0")))), ".")
+    return F.when(fp["at"] < 0, F.concat(F.lit("t."), F.lower(F.hex(digest)))).otherwise(F.concat(F.lit("l"), fp["at"].cast("string"), F.lit("."), text))
+
+
+def likeness(a: Column, b: Column, same_text: Column) -> Column:
     """1 for equal fingerprints; else the share of lexicons with equal signatures, of those that either has, at the levels both have."""
-    x = F.when(a["at"] < b["at"], F.slice(a["sigs"], SUBSETS + 1, SUBSETS)).when(a["at"] > b["at"], F.slice(a["sigs"], 1, SUBSETS)).otherwise(a["sigs"])
-    y = F.when(a["at"] > b["at"], F.slice(b["sigs"], SUBSETS + 1, SUBSETS)).when(a["at"] < b["at"], F.slice(b["sigs"], 1, SUBSETS)).otherwise(b["sigs"])
+    part = lambda x, i, n: F.slice(x["sigs"], 2 + i * SUBSETS, n * SUBSETS)
+    x = F.when(a["at"] < b["at"], part(a, 1, 1)).when(a["at"] > b["at"], part(a, 0, 1)).otherwise(part(a, 0, 2))
+    y = F.when(a["at"] > b["at"], part(b, 1, 1)).when(a["at"] < b["at"], part(b, 0, 1)).otherwise(part(b, 0, 2))
     pairs = F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: (p["x"] != 0) | (p["y"] != 0))
     same = F.size(F.filter(pairs, lambda p: p["x"] == p["y"])) / F.size(pairs)
     near = F.when((F.abs(a["at"] - b["at"]) > 1) | (F.size(pairs) <= 0), 0.0).otherwise(same)
-    return F.when(a["print"] == b["print"], 1.0).otherwise(near)
+    return F.when(F.when(a["at"] < 0, same_text).otherwise(a == b), 1.0).otherwise(near)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_DOCS, share: float = MOST_SHARE) -> DataFrame:
     """One row a document: key, n_chars, the edited text's SHA-256, both fingerprints, and the likeness of the document's to
     the edited text's and to the next document's."""
     band = small(lexicon(docs, text, least, share), BROADCAST_TERMS, BROADCAST_BYTES)
-    rows = edited(docs, key, text).withColumns({"own": terms(F.col("text")), "other": terms(F.col("edited"))})
+    rows = edited(docs, key, text)
     facts = F.struct("key", "digest", "n_chars", "next_key", "next_digest", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("edited").alias("edited_digest"))
+    # Both texts begin alike: up to the last separator before the edit, terms are found once.
+    start = F.substring("text", F.lit(1), F.col("n_chars").cast("int") - F.floor(F.col("n_chars") / 4).cast("int"))
+    rows = rows.select("id", facts.alias("doc"), "text", "edited", (F.length(start) - F.length(F.regexp_extract(start, r"(?<![\p{L}\p{N}])[\p{L}\p{N}]*+\z", 0))).alias("shared"))
+    rest = lambda c: terms(F.substring(c, F.col("shared") + 1, F.length(c)))
+    rows = rows.select("id", "doc", terms(F.substring("text", F.lit(1), F.col("shared"))).alias("head"), rest(F.col("text")).alias("own"), rest(F.col("edited")).alias("other"))
     # A row a term of either text: in both, in the own one, in the edited one. The first of a document carries what else it has; that with
     # no term is of no text.
     mark = lambda x, of: F.transform(x, lambda t: F.struct(t.alias("term"), F.lit(of).alias("of")))
     none = F.array(F.struct(F.lit(None).cast("long").alias("term"), F.lit(-1).alias("of")))
-    each = F.concat(none, mark(F.array_intersect("own", "other"), 0), mark(F.array_except("own", "other"), 1), mark(F.array_except("other", "own"), 2))
-    exploded = rows.select("id", facts.alias("doc"), each.alias("each")).select("id", "doc", F.posexplode("each").alias("place", "x"))
+    rows = rows.select("id", "doc", "head", F.array_except("own", "head").alias("own"), F.array_except("other", "head").alias("other"))
+    each = F.concat(none, mark(F.col("head"), 0), mark(F.array_intersect("own", "other"), 0), mark(F.array_except("own", "other"), 1), mark(F.array_except("other", "own"), 2))
+    exploded = rows.select("id", "doc", each.alias("each")).select("id", "doc", F.posexplode("each").alias("place", "x"))
     exploded = exploded.select("id", F.when(F.col("place") == 0, F.col("doc")).alias("doc"), F.col("x.term").alias("term"), F.col("x.of").alias("of"))
     held = exploded.join(band.select("term", F.lit(True).alias("in")), "term", "left").where("in OR of < 0")
     of = lambda *which: F.collect_list(F.when(F.col("of").isin(*which), F.col("term")))
     found = held.groupBy("id").agg(F.max("doc").alias("doc"), of(0).alias("both"), of(1).alias("own"), of(2).alias("other"))
-    found = found.select("doc", F.col("doc.digest").alias("own_digest"), F.col("doc.edited_digest").alias("other_digest"), F.concat("both", "own").alias("own"), F.concat("both", "other").alias("other"))
-    rows = saved(printed(found, {"fp": ("own", "own_digest"), "edited_fp": ("other", "other_digest")}).select("doc.*", "fp", "edited_fp"), "imatch-prints")
+    rows = saved(signed(found).select("doc.*", "fp", "other_fp"), "imatch-signatures")
     rows = rows.withColumn("no_next", F.col("next_key").isNull()).withColumn("next_key", F.coalesce("next_key", F.lit(0)))
     following = rows.select(F.coalesce("key", F.lit(0)).alias("next_key"), F.col("key").isNull().alias("no_next"), F.col("digest").alias("next_digest"), F.col("fp").alias("next_fp")).dropDuplicates(["next_key", "no_next", "next_digest"])
     return rows.join(following, ["next_key", "no_next", "next_digest"]).select(
-        F.col("key").alias(key), "n_chars", "edited_sha256", F.col("fp.print").alias("fingerprint"), F.col("edited_fp.print").alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        F.col("key").alias(key), "n_chars", "edited_sha256", printed(F.col("fp"), F.col("digest")).alias("fingerprint"), printed(F.col("other_fp"), F.col("edited_digest")).alias("edited_fingerprint"),
+        likeness(F.col("fp"), F.col("other_fp"), F.col("digest") == F.col("edited_digest")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp"), F.col("digest") == F.col("next_digest")).alias("near_next"),
     )

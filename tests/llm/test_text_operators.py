@@ -301,6 +301,16 @@ def test_imatch_matches_definition(spark, part_rows, monkeypatch):
     assert all(len(p) == 1 for p in prints.values())
 
 
+@pytest.mark.parametrize("text", ["one two three\nfour five", "abcdefgh", "abc\n", "a b c d e f\n\n", "x" * 200_000 + " end", "één twee drië vier"])
+def test_imatch_terms_of_both_texts(spark, text):
+    """The edit falls within words, after line breaks, in one long word: the edited text's fingerprint is that of the same text by itself."""
+    own, after = text, "seven eight nine ten eleven"
+    edited = own[: len(own) - len(own) // 4] + after[: len(own) // 4]
+    rows = [(0, own), (1, after), (2, edited), (3, edited + " more"), (4, own + " more"), (5, "seven eight nine"), (6, "seven eight nin"), (7, "sev"), (8, "seven eigh"), (9, "s")]
+    got = {r["doc_id"]: r for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), share=1.0).collect()}
+    assert got[0]["edited_fingerprint"] == got[2]["fingerprint"]
+
+
 def test_imatch_signatures_match_brute_force(spark):
     """Whole term sets, band, lexicons, signatures and likeness computed once more from the terms' hashes."""
     rng = random.Random(9)
