@@ -11,10 +11,10 @@ BASES = ["A", "C", "G", "T"]
 
 def tags(info: Column) -> Column:
     """INFO as a map; flags have a null value. Of a name that occurs more than once, the first counts."""
-    parts = F.filter(F.split(info, ";"), lambda x: x != "")
-    names = F.transform(parts, lambda x: F.substring_index(x, "=", 1))
-    first = F.filter(F.arrays_zip(names.alias("name"), parts.alias("part")), lambda x, i: F.array_position(names, x["name"]) == i + 1)
-    return F.map_from_entries(F.transform(first, lambda x: F.struct(x["name"].alias("key"), F.when(F.contains(x["part"], F.lit("=")), F.substring(x["part"], F.length(x["name"]) + 2, F.length(x["part"]))).alias("value"))))
+    name = lambda x: F.substring_index(x, "=", 1)
+    value = lambda x: F.when(F.contains(x, F.lit("=")), F.substring(x, F.length(name(x)) + 2, F.length(x)))
+    joined = lambda found, x: F.when((x == "") | F.map_contains_key(found, name(x)), found).otherwise(F.map_concat(found, F.create_map(name(x), value(x))))
+    return F.aggregate(F.split(info, ";"), F.create_map().cast("map<string,string>"), joined)
 
 
 def tag(info: Column, name: str) -> Column:
