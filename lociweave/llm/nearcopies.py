@@ -1,12 +1,16 @@
-"""Near copies by the Jaccard index of their five-word shingles: MinHash bands find candidates, their shingles verify them.
+"""Near copies by the Jaccard index of their five-word shingles: SimHash by ball hashing, as in ``simhash``, finds candidates, MinHash
+bands find those too far apart for it, and the shingles verify both.
 
 Distinct texts whose shingles have a Jaccard index of at least ``LEAST`` are linked; of each connected component one row stays.
-A text's MinHash has ``BANDS`` bands of ``ROWS`` values, and texts that share a band are in a bucket: at an index of 0.8 a pair
-shares none with a probability of 7 in 100,000, above it with less. Every pair of a bucket counts, not only those with one
+A text has ``PRINTS`` SimHash fingerprints of ``BITS`` bits, each of other bits of its shingles' hashes. Texts one of whose
+fingerprints differ in two bits or fewer are candidates: at an index of 0.95 nearly all pairs, at 0.8, where 15 in 100 bits differ,
+about 6 in 10. A text's MinHash has ``BANDS`` bands of ``ROWS`` values, and texts that share a band are in a bucket: at an index of 0.8 a
+pair shares none with a probability of 7 in 100,000, above it with less. Every pair of a bucket counts, not only those with one
 member, but pairs within what is known to be one component needn't be looked at. So there are two passes, each of which verifies
 exactly, then joins components:
 
-1. each member of a bucket with its least one, which links nearly all groups of near copies, however large;
+1. the links of the balls (those of equal fingerprints with the least text, that with those of the fingerprints around), and each
+   member of a bucket with its least one, which links nearly all groups of near copies, however large;
 2. in buckets that still have several components, all pairs of different components whose MinHashes agree to ``LEAST_LIKE`` at
    least (four standard errors below ``LEAST``), the likest first. They are compared in tiles of ``BLOCK`` by ``BLOCK`` members or
    ``HELD`` shingles, so that a large bucket is many tasks. A tile has its members' shingles and hands on only the links that join
@@ -22,16 +26,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociweave.llm.common import renamed, saved, slices, small, small_batches
-from lociweave.llm.simhash import components
+from lociweave.llm.simhash import components, links
 
 #: Words in a shingle.
 SHINGLE = 5
 #: The least Jaccard index of a link, as a fraction.
 LEAST = (4, 5)
+#: SimHash fingerprints of a text, and bits of each.
+PRINTS, BITS = 8, 32
 BANDS, ROWS = 24, 5
 LEAST_LIKE = 0.65
 #: Members of a bucket, and shingles of all of them, that a tile has on each side, about.
@@ -39,6 +45,8 @@ BLOCK, HELD = 1024, 4 << 20
 _CHUNK = 1 << 12
 _MIX = np.random.Generator(np.random.PCG64(5)).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
 _XOR, _TIMES = _MIX[0], _MIX[1] | np.uint64(1)
+_SEEDS = np.random.Generator(np.random.PCG64(6)).integers(0, 1 << 64, PRINTS * BITS // 64, np.uint64)
+_ROUNDS = [(np.uint64(shift), np.uint64(times)) for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1))]
 
 
 def shingles(raw: bytes | None) -> np.ndarray:
@@ -57,17 +65,29 @@ def minhash(found: np.ndarray) -> np.ndarray:
     return np.min([((found[at : at + _CHUNK] ^ _XOR) * _TIMES).min(1) for at in range(0, len(found), _CHUNK)], axis=0)
 
 
+def fingerprints(found: np.ndarray) -> np.ndarray:
+    """The ``PRINTS`` SimHash fingerprints of a text's shingles, as longs with the fingerprint's number above its bits."""
+    counts = np.zeros(PRINTS * BITS, np.int64)
+    for at in range(0, len(found), _CHUNK):
+        mixed = found[at : at + _CHUNK, None] + _SEEDS
+        for shift, times in _ROUNDS:
+            mixed = (mixed ^ (mixed >> shift)) * times
+        counts += np.unpackbits(mixed.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    return np.packbits(counts * 2 > len(found), bitorder="little").view("<u4").astype(np.int64) | (np.arange(PRINTS) << BITS)
+
+
 def _sketched(batches):
     h = xxhash.xxh64_intdigest
     for b in slices(batches, "raw"):
-        sizes, bands, sketches = [], [], []
+        sizes, prints, bands, sketches = [], [], [], []
         for raw in b.column("raw").to_pylist():
             found = shingles(raw)
             least = minhash(found)
             sizes.append(len(found))
+            prints.append(fingerprints(found))
             bands.append(np.array([h(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64))
             sketches.append((least >> np.uint64(8)).astype("<u2").tobytes())
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], [*b.schema.names[:-1], "n", "bands", "sketch"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sizes, pa.int32()), pa.array(prints, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], [*b.schema.names[:-1], "n", "prints", "bands", "sketch"])
 
 
 def _shingled(batches):
@@ -148,13 +168,30 @@ def across(members: DataFrame, roots: DataFrame, prints: DataFrame, texts: DataF
     return saved(tiles.repartition("bucket", "u", "v").sortWithinPartitions("bucket", "u", "v").mapInArrow(_alike, "a long, b long").distinct(), "near-links")
 
 
+def likely(n: str, other: str) -> Column:
+    """Whether sets of such sizes can be near copies."""
+    return F.least(n, other) * LEAST[1] >= F.greatest(n, other) * LEAST[0]
+
+
+def balls(prints: DataFrame) -> DataFrame:
+    """Candidates (a, b), a < b: the links of fingerprints within two bits, and texts of equal fingerprints with the least of them."""
+    each = prints.select("id", "n", F.explode("prints").alias("fp"))
+    heads = saved(each.groupBy("fp").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last")), "near-heads")
+    near = saved(links(heads.select("fp"), BITS), "near-balls")
+    ends = [heads.select(F.col("fp").alias(c), F.col("first.id").alias(f"{c}_id"), F.col("first.n").alias(f"{c}_n")) for c in "ab"]
+    around = near.join(ends[0], "a").join(ends[1], "b").where(likely("a_n", "b_n")).select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    shared = small(saved(heads.where("first.id < last").select("fp", "first"), "near-shared"))
+    equal = each.join(shared, "fp").where((F.col("id") > F.col("first.id")) & likely("n", "first.n")).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
+    return around.where("a < b").union(equal)
+
+
 def rooted(prints: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) of every id with a verified link. ``prints`` is saved: id, first, n, bands and sketch of each distinct text."""
+    """(node, root) of every id with a verified link. ``prints`` is saved: id, first, n, prints, bands and sketch of each distinct text."""
     each = prints.select("id", "n", F.posexplode("bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "id", "n")
     leaders = each.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last")).where("first.id < last").select("bucket", "first")
     held = saved(each.join(saved(leaders, "near-buckets"), "bucket"), "near-members")
-    fit = F.least("n", "first.n") * LEAST[1] >= F.greatest("n", "first.n") * LEAST[0]
-    known = saved(held.where((F.col("id") > F.col("first.id")) & fit).select(F.col("first.id").alias("a"), F.col("id").alias("b")).distinct(), "near-pairs")
+    leading = held.where((F.col("id") > F.col("first.id")) & likely("n", "first.n")).select(F.col("first.id").alias("a"), F.col("id").alias("b"))
+    known = saved(balls(prints).union(leading).distinct(), "near-pairs")
     reps = prints.select("first._key", "first._none", "id")
     edges = verified(known, texts, reps)
     roots = saved(components(edges), "near-components")
@@ -178,8 +215,8 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows = docs.select(F.col(key).alias("least"), *own, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1])
     first = saved(rows.groupBy(F.col("_digest").alias("id")).agg(F.min(F.struct("_none", "least", "_digest", "_key")).alias("first")), "near-firsts")
-    each = rows.mapInArrow(_sketched, f"{kinds}, n int, bands array<long>, sketch binary").select(F.col("_digest").alias("id"), "n", "bands", "sketch")
-    sketched = each.groupBy("id").agg(*[F.any_value(c).alias(c) for c in ("n", "bands", "sketch")])
+    each = rows.mapInArrow(_sketched, f"{kinds}, n int, prints array<long>, bands array<long>, sketch binary").select(F.col("_digest").alias("id"), "n", "prints", "bands", "sketch")
+    sketched = each.groupBy("id").agg(*[F.any_value(c).alias(c) for c in ("n", "prints", "bands", "sketch")])
     prints = saved(sketched.join(first, "id"), "near-prints")
     roots = rooted(prints, rows.withColumnRenamed("_digest", "id"))
     named = first.join(roots, F.col("id") == F.col("node"), "left").select(F.coalesce("root", "id").alias("root"), "first")

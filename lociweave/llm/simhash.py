@@ -61,18 +61,19 @@ def fingerprints(docs: DataFrame, keep: list, text: str = "text", n: int = SHING
     return rows.mapInArrow(_prints(n, seed), f"{kinds}, fp long")
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Verified links (a, b), a < b, of distinct fingerprints: every pair within two bits is connected by them."""
+def links(prints: DataFrame, bits: int = 64) -> DataFrame:
+    """Verified links (a, b), a < b, of distinct fingerprints: every pair within two of the low ``bits`` bits is connected by them; what
+    stands above these must be equal."""
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
-    balls = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("bit")).select(
-        F.when(F.col("bit") < 64, F.col("fp").bitwiseXOR(one)).otherwise(F.col("fp")).alias("variant"),
-        F.when(F.col("bit") < 64, one).otherwise(F.lit(0).cast("long")).alias("mask"),
-        (F.col("bit") == 64).cast("int").alias("itself"),
+    balls = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("bit")).select(
+        F.when(F.col("bit") < bits, F.col("fp").bitwiseXOR(one)).otherwise(F.col("fp")).alias("variant"),
+        F.when(F.col("bit") < bits, one).otherwise(F.lit(0).cast("long")).alias("mask"),
+        (F.col("bit") == bits).cast("int").alias("itself"),
     )
     groups = balls.groupBy("variant").agg(F.bit_or("mask").alias("mask"), F.max("itself").alias("itself")).where(F.bit_count("mask") + F.col("itself") > 1)
-    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("mask", i) == 1)
+    differing = F.filter(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.getbit("mask", i) == 1)
     members = F.concat(
-        F.transform(bits, lambda i: F.col("variant").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))),
+        F.transform(differing, lambda i: F.col("variant").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))),
         F.when(F.col("itself") == 1, F.array("variant")).otherwise(F.array().cast("array<bigint>")),
     )
     return (

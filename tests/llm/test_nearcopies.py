@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from lociweave.llm import nearcopies
@@ -71,6 +72,77 @@ def test_stage_keeps_one_of_each_group(spark, monkeypatch, block):
     assert Counter(r["doc_id"] for r in got.collect()) == Counter(slow_kept(rows))
 
 
+def close(a, b):
+    """Whether a fingerprint of one text is within two bits of the other's of the same number."""
+    return any((x ^ y).bit_count() <= 2 for x, y in zip(a, b))
+
+
+def test_fingerprints_are_majorities_and_reach_near_copies():
+    rng = random.Random(3)
+    found = np.unique(np.array([rng.getrandbits(64) for _ in range(5001)], np.uint64))
+    bits = np.concatenate([(nearcopies.fingerprints(found) >> i & 1)[:, None] for i in range(nearcopies.BITS)], 1)
+    counts = sum(np.concatenate([(nearcopies.fingerprints(found[i : i + 1]) >> b & 1)[:, None] for b in range(nearcopies.BITS)], 1) for i in range(len(found)))
+    assert (bits == (counts * 2 > len(found))).all() and nearcopies.fingerprints(found).tolist() == [p & 0xFFFFFFFF | i << 32 for i, p in enumerate(nearcopies.fingerprints(found).tolist())]
+    near = {}
+    for share in (0.8, 0.95):
+        hits = 0
+        for _ in range(200):
+            a = np.array([rng.getrandbits(64) for _ in range(400)], np.uint64)
+            k = round(400 * (1 - share) / (1 + share))
+            b = np.concatenate([a[k:], np.array([rng.getrandbits(64) for _ in range(k)], np.uint64)])
+            hits += close(nearcopies.fingerprints(a).tolist(), nearcopies.fingerprints(b).tolist())
+        near[share] = hits / 200
+    assert near[0.95] > 0.98 and 0.5 < near[0.8] < 0.8
+    far = [nearcopies.fingerprints(np.array([rng.getrandbits(64) for _ in range(400)], np.uint64)).tolist() for _ in range(200)]
+    assert not any(close(a, b) for i, a in enumerate(far) for b in far[:i])
+
+
+def test_balls_link_all_close_fingerprints(spark):
+    """Of candidates by ball hashing, those close enough are in one component as by all pairs, and each is close or joined by a third."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(12):
+        base = [rng.getrandbits(32) for _ in range(nearcopies.PRINTS)]
+        for _ in range(rng.randint(1, 7)):
+            rows.append([x ^ sum(1 << b for b in rng.sample(range(32), rng.choice([0, 1, 2, 3, 9]))) for x in base])
+    rows = [(i, 100, [p | j << 32 for j, p in enumerate(r)]) for i, r in enumerate(rows)]
+    rows += [(len(rows), 100, rows[0][2]), (len(rows) + 1, 300, rows[0][2])]  # the last is too long for a near copy
+    got = {(r["a"], r["b"]) for r in nearcopies.balls(spark.createDataFrame(rows, "id long, n int, prints array<long>")).collect()}
+    assert got and all(a < b for a, b in got) and len(rows) - 1 not in {x for p in got for x in p}
+
+    def groups(pairs):
+        root = list(range(len(rows)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        return [frozenset(j for j in range(len(rows)) if find(j) == find(i)) for i in range(len(rows))]
+
+    assert groups(got) == groups((a[0], b[0]) for a in rows[:-1] for b in rows[: a[0]] if close(a[2], b[2]))
+
+
+def test_links_by_fingerprints_alone(spark):
+    """Where no band is shared, SimHash by ball hashing still finds near copies, and the exact index rejects what is none."""
+    rng = random.Random(2)
+    texts = []
+    for _ in range(10):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(400)]
+        texts += [words, changed(rng, words, 2), changed(rng, words, 90)]
+    texts = [" ".join(t).encode() for t in texts]
+    sets = [nearcopies.shingles(t) for t in texts]
+    prints = [nearcopies.fingerprints(s).tolist() if i % 3 < 2 else nearcopies.fingerprints(sets[i - 2]).tolist() for i, s in enumerate(sets)]
+    first = "first struct<_none boolean, least long, _digest long, _key string>"
+    rows = [(i, (False, i, i, str(i)), len(s), p, [rng.getrandbits(63) for _ in range(nearcopies.BANDS)], b"") for i, (s, p) in enumerate(zip(sets, prints))]
+    table = spark.createDataFrame(rows, f"id long, {first}, n int, prints array<long>, bands array<long>, sketch binary")
+    own = spark.createDataFrame([(i, str(i), False, bytearray(t)) for i, t in enumerate(texts)], "id long, _key string, _none boolean, raw binary")
+    got = {(r["node"], r["root"]) for r in nearcopies.rooted(table, own).collect()}
+    assert got == {(i, i - i % 3) for i in range(30) if i % 3 < 2}
+
+
 def test_edges(spark, edge, empty):
     got = nearcopies.deduplicated(edge)
     assert got.columns == edge.columns
