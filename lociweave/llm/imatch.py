@@ -80,7 +80,7 @@ def parted(docs: DataFrame, key: str) -> DataFrame:
 
 
 def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: id, key, digest, n_chars, its edited text, and the next document's key and digest.
+    """One row a document: part, row, key, digest, n_chars, its edited text, and the next document's key and digest; dealt by part.
 
     The edited text's last quarter (rounded down, in code points) is the first as many of the next document, or all it has.
     """
@@ -93,7 +93,7 @@ def edited(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     return rows.select(
-        (F.shiftleft("part", 32) + F.col("row")).alias("id"), "key", "digest", "text", n.cast("long").alias("n_chars"),
+        "part", "row", "key", "digest", "text", n.cast("long").alias("n_chars"),
         F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next.text", F.lit(1), quarter)).alias("edited"),
         F.col("next.key").alias("next_key"), F.col("next.digest").alias("next_digest"),
     )
@@ -107,7 +107,7 @@ def lexicon(docs: DataFrame, text: str = "text", least: int = LEAST_DOCS, share:
     # A text of several copies counts as one, split over them.
     copied = small(saved(digests.where("copies > 1"), "imatch-copies"))
     rows = docs.select(body.alias("text"), F.xxhash64(body).alias("digest")).join(copied, "digest", "left")
-    each = rows.select(F.explode(terms(F.col("text"))).alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("weight"))
+    each = rows.select(F.explode_outer(terms(F.col("text"))).alias("term"), (1.0 / F.coalesce("copies", F.lit(1))).alias("weight")).where("term IS NOT NULL")
     counts = each.groupBy("term").agg(F.round(F.sum("weight")).cast("long").alias("df"))
     return saved(counts.where(F.col("df").between(least, max(least, int(n * share)))).select("term"), "imatch-band")
 
@@ -175,10 +175,12 @@ def likeness(a: Column, b: Column, same_text: Column) -> Column:
     return F.when(F.when(a["at"] < 0, same_text).otherwise(a == b), 1.0).otherwise(near)
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_DOCS, share: float = MOST_SHARE) -> DataFrame:
-    """One row a document: key, n_chars, the edited text's SHA-256, both fingerprints, and the likeness of the document's to
-    the edited text's and to the next document's."""
-    band = small(lexicon(docs, text, least, share), BROADCAST_TERMS, BROADCAST_BYTES)
+def banded(docs: DataFrame, band: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a document: doc, what is kept of it, and its terms in the band: in both texts, in its own, in the other, edited one.
+
+    The texts are dealt by part for their order, and terms are gathered by part and row, so that nothing moves again where the band is
+    broadcast. Explosions are outer ones, as for others Spark first finds the terms once more to see whether there are any.
+    """
     rows = edited(docs, key, text).withColumns({"own": terms(F.col("text")), "other": terms(F.col("edited"))})
     facts = F.struct("key", "digest", "n_chars", "next_key", "next_digest", F.sha2("edited", 256).alias("edited_sha256"), F.xxhash64("edited").alias("edited_digest"))
     # A row a term of either text: in both, in the own one, in the edited one. The first of a document carries what else it has; that with
@@ -186,12 +188,18 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     mark = lambda x, of: F.transform(x, lambda t: F.struct(t.alias("term"), F.lit(of).alias("of")))
     none = F.array(F.struct(F.lit(None).cast("long").alias("term"), F.lit(-1).alias("of")))
     each = F.concat(none, mark(F.array_intersect("own", "other"), 0), mark(F.array_except("own", "other"), 1), mark(F.array_except("other", "own"), 2))
-    exploded = rows.select("id", facts.alias("doc"), each.alias("each")).select("id", "doc", F.posexplode("each").alias("place", "x"))
-    exploded = exploded.select("id", F.when(F.col("place") == 0, F.col("doc")).alias("doc"), F.col("x.term").alias("term"), F.col("x.of").alias("of"))
+    exploded = rows.select("part", "row", facts.alias("doc"), each.alias("each")).select("part", "row", "doc", F.posexplode_outer("each").alias("place", "x"))
+    exploded = exploded.select("part", "row", F.when(F.col("place") == 0, F.col("doc")).alias("doc"), F.col("x.term").alias("term"), F.col("x.of").alias("of"))
     held = exploded.join(band.select("term", F.lit(True).alias("in")), "term", "left").where("in OR of < 0")
     of = lambda *which: F.collect_list(F.when(F.col("of").isin(*which), F.col("term")))
-    found = held.groupBy("id").agg(F.max("doc").alias("doc"), of(0).alias("both"), of(1).alias("own"), of(2).alias("other"))
-    rows = saved(signed(found).select("doc.*", "fp", "other_fp"), "imatch-signatures")
+    return held.groupBy("part", "row").agg(F.max("doc").alias("doc"), of(0).alias("both"), of(1).alias("own"), of(2).alias("other"))
+
+
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST_DOCS, share: float = MOST_SHARE) -> DataFrame:
+    """One row a document: key, n_chars, the edited text's SHA-256, both fingerprints, and the likeness of the document's to
+    the edited text's and to the next document's."""
+    band = small(lexicon(docs, text, least, share), BROADCAST_TERMS, BROADCAST_BYTES)
+    rows = saved(signed(banded(docs, band, key, text)).select("doc.*", "fp", "other_fp"), "imatch-signatures")
     rows = rows.withColumn("no_next", F.col("next_key").isNull()).withColumn("next_key", F.coalesce("next_key", F.lit(0)))
     following = rows.select(F.coalesce("key", F.lit(0)).alias("next_key"), F.col("key").isNull().alias("no_next"), F.col("digest").alias("next_digest"), F.col("fp").alias("next_fp")).dropDuplicates(["next_key", "no_next", "next_digest"])
     return rows.join(following, ["next_key", "no_next", "next_digest"]).select(

@@ -375,6 +375,18 @@ def test_imatch_band_of_any_size(spark, monkeypatch):
     assert sorted(map(tuple, imatch.fingerprints(docs, share=0.9).collect())) == want
 
 
+def test_imatch_moves_texts_once(spark):
+    """Terms are gathered where their texts are: of the documents, only their order needs a shuffle, and terms are cut once a text."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, prose(rng, 30)) for i in range(40)], "doc_id long, text string")
+    found = imatch.banded(docs, F.broadcast(imatch.lexicon(docs, share=0.9)))
+    assert found.count() == 40
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("split(") == 2
+
+
 def test_imatch_order_of_terms(spark):
     """Neither the order nor the repetition of terms counts; sets with an equal exclusive or differ."""
     docs = spark.createDataFrame([(0, "alpha beta gamma"), (1, "gamma, ALPHA beta beta"), (2, "alpha"), (3, "alpha x"), (4, "beta"), (5, "y")], "doc_id long, text string")
