@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lociweave.jobs import fixed, impute, joint
 from lociweave.jobs.admix import State
+from lociweave.jobs.tiles import blocks_of
 from lociweave.session import BATCH_BYTES, LARGE_ROWS
 
 TABLES = ("meta", "sites", "parameters", "tiles", "q", "f")
@@ -36,13 +37,13 @@ def described(model: dict[str, DataFrame]) -> dict:
 def cluster_posteriors(model: dict[str, DataFrame], chunk: int | None = None) -> DataFrame:
     """Of an impute model: each sample's probabilities of pairs of clusters at each site or grid, in all chunks or one."""
     only = (lambda d: d if chunk is None else d.where(F.col("chunk_id") == chunk))
-    return fixed.states(only(model["tiles"]), only(model["parameters"]), model["meta"].first()["clusters"])
+    return fixed.states(only(model["tiles"]), only(model["parameters"]), model["meta"].first()["clusters"], blocks_of(model["tiles"]))
 
 
 def site_posteriors(model: dict[str, DataFrame], chunk: int | None = None) -> DataFrame:
     """Genotype posteriors under a saved impute model."""
     only = (lambda d: d if chunk is None else d.where(F.col("chunk_id") == chunk))
-    return impute.posteriors(only(model["tiles"]), only(model["parameters"]), model["meta"].first()["clusters"])
+    return impute.posteriors(only(model["tiles"]), only(model["parameters"]), model["meta"].first()["clusters"], blocks_of(model["tiles"]))
 
 
 def joint_states(model: dict[str, DataFrame], chunk: int | None = None) -> DataFrame:
@@ -55,8 +56,8 @@ def joint_posteriors(model: dict[str, DataFrame], chunk: int | None = None) -> D
     return joint.posteriors(*_joint_inputs(model, chunk))
 
 
-def _joint_inputs(model: dict[str, DataFrame], chunk: int | None) -> tuple[DataFrame, DataFrame, State, joint.Options]:
+def _joint_inputs(model: dict[str, DataFrame], chunk: int | None) -> tuple[DataFrame, DataFrame, State, joint.Options, DataFrame]:
     only = (lambda d: d if chunk is None else d.where(F.col("chunk_id") == chunk))
     meta = model["meta"].first()
     options = joint.Options(clusters=meta["clusters"], ancestries=meta["ancestries"])
-    return only(model["tiles"]), only(model["parameters"]), State(model["q"], only(model["f"])), options
+    return only(model["tiles"]), only(model["parameters"]), State(model["q"], only(model["f"])), options, blocks_of(model["tiles"])
