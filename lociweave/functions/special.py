@@ -1,4 +1,5 @@
-"""Special functions as column expressions: series and continued fractions are folds over as many steps as their arguments need.
+"""Special functions as column expressions. The incomplete functions' series and continued fractions are numpy on batches of rows, in as
+many steps as the batch's arguments need to settle; the rest is Spark's own expressions.
 
 A null or undefined argument gives null; arguments outside of a function's domain give null too.
 """
@@ -8,8 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Lanczos' coefficients for g = 7.
 LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-6, 1.5056327351493116e-7)
@@ -27,9 +31,9 @@ def _let(values: dict[str, Column], then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then), 1)
 
 
-def _steps(size: Column) -> Column:
-    """1 to what a series of this size needs to settle."""
-    return F.sequence(F.lit(1), (F.lit(100) + F.lit(10) * F.sqrt(F.greatest(size, F.lit(0.0)))).cast("int"))
+def _steps(size: np.ndarray) -> range:
+    """1 to what a series of these sizes needs to settle."""
+    return range(1, int(100 + 10 * math.sqrt(max(0.0, size.max(initial=0.0)))) + 1)
 
 
 def _lanczos(x: Column) -> Column:
@@ -52,57 +56,92 @@ def lgamma(x: Column) -> Column:
     return _let({"x": _double(x)}, of)
 
 
-def _gamma_series(s: Column, z: Column) -> Column:
+def _gamma_series(s: np.ndarray, z: np.ndarray) -> np.ndarray:
     """Of the lower incomplete gamma function, what is multiplied by z^s e^-z / gamma(s + 1)."""
-    start = F.struct(F.lit(1.0).alias("sum"), F.lit(1.0).alias("term"))
+    total, term = np.ones_like(s), np.ones_like(s)
+    for k in _steps(np.maximum(s, z)):
+        term = term * z / (s + k)
+        last, total = total, total + term
+        if (total == last).all():
+            break
+    return total
 
-    def step(a: Column, k: Column) -> Column:
-        term = a["term"] * z / (s + k)
-        return F.struct((a["sum"] + term).alias("sum"), term.alias("term"))
 
-    return F.aggregate(_steps(F.greatest(s, z)), start, step, lambda a: a["sum"])
-
-
-def _fraction(steps: Column, first: Column, parts: Callable[[Column], tuple[Column, Column]]) -> Column:
+def _fraction(steps: range, first: np.ndarray, parts: Callable[[int], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """first + a1 / (b1 + a2 / (b2 + ...)), with parts(k) = (a_k, b_k), from the front: each step multiplies the value by the ratio of two
     tails' quotients."""
-    safe = lambda x: F.when(F.abs(x) < TINY, TINY).otherwise(x)
-    start = F.struct(safe(first).alias("value"), safe(first).alias("c"), F.lit(0.0).alias("d"))
+    safe = lambda x: np.where(np.abs(x) < TINY, TINY, x)
+    value, d = safe(first), np.zeros_like(first)
+    c, settled = value, 0
+    for k in steps:
+        a, b = parts(k)
+        c, d = safe(b + a / c), 1 / safe(b + a * d)
+        value = value * (c * d)
+        # Odd and even parts may differ, so two steps must leave the value as it is.
+        settled = settled + 1 if (np.abs(c * d - 1) < 4e-16).all() else 0
+        if settled == 2:
+            break
+    return value
+
+
+def _gamma_fraction(s: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Of the upper incomplete gamma function, what z^s e^-z / gamma(s) is divided by."""
+    return _fraction(_steps(np.maximum(s, z)), z + 1 - s, lambda k: (k * (s - k), z + 2 * k + 1 - s))
 
-    def step(s: Column, k: Column) -> Column:
-        a, b = parts(k.cast("double"))
-        c, d = safe(b + a / s["c"]), F.lit(1.0) / safe(b + a * s["d"])
-        return F.struct((s["value"] * c * d).alias("value"), c.alias("c"), d.alias("d"))
 
-    return F.aggregate(steps, start, step, lambda s: s["value"])
+def _incomplete_gamma(s: np.ndarray, z: np.ndarray, ln: np.ndarray, upper: bool) -> np.ndarray:
+    out = np.full(len(s), np.nan)
+    inside = (s > 0) & (z >= 0)
+    out[inside & (z == 0)] = 1.0 if upper else 0.0
+    near = (z <= 1) | (z < s)
+    for of, series in ((inside & (z > 0) & near, True), (inside & (z > 0) & ~near, False)):
+        x, y = s[of], z[of]
+        front = x * np.log(y) - y - ln[of]
+        found = np.exp(front - np.log(x)) * _gamma_series(x, y) if series else np.exp(front) / _gamma_fraction(x, y)
+        out[of] = found if series != upper else 1 - found
+    return out
 
 
-def _gamma_fraction(s: Column, z: Column) -> Column:
-    """Of the upper incomplete gamma function, what z^s e^-z / gamma(s) is divided by."""
-    return _fraction(_steps(F.greatest(s, z)), z + 1 - s, lambda k: (k * (s - k), z + 2 * k + 1 - s))
+@F.pandas_udf(DoubleType())
+def _lower(s: pd.Series, z: pd.Series, ln: pd.Series) -> pd.Series:
+    return pd.Series(_incomplete_gamma(*(x.to_numpy(float) for x in (s, z, ln)), False))
 
 
-def _gamma(s: Column, z: Column, upper: bool) -> Column:
-    def of(v: Column) -> Column:
-        s, z, ln = v["s"], v["z"], v["ln"]
-        low = F.exp(s * F.ln(z) - z - ln - F.ln(s)) * _gamma_series(s, z)
-        high = F.exp(s * F.ln(z) - z - ln) / _gamma_fraction(s, z)
-        near = (z <= 1) | (z < s)
-        found = F.when(near, F.lit(1.0) - low if upper else low).otherwise(high if upper else F.lit(1.0) - high)
-        return F.when((s > 0) & (z >= 0), F.when(z == 0, 1.0 if upper else 0.0).otherwise(found))
+@F.pandas_udf(DoubleType())
+def _upper(s: pd.Series, z: pd.Series, ln: pd.Series) -> pd.Series:
+    return pd.Series(_incomplete_gamma(*(x.to_numpy(float) for x in (s, z, ln)), True))
+
+
+@F.pandas_udf(DoubleType())
+def _beta(a: pd.Series, b: pd.Series, x: pd.Series, ln: pd.Series) -> pd.Series:
+    a, b, x, ln = (v.to_numpy(float) for v in (a, b, x, ln))
+    out = np.full(len(a), np.nan)
+    inside = (a > 0) & (b > 0) & (x >= 0) & (x <= 1)
+    ends = inside & ((x == 0) | (x == 1))
+    out[ends] = x[ends]
+    of = inside & ~ends
+    a, b, x, ln = a[of], b[of], x[of], ln[of]
+    front = np.exp(a * np.log(x) + b * np.log(1 - x) - ln)
+    straight = x < (a + 1) / (a + b + 2)
+    a, b, x = np.where(straight, a, b), np.where(straight, b, a), np.where(straight, x, 1 - x)
 
-    s, z = _double(s), _double(z)
-    return _let({"s": s, "z": z, "ln": lgamma(s)}, of)
+    def parts(k: int) -> tuple[np.ndarray, float]:
+        m = k // 2
+        return (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if k % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))), 1.0
+
+    found = front / (a * _fraction(_steps(np.maximum(a, b)), np.ones_like(a), parts))
+    out[of] = np.where(straight, found, 1 - found)
+    return pd.Series(out)
 
 
 def gammap(s: Column, z: Column) -> Column:
     """The regularised lower incomplete gamma function, for s > 0 and z >= 0."""
-    return _gamma(s, z, False)
+    return _lower(_double(s), _double(z), lgamma(s))
 
 
 def gammaq(s: Column, z: Column) -> Column:
     """The regularised upper incomplete gamma function."""
-    return _gamma(s, z, True)
+    return _upper(_double(s), _double(z), lgamma(s))
 
 
 def erfc(x: Column) -> Column:
@@ -113,24 +152,8 @@ def erfc(x: Column) -> Column:
 
 def betai(a: Column, b: Column, x: Column) -> Column:
     """The regularised incomplete beta function, for a, b > 0 and x of 0 to 1."""
-
-    def side(a: Column, b: Column, x: Column, front: Column) -> Column:
-        def parts(k: Column) -> tuple[Column, Column]:
-            m = F.floor(k / 2).cast("double")
-            even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-            odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-            return F.when(k % 2 == 0, even).otherwise(odd), F.lit(1.0)
-
-        return F.exp(front) / (a * _fraction(_steps(F.greatest(a, b)), F.lit(1.0), parts))
-
-    def of(v: Column) -> Column:
-        a, b, x = v["a"], v["b"], v["x"]
-        front = a * F.ln(x) + b * F.ln(F.lit(1.0) - x) - v["ln"]
-        found = F.when(x < (a + 1) / (a + b + 2), side(a, b, x, front)).otherwise(F.lit(1.0) - side(b, a, F.lit(1.0) - x, front))
-        return F.when((a > 0) & (b > 0) & x.between(0, 1), F.when(x.isin(0.0, 1.0), x).otherwise(found))
-
     a, b = _double(a), _double(b)
-    return _let({"a": a, "b": b, "x": _double(x), "ln": lgamma(a) + lgamma(b) - lgamma(a + b)}, of)
+    return _beta(a, b, _double(x), lgamma(a) + lgamma(b) - lgamma(a + b))
 
 
 def fisher(a: Column, b: Column, c: Column, d: Column) -> Column:
